@@ -41,15 +41,21 @@ def quality_flags() -> dict[str, Column]:
     }
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round the double columns of a finished result.
+def published(value: Column, digits: int = 6) -> Column:
+    """A double as it is published: rounded, with half-way values going up.
 
-    Float sums depend on the order of addition, so results are compared and published
-    rounded; never call this before an ordering or an equality test.
+    Float sums depend on the order of addition, so a mean that ends in an exact 5 comes
+    out a hair above or below it. The nudge, far smaller than the last digit, settles
+    those the same way every time. Never use this before an ordering or an equality test.
     """
+    return F.round(value + F.lit(1e-9), digits)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """A finished result with its double columns as published."""
     return df.select(
         *[
-            F.round(F.col(f"`{field.name}`"), digits).alias(field.name)
+            published(F.col(f"`{field.name}`"), digits).alias(field.name)
             if isinstance(field.dataType, T.DoubleType)
             else F.col(f"`{field.name}`")
             for field in df.schema.fields

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from hodos.operators.prefix import running_totals
+from hodos.session import cut
 
 
 def shared_columns(reference: DataFrame, current: DataFrame) -> list[str]:
@@ -18,12 +19,13 @@ def _two_sided(reference: DataFrame, current: DataFrame, column: str) -> DataFra
     """Rows per distinct value on either side: (value, ref, cur).
 
     Everything below works on distinct values, so a value that holds a third of the rows
-    costs one row.
+    costs one row. The counts are kept, because the measures pass over them several times
+    and the rows should be read once.
     """
     side = lambda df, a, b: df.where(F.col(column).isNotNull()).select(
         F.col(column).alias("value"), F.lit(a).alias("ref"), F.lit(b).alias("cur")
     )
-    return (
+    return cut(
         side(reference, 1, 0)
         .unionByName(side(current, 0, 1))
         .groupBy("value")

@@ -93,14 +93,14 @@ def cross_fit_target_encoding(df: DataFrame, key: str, target: str, fold: Column
             *[(grand.getField(s) - F.col(f"fold_{s}")).alias(f"all_{s}") for s in sums],
         )
         .select(
-            key,
-            "_fold",
+            F.col(key).alias("_key"),
+            F.col("_fold").alias("_out"),
             _shrunken(*[F.col(s) for s in sums], *[F.col(f"all_{s}") for s in sums], smoothing).alias(output),
         )
     )
     # A null key equals no other key in a join; as a category it still has an encoding.
-    same = marked[key].eqNullSafe(outside[key]) & (marked["_fold"] == outside["_fold"])
-    return marked.join(outside, same, "left").select(*[marked[c] for c in df.columns], outside[output])
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_fold") == F.col("_out"))
+    return marked.join(outside, same, "left").select(*df.columns, output)
 
 
 def fit_ordinal_encoding(df: DataFrame, key: str) -> DataFrame:

@@ -21,7 +21,7 @@ def running_totals(df: DataFrame, order: str, totals: Sequence[str], buckets: in
     # Cut points are one row of `buckets` numbers.
     cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(s) for s in steps]), F.lit(buckets * 10)).alias("c")).scalar()
     value = F.col(order)
-    ranged = df.withColumn("_range", F.size(F.filter(F.coalesce(cuts, F.array(value)), lambda c: c < value)))
+    ranged = df.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
 
     in_order = Window.orderBy("_range")  # at most `buckets` rows, already aggregated
     ranges = (

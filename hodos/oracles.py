@@ -2,7 +2,8 @@
 
 Written from the definitions of the models, not from the Spark plans: the dense grid is a
 cross join here, a sample is an ORDER BY, and so on. Every statement is a chain of common
-table expressions followed by one SELECT.
+table expressions followed by one SELECT. Doubles are published by the rule of
+``hodos.functions.measures.published``.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def _scored(rows: str) -> str:
   - 5.0 * (CASE WHEN "hour" BETWEEN 7 AND 9 OR "hour" BETWEEN 15 AND 18 THEN 1 ELSE 0 END)
   + 3.0 * (CASE WHEN isodow("date") >= 6 THEN 1 ELSE 0 END)
   + 2.0 * (CASE WHEN "date" IN (SELECT holiday_date FROM holiday_list) THEN 1 ELSE 0 END)
-  + cast(device_id AS bigint) % 10, 6) AS prediction FROM {rows} b"""
+  + cast(device_id AS bigint) % 10 + 1e-9, 6) AS prediction FROM {rows} b"""
 
 
 _TODAY = "(SELECT max(processed_date) FROM hist)"
@@ -206,24 +207,24 @@ def _statement(select: str) -> str:
 _STG = "traffic_id, device_id, processed_at, processed_date, processed_year, processed_month, ingested_at, counted_cars, average_speed, road_name, road_info"
 _FCT = "device_id, processed_at, processed_date, processed_year, processed_month, processed_day, processed_hour, ingested_at, counted_cars, average_speed, is_ghost_reading, is_dead, is_impossible_speed, is_missing, is_quality"
 _LAKE = "deviceid, appprocesstime, countedcars, average_speed, road_name, road_info, ingested_at, year, month"
-_R6 = lambda x, name: f"round({x}, 6) AS {name}"
+_R6 = lambda x, name: f"round({x} + 1e-9, 6) AS {name}"
 _PCT = ", ".join(
-    f"cast(count(CASE WHEN {flag} THEN 1 END) AS bigint) AS {name}_count, round(100 * count(CASE WHEN {flag} THEN 1 END) / count(*), 6) AS {name}_percent"
+    f"cast(count(CASE WHEN {flag} THEN 1 END) AS bigint) AS {name}_count, round(100 * count(CASE WHEN {flag} THEN 1 END) / count(*) + 1e-9, 6) AS {name}_percent"
     for name, flag in (("dead", "is_dead"), ("ghost", "is_ghost_reading"), ("impossible_speed", "is_impossible_speed"), ("missing_reading", "is_missing"))
 )
 _HEALTH = f"SELECT processed_year, processed_month, count(*) AS readings, {_PCT} FROM fct GROUP BY 1, 2"
 _VOL = f"SELECT road_name, {_WAS} AS weighted_avg_speed, stddev_samp(average_speed) AS std_average_speed FROM {{}} GROUP BY 1"
-_ROUND_VOL = "SELECT road_name, round(weighted_avg_speed, 6) AS weighted_avg_speed, round(std_average_speed, 6) AS std_average_speed FROM ({})"
+_ROUND_VOL = "SELECT road_name, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed, round(std_average_speed + 1e-9, 6) AS std_average_speed FROM ({})"
 _SPATIO = f"SELECT road_name, processed_hour, processed_day, {_WAS} AS weighted_avg_speed, avg(counted_cars) AS avg_counted_cars FROM mart GROUP BY 1, 2, 3"
 _HOURLY = f"SELECT road_name, processed_hour, {_WAS} AS weighted_avg_speed, avg(counted_cars) AS avg_counted_cars FROM mart GROUP BY 1, 2"
 _DAILY = f"SELECT processed_date, cast(sum(counted_cars) AS bigint) AS total_counted_cars, {_WAS} AS weighted_avg_speed FROM {{}} GROUP BY 1"
 _SLOT = f"SELECT processed_day, processed_hour, {_WAS} AS weighted_avg_speed FROM {{}} GROUP BY 1, 2"
 _KPI4 = ("weighted_avg_speed", "sum_counted_cars", "distinct_roads_count", "distinct_devices_count")
-_RK = lambda p, n: f"round({p}.{n}, 6)" if n == "weighted_avg_speed" else f"{p}.{n}"
+_RK = lambda p, n: f"round({p}.{n} + 1e-9, 6)" if n == "weighted_avg_speed" else f"{p}.{n}"
 _DELTA = ", ".join(
     [f"{_RK('l', n)} AS {n}" for n in _KPI4]
     + [f"{_RK('p', n)} AS previous_{n}" for n in _KPI4]
-    + [(f"round(l.{n} - p.{n}, 6)" if n == "weighted_avg_speed" else f"l.{n} - p.{n}") + f" AS delta_{n}" for n in _KPI4]
+    + [(f"round(l.{n} - p.{n} + 1e-9, 6)" if n == "weighted_avg_speed" else f"l.{n} - p.{n}") + f" AS delta_{n}" for n in _KPI4]
 )
 _PERIODS = f"({_kpi('hist_last')}) l, ({_kpi('hist_previous')}) p"
 _DAY_RANK = "list_position(['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'], processed_day)"
@@ -269,7 +270,7 @@ _TIME = """cast(month("date") AS bigint) AS processed_month, cast(isodow("date")
   cast(CASE WHEN isodow("date") >= 6 THEN 1 ELSE 0 END AS bigint) AS is_weekend,
   cast(CASE WHEN "date" IN (SELECT holiday_date FROM holiday_list) THEN 1 ELSE 0 END AS bigint) AS is_holiday,
   cast(CASE WHEN "hour" BETWEEN 7 AND 9 OR "hour" BETWEEN 15 AND 18 THEN 1 ELSE 0 END AS bigint) AS is_rush_hour,
-  round(sin("hour" * (2.0 * pi() / 24)), 6) AS hour_sin, round(cos("hour" * (2.0 * pi() / 24)), 6) AS hour_cos"""
+  round(sin("hour" * (2.0 * pi() / 24)) + 1e-9, 6) AS hour_sin, round(cos("hour" * (2.0 * pi() / 24)) + 1e-9, 6) AS hour_cos"""
 _GROUPS = "SELECT device_id, count(*) AS n, sum(average_speed) AS t, sum(average_speed * average_speed) AS s FROM base GROUP BY 1"
 _ALL = "SELECT count(*) AS an, sum(average_speed) AS at_, sum(average_speed * average_speed) AS as_ FROM base"
 _HEX = """SELECT *, CASE WHEN power(u - cu, 2) + 3 * power(v - cv, 2) < power(u - mu, 2) + 3 * power(v - mv, 2) THEN cu ELSE mu END AS hex_x,
@@ -298,7 +299,7 @@ _WASSERSTEIN = """SELECT 'average_speed' AS column_name, 'wasserstein' AS method
   SELECT value, sum(ref) AS ref, sum(cur) AS cur FROM (SELECT average_speed AS value, 1 AS ref, 0 AS cur FROM reference WHERE average_speed IS NOT NULL
   UNION ALL SELECT average_speed, 0, 1 FROM recent14 WHERE average_speed IS NOT NULL) GROUP BY 1)))"""
 _DRIFT = f"({_js('device_id')} UNION ALL {_js('road_name')} UNION ALL {_WASSERSTEIN})"
-_DRIFT_OUT = "SELECT column_name, method, round(score, 6) AS score, round(statistic, 6) AS statistic, is_drifted FROM ({})"
+_DRIFT_OUT = "SELECT column_name, method, round(score + 1e-9, 6) AS score, round(statistic + 1e-9, 6) AS statistic, is_drifted FROM ({})"
 
 SELECTS: dict[str, str] = {
     "stg_traffic": f"SELECT {_STG} FROM stg",
@@ -313,37 +314,37 @@ SELECTS: dict[str, str] = {
     "mrt_last_n_days": f"SELECT {_MART} FROM hist_last",
     "device_health": _HEALTH,
     "device_health_spans": _HEALTH,
-    "kpi_last": f"SELECT * REPLACE (round(weighted_avg_speed, 6) AS weighted_avg_speed) FROM ({_kpi('hist_last')})",
-    "kpi_previous": f"SELECT * EXCLUDE (latest_timestamp) REPLACE (round(weighted_avg_speed, 6) AS weighted_avg_speed) FROM ({_kpi('hist_previous')})",
+    "kpi_last": f"SELECT * REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed) FROM ({_kpi('hist_last')})",
+    "kpi_previous": f"SELECT * EXCLUDE (latest_timestamp) REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed) FROM ({_kpi('hist_previous')})",
     "kpi_delta": f"SELECT {_DELTA} FROM {_PERIODS}",
     "distinct_counts": "SELECT count(DISTINCT road_name) AS distinct_roads_count, count(DISTINCT device_id) AS distinct_devices_count, max(processed_at) AS latest_timestamp FROM mart",
-    "daily_speed_count": f"SELECT * REPLACE (round(weighted_avg_speed, 6) AS weighted_avg_speed) FROM ({_DAILY.format('mart_last')})",
-    "busiest_times": f"""SELECT processed_day, processed_hour, round(weighted_avg_speed, 6) AS weighted_avg_speed, CASE WHEN weighted_avg_speed = lo THEN 'busiest' ELSE 'lightest' END AS slot
+    "daily_speed_count": f"SELECT * REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed) FROM ({_DAILY.format('mart_last')})",
+    "busiest_times": f"""SELECT processed_day, processed_hour, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed, CASE WHEN weighted_avg_speed = lo THEN 'busiest' ELSE 'lightest' END AS slot
   FROM (SELECT *, min(weighted_avg_speed) OVER () AS lo, max(weighted_avg_speed) OVER () AS hi FROM ({_SLOT.format('mart_last')}))
   WHERE weighted_avg_speed = lo OR weighted_avg_speed = hi""",
     "homepage_tables": f"""SELECT 'last_kpi' AS table_name, cast(1 AS bigint) AS n_rows UNION ALL SELECT 'previous_kpi', 1
   UNION ALL SELECT 'daily_speed_count', count(DISTINCT processed_date) FROM mart_last
   UNION ALL SELECT 'busiest_times', count(*) FROM (SELECT weighted_avg_speed AS w, min(weighted_avg_speed) OVER () AS lo, max(weighted_avg_speed) OVER () AS hi FROM ({_SLOT.format('mart_last')})) WHERE w = lo OR w = hi""",
     "scoreboard": f"SELECT {_DELTA}, l.latest_timestamp, {_extreme('min', 'hist_last')} AS busiest_slot, {_extreme('max', 'hist_last')} AS lightest_slot FROM {_PERIODS}",
-    "heatmap_last_n": f"SELECT * REPLACE (round(weighted_avg_speed, 6) AS weighted_avg_speed) FROM ({_SLOT.format('mart_last')})",
-    "spatiotemporal": f"SELECT * REPLACE (round(weighted_avg_speed, 6) AS weighted_avg_speed, round(avg_counted_cars, 6) AS avg_counted_cars) FROM ({_SPATIO})",
-    "speed_count": f"SELECT * REPLACE (round(weighted_avg_speed, 6) AS weighted_avg_speed, round(avg_counted_cars, 6) AS avg_counted_cars) FROM ({_HOURLY})",
+    "heatmap_last_n": f"SELECT * REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed) FROM ({_SLOT.format('mart_last')})",
+    "spatiotemporal": f"SELECT * REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed, round(avg_counted_cars + 1e-9, 6) AS avg_counted_cars) FROM ({_SPATIO})",
+    "speed_count": f"SELECT * REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed, round(avg_counted_cars + 1e-9, 6) AS avg_counted_cars) FROM ({_HOURLY})",
     "volatility_last_n": _ROUND_VOL.format(_VOL.format("hist_last")),
     "volatility_all": _ROUND_VOL.format(_VOL.format("mart")),
     "volatility_chart": _ROUND_VOL.format(_VOL.format("hist")),
     "top20_volatile": _ROUND_VOL.format(f"SELECT * FROM ({_VOL.format('hist_last')}) ORDER BY std_average_speed DESC NULLS LAST, road_name LIMIT 20"),
     "bottom20_volatile": _ROUND_VOL.format(f"SELECT * FROM ({_VOL.format('hist_last')}) ORDER BY std_average_speed ASC NULLS FIRST, road_name DESC LIMIT 20"),
-    "heatmap_mean": f"SELECT processed_day, processed_hour, round(avg(weighted_avg_speed), 6) AS mean_speed FROM ({_SPATIO}) GROUP BY 1, 2",
+    "heatmap_mean": f"SELECT processed_day, processed_hour, round(avg(weighted_avg_speed) + 1e-9, 6) AS mean_speed FROM ({_SPATIO}) GROUP BY 1, 2",
     "heatmap_pivot": "SELECT processed_hour, "
-    + ", ".join(f"round(avg(CASE WHEN processed_day = '{d}' THEN weighted_avg_speed END), 6) AS \"{d}\"" for d in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"))
+    + ", ".join(f"round(avg(CASE WHEN processed_day = '{d}' THEN weighted_avg_speed END) + 1e-9, 6) AS \"{d}\"" for d in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"))
     + f" FROM ({_SPATIO}) GROUP BY 1",
     "road_choices": "SELECT DISTINCT road_name FROM mart",
     "road_filter_many": f"SELECT road_name, processed_hour, {_R6('weighted_avg_speed', 'weighted_avg_speed')}, {_R6('avg_counted_cars', 'avg_counted_cars')} FROM ({_HOURLY}) WHERE road_name IN ('ΜΕΣΟΓΕΙΩΝ', 'ΚΗΦΙΣΙΑΣ')",
     "road_filter_one": f"SELECT road_name, processed_hour, processed_day, {_R6('weighted_avg_speed', 'weighted_avg_speed')}, {_R6('avg_counted_cars', 'avg_counted_cars')} FROM ({_SPATIO}) WHERE road_name = 'ΚΗΦΙΣΙΑΣ'",
-    "twin_series": f"""SELECT processed_date, 'speed' AS measure, round(weighted_avg_speed, 6) AS y FROM ({_DAILY.format('mart_last')})
+    "twin_series": f"""SELECT processed_date, 'speed' AS measure, round(weighted_avg_speed + 1e-9, 6) AS y FROM ({_DAILY.format('mart_last')})
   UNION ALL SELECT processed_date, 'volume', cast(total_counted_cars AS double) FROM ({_DAILY.format('mart_last')})""",
-    "twin_series_roads": f"""SELECT road_name, processed_hour, 'speed' AS measure, round(weighted_avg_speed, 6) AS y FROM ({_HOURLY})
-  UNION ALL SELECT road_name, processed_hour, 'volume', round(avg_counted_cars, 6) FROM ({_HOURLY})""",
+    "twin_series_roads": f"""SELECT road_name, processed_hour, 'speed' AS measure, round(weighted_avg_speed + 1e-9, 6) AS y FROM ({_HOURLY})
+  UNION ALL SELECT road_name, processed_hour, 'volume', round(avg_counted_cars + 1e-9, 6) FROM ({_HOURLY})""",
     "health_series": f"""SELECT make_date(processed_year, processed_month, 1) AS "date", 'dead_percent' AS "Error Type", dead_percent AS "Percent", 'Dead Readings' AS "Label" FROM ({_HEALTH})
   UNION ALL SELECT make_date(processed_year, processed_month, 1), 'missing_reading_percent', missing_reading_percent, 'Missing Readings' FROM ({_HEALTH})""",
     "reporting_days": "SELECT cast(ts - INTERVAL 6 HOUR AS date) AS reporting_day, count(*) AS n_rows FROM events GROUP BY 1",
@@ -372,7 +373,7 @@ SELECTS: dict[str, str] = {
     "late_rows": f"SELECT device_id, processed_at, counted_cars, average_speed FROM batch2 WHERE processed_at <= {_BOUND}",
     "stream_staging": f"SELECT {_STG} FROM stg",
     "stream_dedup": "SELECT device_id, processed_at FROM stg",
-    "stream_daily": f"""SELECT processed_date, total_counted_cars, round(weighted_avg_speed, 6) AS weighted_avg_speed FROM ({_DAILY.format('stg')})
+    "stream_daily": f"""SELECT processed_date, total_counted_cars, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed FROM ({_DAILY.format('stg')})
   WHERE processed_date + 1 <= (SELECT max(processed_at) - INTERVAL 1 HOUR FROM stg)""",
     "training_rows": "SELECT * FROM train",
     "base_features": "SELECT * FROM base",
@@ -380,7 +381,7 @@ SELECTS: dict[str, str] = {
     "split_hash": "SELECT * FROM marked",
     "target_encode": f"SELECT device_id, {_R6(_shrink('n', 't', 's', 'an', 'at_', 'as_'), 'encoding')} FROM ({_GROUPS}), ({_ALL})",
     "target_encode_smoothed": f"SELECT device_id, {_R6(_shrink('n', 't', 's', 'an', 'at_', 'as_', 10), 'encoding')} FROM ({_GROUPS}), ({_ALL})",
-    "target_encode_folds": f"""SELECT b.device_id, b.road_name, b."date", b."hour", b.average_speed, round({_shrink('n', 't', 's', 'an', 'at_', 'as_')}, 6) AS device_code
+    "target_encode_folds": f"""SELECT b.device_id, b.road_name, b."date", b."hour", b.average_speed, round({_shrink('n', 't', 's', 'an', 'at_', 'as_')} + 1e-9, 6) AS device_code
   FROM (SELECT *, {_bucket(5, 5)} AS fold FROM base) b
   JOIN (SELECT d.device_id, f.fold, count(*) FILTER (x.fold <> f.fold) AS n, coalesce(sum(x.average_speed) FILTER (x.fold <> f.fold), 0) AS t, coalesce(sum(x.average_speed * x.average_speed) FILTER (x.fold <> f.fold), 0) AS s
   FROM (SELECT DISTINCT device_id FROM base) d CROSS JOIN (SELECT unnest(range(5)) AS fold) f JOIN (SELECT *, {_bucket(5, 5)} AS fold FROM base) x ON x.device_id = d.device_id GROUP BY 1, 2) g
@@ -390,18 +391,18 @@ SELECTS: dict[str, str] = {
   LEFT JOIN (SELECT road_name, row_number() OVER (ORDER BY road_name) - 1 AS code FROM (SELECT DISTINCT road_name FROM mart WHERE road_name < 'Κ')) c ON m.road_name = c.road_name""",
     "road_devices": "SELECT road_name, device_id FROM pairs",
     "road_map": "SELECT road_name, string_agg(device_id, ',' ORDER BY device_id) AS devices, cast(count(*) AS integer) AS n_devices FROM pairs GROUP BY 1",
-    "model_metrics": """SELECT count(*) AS n_rows, round(avg(abs(average_speed - prediction)), 6) AS mae,
-  round(1 - sum(power(average_speed - prediction, 2)) / sum(power(average_speed - m, 2)), 6) AS r2_score FROM scored, (SELECT avg(average_speed) AS m FROM scored)""",
+    "model_metrics": """SELECT count(*) AS n_rows, round(avg(abs(average_speed - prediction)) + 1e-9, 6) AS mae,
+  round(1 - sum(power(average_speed - prediction, 2)) / sum(power(average_speed - m, 2)) + 1e-9, 6) AS r2_score FROM scored, (SELECT avg(average_speed) AS m FROM scored)""",
     "road_scoring": """SELECT r.request_id, r.road_name, strftime(r.target_date, '%Y-%m-%d') || ' ' || lpad(cast(r.target_hour AS varchar), 2, '0') || ':00' AS target_datetime,
-  round(round_even(avg(a.prediction), 2), 6) AS average_predicted_speed_kmh, count(*) AS active_devices_used
+  round(round_even(avg(a.prediction), 2) + 1e-9, 6) AS average_predicted_speed_kmh, count(*) AS active_devices_used
   FROM requests r JOIN answers a ON r.road_name = a.road_name AND r.target_date = a."date" AND r.target_hour = a."hour" GROUP BY 1, 2, 3""",
     "road_breakdown": """SELECT road_name, strftime("date", '%Y-%m-%d') || ' ' || lpad(cast("hour" AS varchar), 2, '0') || ':00' AS target_datetime, device_id, round_even(prediction, 2) AS speed FROM answers""",
     "road_rejects": """SELECT request_id, CASE WHEN target_hour NOT BETWEEN 0 AND 23 THEN 'target_hour outside 0..23' ELSE 'Road ''' || road_name || ''' not found in the trained mapping.' END AS reason
   FROM requests WHERE target_hour NOT BETWEEN 0 AND 23 OR road_name NOT IN (SELECT road_name FROM pairs)""",
-    "residual_hist": """SELECT bin, round(lo + bin * w, 6) AS bin_start, round(lo + (bin + 1) * w, 6) AS bin_end, n_rows, round(n_rows / (n * w), 6) AS density FROM (
+    "residual_hist": """SELECT bin, round(lo + bin * w + 1e-9, 6) AS bin_start, round(lo + (bin + 1) * w + 1e-9, 6) AS bin_end, n_rows, round(n_rows / (n * w) + 1e-9, 6) AS density FROM (
   SELECT cast(least(floor((average_speed - prediction - lo) / w), 49) AS integer) AS bin, any_value(lo) AS lo, any_value(w) AS w, any_value(n) AS n, count(*) AS n_rows FROM scored,
   (SELECT min(average_speed - prediction) AS lo, (max(average_speed - prediction) - min(average_speed - prediction)) / 50 AS w, count(*) AS n FROM scored) GROUP BY 1)""",
-    "density_hex": f"""SELECT hex_x, hex_y, round(any_value(x0 + hex_x * sx), 6) AS x_centre, round(any_value(y0 + hex_y * sy), 6) AS y_centre, count(*) AS n_rows, round(log10(count(*)), 6) AS log_rows
+    "density_hex": f"""SELECT hex_x, hex_y, round(any_value(x0 + hex_x * sx) + 1e-9, 6) AS x_centre, round(any_value(y0 + hex_y * sy) + 1e-9, 6) AS y_centre, count(*) AS n_rows, round(log10(count(*)) + 1e-9, 6) AS log_rows
   FROM ({_HEX}) GROUP BY 1, 2""",
     "scatter_sample": f"SELECT device_id, \"date\", \"hour\", average_speed, prediction FROM scored ORDER BY {_md5(42)} LIMIT 1000",
     "latest_run": """SELECT (SELECT max_by(run_id, cast(version AS integer)) FROM versions) AS model_run, (SELECT max(cast(version AS integer)) FROM versions) AS version,
@@ -410,7 +411,7 @@ SELECTS: dict[str, str] = {
     "shared_columns": "SELECT device_id, road_name, average_speed FROM recent14",
     "drift_numeric": _DRIFT_OUT.format(_WASSERSTEIN),
     "drift_categorical": _DRIFT_OUT.format(f"{_js('device_id')} UNION ALL {_js('road_name')}"),
-    "drift_summary": f"""SELECT count(*) AS n_columns, cast(count(*) FILTER (is_drifted) AS bigint) AS n_drifted, round(count(*) FILTER (is_drifted) / count(*), 6) AS drift_share,
+    "drift_summary": f"""SELECT count(*) AS n_columns, cast(count(*) FILTER (is_drifted) AS bigint) AS n_drifted, round(count(*) FILTER (is_drifted) / count(*) + 1e-9, 6) AS drift_share,
   count(*) FILTER (is_drifted) / count(*) > 0.5 AS is_drifting, printf('%.2f', count(*) FILTER (is_drifted) / count(*)) AS drift_share_text FROM {_DRIFT}""",
 }
 

@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hodos.functions.calendar import full_day, greek_holidays, hour_spine, hours, next_local_hour, reporting_day
-from hodos.functions.measures import rounded
+from hodos.functions.measures import published, rounded
 from hodos.operators import bins, drift, encode, quality
 from hodos.plans import build, dashboard, facts, features, marts, monitoring, reporting, roads, scoring, staging, training
 from hodos.session import prepare, scratch
@@ -107,7 +107,7 @@ def closed_form(rows: DataFrame) -> DataFrame:
         + F.lit(2.0) * F.col("is_holiday")
         + F.col("device_id").cast("bigint") % 10
     )
-    return timed.select("_row.*", F.round(speed, 6).alias("prediction"))
+    return timed.select("_row.*", published(speed).alias("prediction"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
