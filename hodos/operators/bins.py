@@ -10,29 +10,23 @@ def density_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
     When all values are equal the range is widened by half a unit on both sides.
     """
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
-    flat = F.col("lo") == F.col("hi")
-    ends = ends.select(
-        F.struct(
-            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-            "n",
-        )
-    ).scalar()
-    lo, hi, n = (ends.getField(name) for name in ("lo", "hi", "n"))
-    width = (hi - lo) / bins
-    place = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("int")
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(place.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(
-            "bin",
-            (lo + F.col("bin") * width).alias("bin_start"),
-            (lo + (F.col("bin") + 1) * width).alias("bin_end"),
-            "n_rows",
-            (F.col("n_rows") / (n * width)).alias("density"),
-        )
+    present = df.where(F.col(value).isNotNull())
+    ends = present.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")).alias("e"))
+    flat = F.col("e.lo") == F.col("e.hi")
+    lo = F.when(flat, F.col("e.lo") - 0.5).otherwise(F.col("e.lo"))
+    hi = F.when(flat, F.col("e.hi") + 0.5).otherwise(F.col("e.hi"))
+    # One struct, attached as a column: every use of a scalar would be a subquery to plan.
+    ends = ends.select(F.struct(lo.alias("lo"), ((hi - lo) / bins).alias("width"), F.col("e.n").alias("n"))).scalar()
+    placed = present.withColumn("_e", ends).select(
+        F.least(F.floor((F.col(value) - F.col("_e.lo")) / F.col("_e.width")), F.lit(bins - 1)).cast("int").alias("bin")
+    )
+    counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("_e", ends)
+    return counts.select(
+        "bin",
+        (F.col("_e.lo") + F.col("bin") * F.col("_e.width")).alias("bin_start"),
+        (F.col("_e.lo") + (F.col("bin") + 1) * F.col("_e.width")).alias("bin_end"),
+        "n_rows",
+        (F.col("n_rows") / (F.col("_e.n") * F.col("_e.width"))).alias("density"),
     )
 
 
@@ -45,17 +39,20 @@ def hexagon_density(df: DataFrame, x: str, y: str, columns: int = 75) -> DataFra
     """
     rows = int(columns / 3**0.5)
     points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ends = points.agg(
-        F.struct(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    ).scalar()
     # A line or a single point still needs cells of some size.
-    reach = lambda low, high: F.when(high > low, high - low).otherwise(F.lit(1.0))
-    step_x = reach(ends.getField("x0"), ends.getField("x1")) / columns
-    step_y = reach(ends.getField("y0"), ends.getField("y1")) / rows
-    u = (F.col(x) - ends.getField("x0")) / step_x
-    v = (F.col(y) - ends.getField("y0")) / step_y
+    reach = lambda name: F.when(F.max(name) > F.min(name), F.max(name) - F.min(name)).otherwise(F.lit(1.0))
+    frame = points.agg(
+        F.struct(
+            F.min(x).alias("x0"),
+            F.min(y).alias("y0"),
+            (reach(x) / columns).alias("step_x"),
+            (reach(y) / rows).alias("step_y"),
+        )
+    ).scalar()
+    u = (F.col(x) - F.col("_f.x0")) / F.col("_f.step_x")
+    v = (F.col(y) - F.col("_f.y0")) / F.col("_f.step_y")
 
-    placed = points.select(u.alias("u"), v.alias("v")).select(
+    placed = points.withColumn("_f", frame).select(u.alias("u"), v.alias("v")).select(
         "u",
         "v",
         F.bround("u").alias("corner_u"),
@@ -71,11 +68,12 @@ def hexagon_density(df: DataFrame, x: str, y: str, columns: int = 75) -> DataFra
             F.when(on_corner, F.col("corner_v")).otherwise(F.col("centre_v")).alias("hex_y"),
         )
         .agg(F.count(F.lit(1)).alias("n_rows"))
+        .withColumn("_f", frame)
         .select(
             "hex_x",
             "hex_y",
-            (ends.getField("x0") + F.col("hex_x") * step_x).alias("x_centre"),
-            (ends.getField("y0") + F.col("hex_y") * step_y).alias("y_centre"),
+            (F.col("_f.x0") + F.col("hex_x") * F.col("_f.step_x")).alias("x_centre"),
+            (F.col("_f.y0") + F.col("hex_y") * F.col("_f.step_y")).alias("y_centre"),
             "n_rows",
             F.log10("n_rows").alias("log_rows"),
         )

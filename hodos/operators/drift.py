@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,20 +16,21 @@ def shared_columns(reference: DataFrame, current: DataFrame) -> list[str]:
     return [name for name in reference.columns if name in current.columns]
 
 
-def _two_sided(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """Rows per distinct value on either side: (value, ref, cur).
+def _two_sided(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per column and distinct value on either side: (column_name, value, ref, cur).
 
-    Everything below works on distinct values, so a value that holds a third of the rows
-    costs one row. The counts are kept, because the measures pass over them several times
-    and the rows should be read once.
+    Both inputs are read once for all columns. What follows works on distinct values, so a
+    value that holds a third of the rows costs one row; the counts are kept because the
+    measures pass over them several times.
     """
-    side = lambda df, a, b: df.where(F.col(column).isNotNull()).select(
-        F.col(column).alias("value"), F.lit(a).alias("ref"), F.lit(b).alias("cur")
+    side = lambda df, a, b: (
+        df.select(*columns).unpivot([], list(columns), "column_name", "value").select("*", F.lit(a).alias("ref"), F.lit(b).alias("cur"))
     )
     return cut(
         side(reference, 1, 0)
         .unionByName(side(current, 0, 1))
-        .groupBy("value")
+        .where("value IS NOT NULL")
+        .groupBy("column_name", "value")
         .agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
     )
 
@@ -38,37 +40,34 @@ def numeric_drift(reference: DataFrame, current: DataFrame, column: str, thresho
 
     The distance is the area between the two empirical distribution functions.
     """
-    counts = _two_sided(reference, current, column)
-    sizes = counts.agg(
-        F.struct(
-            F.sum("ref").alias("ref"),
-            F.sum("cur").alias("cur"),
-            F.sum(F.col("ref") * F.col("value")).alias("total"),
-            F.sum(F.col("ref") * F.col("value") * F.col("value")).alias("squares"),
-        )
-    ).scalar()
+    counts = _two_sided(reference, current, [column]).drop("column_name")
+    value, ref = F.col("value"), F.col("ref")
+    n_ref, n_cur, mean, squares = counts.agg(
+        F.sum(ref), F.sum("cur"), F.sum(ref * value) / F.sum(ref), F.sum(ref * value * value) / F.sum(ref)
+    ).first()
+    # A constant reference column must not divide by zero.
+    deviation = max(max((squares or 0.0) - (mean or 0.0) ** 2, 0.0) ** 0.5, 0.001)
     curves = running_totals(counts, "value", ("ref", "cur"))
-    distance = F.abs(F.col("cum_ref") / sizes.getField("ref") - F.col("cum_cur") / sizes.getField("cur"))
-    mean = sizes.getField("total") / sizes.getField("ref")
-    deviation = F.sqrt(F.greatest(sizes.getField("squares") / sizes.getField("ref") - mean * mean, F.lit(0.0)))
-    area = F.coalesce(F.sum(distance * (F.col("next_value") - F.col("value"))), F.lit(0.0))
-    return curves.agg(
-        area.alias("area"), F.max(distance).alias("ks_statistic")
-    ).select(
+    # Without rows on one side there is nothing to compare: the result is null.
+    distance = F.abs(F.col("cum_ref") / F.nullif(F.lit(n_ref), F.lit(0)) - F.col("cum_cur") / F.nullif(F.lit(n_cur), F.lit(0)))
+    area = F.sum(distance * F.coalesce(F.col("next_value") - value, F.lit(0.0)))
+    return curves.agg((area / deviation).alias("score"), F.max(distance).alias("statistic")).select(
         F.lit(column).alias("column_name"),
         F.lit("wasserstein").alias("method"),
-        # A constant reference column must not divide by zero.
-        (F.col("area") / F.greatest(deviation, F.lit(0.001))).alias("score"),
-        F.col("ks_statistic").alias("statistic"),
-        (F.col("area") / F.greatest(deviation, F.lit(0.001)) >= threshold).alias("is_drifted"),
+        "score",
+        "statistic",
+        (F.col("score") >= threshold).alias("is_drifted"),
     )
 
 
-def categorical_drift(reference: DataFrame, current: DataFrame, column: str, threshold: float = 0.1) -> DataFrame:
-    """Jensen-Shannon distance (natural logarithm) and the two-sample chi-square statistic."""
-    counts = _two_sided(reference, current, column)
-    sizes = counts.agg(F.struct(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))).scalar()
-    n_ref, n_cur = sizes.getField("ref"), sizes.getField("cur")
+def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str], threshold: float = 0.1) -> DataFrame:
+    """Jensen-Shannon distance (natural logarithm) and the two-sample chi-square statistic,
+    one row per column."""
+    counts = _two_sided(reference, current, columns)
+    # One row per column, named for the join.
+    sizes = counts.groupBy(F.col("column_name").alias("sized")).agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
+    sized = counts.join(F.broadcast(sizes), F.col("column_name") == F.col("sized"))
+    n_ref, n_cur = F.col("n_ref"), F.col("n_cur")
     p, q = F.col("ref") / n_ref, F.col("cur") / n_cur
     middle = (p + q) / 2
     part = lambda x: F.when(x > 0, x * F.log(x / middle)).otherwise(F.lit(0.0))
@@ -78,23 +77,29 @@ def categorical_drift(reference: DataFrame, current: DataFrame, column: str, thr
     chi_square = F.sum(
         F.pow(F.col("ref") - expected_ref, 2) / expected_ref + F.pow(F.col("cur") - expected_cur, 2) / expected_cur
     )
-    return counts.agg(divergence.alias("divergence"), chi_square.alias("chi_square")).select(
-        F.lit(column).alias("column_name"),
-        F.lit("jensenshannon").alias("method"),
-        F.sqrt(F.greatest(F.col("divergence"), F.lit(0.0))).alias("score"),
-        F.col("chi_square").alias("statistic"),
-        (F.sqrt(F.greatest(F.col("divergence"), F.lit(0.0))) >= threshold).alias("is_drifted"),
+    score = F.sqrt(F.greatest(F.col("divergence"), F.lit(0.0)))
+    return (
+        sized.groupBy("column_name")
+        .agg(divergence.alias("divergence"), chi_square.alias("statistic"))
+        .select(
+            "column_name",
+            F.lit("jensenshannon").alias("method"),
+            score.alias("score"),
+            "statistic",
+            (score >= threshold).alias("is_drifted"),
+        )
     )
 
 
 def column_drift(reference: DataFrame, current: DataFrame, threshold: float = 0.1) -> DataFrame:
     """One row per shared column, by the column's kind."""
-    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
-    kinds = dict(reference.dtypes)
-    results = [
-        (numeric_drift if kinds[name] in numeric else categorical_drift)(reference, current, name, threshold)
-        for name in shared_columns(reference, current)
-    ]
+    number_kinds = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    kinds, shared = dict(reference.dtypes), shared_columns(reference, current)
+    numbers = [name for name in shared if kinds[name] in number_kinds]
+    categories = [name for name in shared if kinds[name] not in number_kinds]
+    results = [numeric_drift(reference, current, name, threshold) for name in numbers]
+    if categories:
+        results.append(categorical_drift(reference, current, categories, threshold))
     return reduce(DataFrame.unionByName, results)
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hodos.functions.hashing import hash_bucket, row_digest
+from hodos.session import cut
 
 
 @dataclass
@@ -14,7 +15,7 @@ class TargetEncoding:
     """Shrunken target mean per category and the value for unseen categories."""
 
     table: DataFrame  # key, encoding
-    default: DataFrame  # one row: encoding
+    default: float | None
     key: str
 
 
@@ -43,27 +44,20 @@ def _moments(target: str) -> list[Column]:
 
 
 def fit_target_encoding(df: DataFrame, key: str, target: str, smoothing: float | None = None) -> TargetEncoding:
-    groups = df.where(F.col(target).isNotNull()).groupBy(key).agg(*_moments(target))
-    overall = groups.agg(
-        F.struct(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).alias("all")
-    )
-    everything = overall.scalar()
+    # One row per category, kept: the rows behind it are read once.
+    groups = cut(df.where(F.col(target).isNotNull()).groupBy(key).agg(*_moments(target)))
+    n, total, squares = groups.agg(*[F.coalesce(F.sum(s), F.lit(0)) for s in ("n", "total", "squares")]).first()
     encoding = _shrunken(
-        F.col("n"), F.col("total"), F.col("squares"),
-        everything.getField("n"), everything.getField("total"), everything.getField("squares"), smoothing,
-    )
-    return TargetEncoding(
-        table=groups.select(key, encoding.alias("encoding")),
-        default=overall.select((F.col("all.total") / F.col("all.n")).alias("encoding")),
-        key=key,
+        F.col("n"), F.col("total"), F.col("squares"), F.lit(n), F.lit(float(total)), F.lit(float(squares)), smoothing
     )
+    return TargetEncoding(groups.select(key, encoding.alias("encoding")), total / n if n else None, key)
 
 
 def apply_target_encoding(df: DataFrame, fitted: TargetEncoding, output: str) -> DataFrame:
     codes = fitted.table.withColumnRenamed("encoding", "_code")
     return (
         df.join(codes, fitted.key, "left")
-        .withColumn(output, F.coalesce("_code", fitted.default.scalar()))
+        .withColumn(output, F.coalesce("_code", F.lit(fitted.default)))
         .drop("_code")
     )
 
@@ -79,10 +73,10 @@ def cross_fit_target_encoding(df: DataFrame, key: str, target: str, fold: Column
     are the category's totals minus its own fold.
     """
     marked = df.withColumn("_fold", fold)
-    cells = marked.where(F.col(target).isNotNull()).groupBy(key, "_fold").agg(*_moments(target))
+    cells = cut(marked.where(F.col(target).isNotNull()).groupBy(key, "_fold").agg(*_moments(target)))
     sums = ("n", "total", "squares")
     per_fold = cells.groupBy("_fold").agg(*[F.sum(s).alias(f"fold_{s}") for s in sums])  # one row per fold
-    grand = per_fold.agg(F.struct(*[F.sum(f"fold_{s}").alias(s) for s in sums])).scalar()
+    grand = dict(zip(sums, per_fold.agg(*[F.sum(f"fold_{s}") for s in sums]).first()))
     whole_key = Window.partitionBy(key)  # at most one row per fold
     outside = (
         cells.join(F.broadcast(per_fold), "_fold")
@@ -90,7 +84,7 @@ def cross_fit_target_encoding(df: DataFrame, key: str, target: str, fold: Column
             key,
             "_fold",
             *[(F.sum(s).over(whole_key) - F.col(s)).alias(s) for s in sums],
-            *[(grand.getField(s) - F.col(f"fold_{s}")).alias(f"all_{s}") for s in sums],
+            *[(F.lit(grand[s]) - F.col(f"fold_{s}")).alias(f"all_{s}") for s in sums],
         )
         .select(
             F.col(key).alias("_key"),

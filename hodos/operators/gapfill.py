@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hodos.functions.calendar import full_hour, hours, naive
+from hodos.session import shuffle_tasks
 
 MEASURES = ("ingested_at", "counted_cars", "average_speed")
 
@@ -43,8 +44,11 @@ def hourly_spans(readings: DataFrame, devices: DataFrame, first: Column, last: C
     )
     by_device = Window.partitionBy("device_id").orderBy("processed_at")
     following = F.lead("processed_at").over(by_device)
+    # A few readings may stand for many hours, so shuffled bytes say little about the work
+    # ahead: a fixed number of tasks keeps AQE from merging them by size.
+    spread = found.unionByName(markers).repartition(shuffle_tasks(readings.sparkSession), "device_id")
     chained = (
-        found.unionByName(markers)
+        spread
         .withColumn("gap_end", F.coalesce(following, last + hours(1)) - hours(1))
         # The marker sorts first: without one the device is not in the dimension.
         .withColumn("known", F.first("is_marker").over(by_device))
@@ -61,11 +65,9 @@ def hourly_spans(readings: DataFrame, devices: DataFrame, first: Column, last: C
         F.col("gap_end").alias("last_hour"),
         *[F.lit(None).cast(types[name]).alias(name) for name in MEASURES],
     )
-    pieces = F.filter(
-        F.array(F.when(~F.col("is_marker"), reading), F.when(gap_start <= F.col("gap_end"), gap)),
-        lambda piece: piece.isNotNull(),
-    )
-    return chained.select("device_id", F.explode(pieces).alias("s")).select("device_id", "s.*")
+    # Nulls are filtered after the generator: a lambda would leave generated code.
+    pieces = F.array(F.when(~F.col("is_marker"), reading), F.when(gap_start <= F.col("gap_end"), gap))
+    return chained.select("device_id", F.explode(pieces).alias("s")).where("s IS NOT NULL").select("device_id", "s.*")
 
 
 def split_by_month(spans: DataFrame) -> DataFrame:

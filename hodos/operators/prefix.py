@@ -15,13 +15,15 @@ def running_totals(df: DataFrame, order: str, totals: Sequence[str], buckets: in
     ``buckets`` rows) are accumulated first and added to windows that run inside each
     range. The cut points only balance the work: the sums are exact wherever they fall.
 
-    Adds ``cum_<name>`` for every total and ``next_<order>``.
+    Adds ``cum_<name>`` for every total and ``next_<order>``. ``df`` is read three times, so
+    hand in something already aggregated and written or checkpointed.
     """
     steps = [i / buckets for i in range(1, buckets)]
-    # Cut points are one row of `buckets` numbers.
-    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(s) for s in steps]), F.lit(buckets * 10)).alias("c")).scalar()
+    # One row of `buckets` numbers.
+    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(s) for s in steps]), F.lit(buckets * 10))).first()[0] or []
     value = F.col(order)
-    ranged = df.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
+    points = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array(value)
+    ranged = df.withColumn("_range", F.size(F.filter(points, lambda c: c < value)))
 
     in_order = Window.orderBy("_range")  # at most `buckets` rows, already aggregated
     ranges = (

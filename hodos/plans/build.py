@@ -55,12 +55,12 @@ def refresh_silver(warehouse: Warehouse, raw: DataFrame, full: bool) -> DataFram
 def refresh_facts(warehouse: Warehouse, as_of: datetime, full: bool, lookback_days: int, anchor: str, spine_start: datetime) -> datetime | None:
     """The dense fact; returns the bound an incremental run reprocessed from."""
     staged, devices = warehouse.read(STG_TRAFFIC), warehouse.read(DIM_ROADS)
+    last = as_of.replace(minute=0, second=0, microsecond=0)
     if full or not warehouse.exists(FCT_MEASUREMENTS):
-        warehouse.replace(FCT_MEASUREMENTS, facts.measurements_by_month(staged, devices, spine_start, facts.full_hour(as_of)), sort_by=("device_id", "processed_at"))
+        warehouse.replace(FCT_MEASUREMENTS, facts.measurements_by_month(staged, devices, spine_start, last), sort_by=("device_id", "processed_at"))
         return None
-    newest = _newest(warehouse, anchor)
-    bound = warehouse.spark.range(1).select(facts.reprocess_bound(newest, lookback_days)).first()[0]
-    rebuilt = facts.recent_measurements(staged, devices, bound, spine_start, facts.full_hour(as_of), by_month=True)
+    bound = facts.reprocess_bound(_newest(warehouse, anchor), lookback_days)
+    rebuilt = facts.recent_measurements(staged, devices, bound, spine_start, last, by_month=True)
     warehouse.upsert(FCT_MEASUREMENTS, cut(rebuilt), facts.KEYS)
     return bound
 

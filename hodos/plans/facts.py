@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hodos.functions.calendar import calendar_columns, days, full_hour, hours, naive
+from hodos.functions.calendar import calendar_columns, naive
 from hodos.functions.measures import quality_flags
 from hodos.operators.gapfill import expand, hourly_spans, on_grid, split_by_month, span_hours
 from hodos.schemas import FACTS
+from hodos.session import shuffle_tasks
 
 KEYS = ["device_id", "processed_at"]
 
@@ -29,15 +30,19 @@ def measurements(staged: DataFrame, devices: DataFrame, first: Moment, last: Mom
     return _described(expand(hourly_spans(staged, devices, first, last)))
 
 
-def measurements_by_month(staged: DataFrame, devices: DataFrame, first: Moment, last: Moment) -> DataFrame:
+def measurements_by_month(staged: DataFrame, devices: DataFrame, first: datetime, last: datetime) -> DataFrame:
     """The same rows, laid out for a write partitioned by month.
 
     Spans are cut at month ends and gathered by month before they become hours: the
-    exchange moves one row per reading and gap, never the dense grid.
+    exchange moves one row per reading and gap, never the dense grid. A month is spread
+    over as many tasks as its share of the range, by device, so each task writes about one
+    file and all are alike in size.
     """
+    months = (last.year - first.year) * 12 + last.month - first.month + 1
+    tasks = shuffle_tasks(staged.sparkSession)
     spans = split_by_month(hourly_spans(staged, devices, first, last))
-    placed = spans.withColumn("_y", F.year("first_hour")).withColumn("_m", F.month("first_hour"))
-    return _described(expand(placed.hint("rebalance", "_y", "_m")))
+    part = F.pmod(F.xxhash64("device_id"), F.lit(-(-tasks // months)))
+    return _described(expand(spans.repartition(tasks, F.trunc("first_hour", "MM"), part)))
 
 
 def observed_measurements(staged: DataFrame, first: Moment, last: Moment) -> DataFrame:
@@ -68,19 +73,19 @@ def measured_spans(staged: DataFrame, devices: DataFrame, first: Moment, last: M
 # --- incremental ---------------------------------------------------------------------
 
 
-def reprocess_bound(newest: Moment, lookback_days: int = 2) -> Column:
+def reprocess_bound(newest: datetime, lookback_days: int = 2) -> datetime:
     """Hours up to and including this one are settled; later ones are built again."""
-    return naive(newest) - days(lookback_days)
+    return newest - timedelta(days=lookback_days)
 
 
-def recent_measurements(staged: DataFrame, devices: DataFrame, bound: Moment, spine_start: Moment, last: Moment, by_month: bool = False) -> DataFrame:
+def recent_measurements(staged: DataFrame, devices: DataFrame, bound: datetime, spine_start: datetime, last: datetime, by_month: bool = False) -> DataFrame:
     """The dense fact after ``bound``.
 
     The bound goes into the range the hours are generated from, and as a filter into the
     scan of the readings: hours that are settled are never generated and their readings
     never read. A reading exactly at the bound has no slot and is left out.
     """
-    first = F.greatest(full_hour(naive(bound)) + hours(1), naive(spine_start))
+    first = max(bound.replace(minute=0, second=0, microsecond=0) + timedelta(hours=1), spine_start)
     recent = staged.where(F.col("processed_at") >= naive(bound))
     return (measurements_by_month if by_month else measurements)(recent, devices, first, last)
 

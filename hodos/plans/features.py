@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from hodos.functions.calendar import as_date, greek_holidays, month_number
 from hodos.functions.hashing import hash_bucket, row_digest
@@ -82,12 +82,19 @@ def split_marked(base: DataFrame, test_percent: int = 20, seed: int = 42) -> Dat
 
 
 def sample_rows(df: DataFrame, n: int, key: list[Column], seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer), chosen by hash order.
+    """Exactly ``n`` rows (all, if there are fewer): the lowest in hash order.
 
-    Each task keeps its own best ``n`` before they are merged. Ties in the hash are rows
-    with equal keys.
+    Sorting out the lowest ``n`` directly would send up to ``n`` rows of every task to one.
+    So rows are first counted by the leading 16 bits of the hash, at most 65,536 groups,
+    and only rows up to the value that completes ``n`` go on: a little over ``n`` in all.
+    Ties in the hash are rows with equal keys.
     """
-    return df.orderBy(row_digest(*key, seed=seed), *key).limit(n)
+    marked = df.withColumn("_digest", row_digest(*key, seed=seed)).withColumn("_lead", F.substring("_digest", 1, 4))
+    so_far = F.sum("n").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, 0))
+    counts = marked.groupBy("_lead").agg(F.count(F.lit(1)).alias("n")).select("_lead", so_far.alias("n"))
+    enough = counts.where(F.col("n") >= n).agg(F.coalesce(F.min("_lead"), F.lit("ffff"))).scalar()
+    # The hash is a column of its own: a sort key is computed anew in every comparison.
+    return marked.where(F.col("_lead") <= enough).orderBy("_digest", *key).limit(n).drop("_digest", "_lead")
 
 
 def road_devices(base: DataFrame) -> DataFrame:

@@ -70,7 +70,6 @@ def fit(train: DataFrame, settings: ModelSettings = ModelSettings()) -> SpeedMod
     if roads.count() >= settings.max_bins:
         raise ValueError(f"{roads.count()} roads do not fit {settings.max_bins} categories; raise max_bins")
     devices = fit_target_encoding(train, "device_id", TARGET, settings.smoothing)
-    devices = TargetEncoding(cut(devices.table), cut(devices.default), devices.key)
     coded = cross_fit_target_encoding(
         train, "device_id", TARGET, fold_of(*row_key(), folds=settings.folds), "device_code", settings.smoothing
     )
@@ -89,7 +88,7 @@ def fit(train: DataFrame, settings: ModelSettings = ModelSettings()) -> SpeedMod
                 seed=settings.seed,
             ),
         ]
-    ).fit(_tree_input(coded, settings))
+    ).fit(cut(_tree_input(coded, settings)))  # boosting passes over its input many times
     return SpeedModel(trees, devices, roads, settings)
 
 
@@ -112,7 +111,8 @@ def save(model: SpeedModel, train: DataFrame, base: DataFrame, root: str, versio
     path = f"{root.rstrip('/')}/version={version}"
     model.trees.write().overwrite().save(f"{path}/trees")
     model.devices.table.write.mode("overwrite").parquet(f"{path}/device_codes")
-    model.devices.default.write.mode("overwrite").parquet(f"{path}/device_default")
+    spark = base.sparkSession
+    spark.range(1).select(F.lit(model.devices.default).cast("double").alias("encoding")).write.mode("overwrite").json(f"{path}/device_default")
     model.roads.write.mode("overwrite").parquet(f"{path}/road_codes")
     road_device_lists(road_devices(base)).write.mode("overwrite").json(f"{path}/road_devices")
     write_reference(train, path, model.settings)
@@ -125,9 +125,10 @@ def write_reference(train: DataFrame, path: str, settings: ModelSettings) -> Non
 
 def load(spark: SparkSession, path: str, settings: ModelSettings = ModelSettings()) -> SpeedModel:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
+    default = spark.read.schema("encoding double").json(f"{path}/device_default").first().encoding
     return SpeedModel(
         PipelineModel.load(f"{path}/trees"),
-        TargetEncoding(read("device_codes"), read("device_default"), "device_id"),
+        TargetEncoding(read("device_codes"), default, "device_id"),
         read("road_codes"),
         settings,
     )

@@ -31,6 +31,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return prepare(spark)
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """The number of tasks the session is set up to shuffle into."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
