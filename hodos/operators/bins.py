@@ -57,8 +57,9 @@ def hexagon_density(df: DataFrame, x: str, y: str, columns: int = 75) -> DataFra
         "v",
         F.bround("u").alias("corner_u"),
         F.bround("v").alias("corner_v"),
-        (F.floor("u") + 0.5).alias("centre_u"),
-        (F.floor("v") + 0.5).alias("centre_v"),
+        # The shifted lattice ends half a cell inside the upper edges.
+        (F.least(F.floor("u"), F.lit(columns - 1)) + 0.5).alias("centre_u"),
+        (F.least(F.floor("v"), F.lit(rows - 1)) + 0.5).alias("centre_v"),
     )
     gap = lambda a, b: F.pow(F.col("u") - F.col(a), 2) + 3 * F.pow(F.col("v") - F.col(b), 2)
     on_corner = gap("corner_u", "corner_v") < gap("centre_u", "centre_v")

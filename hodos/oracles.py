@@ -275,7 +275,7 @@ _GROUPS = "SELECT device_id, count(*) AS n, sum(average_speed) AS t, sum(average
 _ALL = "SELECT count(*) AS an, sum(average_speed) AS at_, sum(average_speed * average_speed) AS as_ FROM base"
 _HEX = """SELECT *, CASE WHEN power(u - cu, 2) + 3 * power(v - cv, 2) < power(u - mu, 2) + 3 * power(v - mv, 2) THEN cu ELSE mu END AS hex_x,
   CASE WHEN power(u - cu, 2) + 3 * power(v - cv, 2) < power(u - mu, 2) + 3 * power(v - mv, 2) THEN cv ELSE mv END AS hex_y
-  FROM (SELECT *, round_even(u, 0) AS cu, round_even(v, 0) AS cv, floor(u) + 0.5 AS mu, floor(v) + 0.5 AS mv
+  FROM (SELECT *, round_even(u, 0) AS cu, round_even(v, 0) AS cv, least(floor(u), 74) + 0.5 AS mu, least(floor(v), 42) + 0.5 AS mv
   FROM (SELECT (average_speed - x0) / sx AS u, (prediction - y0) / sy AS v, x0, y0, sx, sy FROM scored,
   (SELECT min(average_speed) AS x0, (max(average_speed) - min(average_speed)) / 75 AS sx, min(prediction) AS y0, (max(prediction) - min(prediction)) / 43 AS sy FROM scored)))"""
 

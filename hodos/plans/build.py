@@ -60,7 +60,7 @@ def refresh_facts(warehouse: Warehouse, as_of: datetime, full: bool, lookback_da
         warehouse.replace(FCT_MEASUREMENTS, facts.measurements_by_month(staged, devices, spine_start, last), sort_by=("device_id", "processed_at"))
         return None
     bound = facts.reprocess_bound(_newest(warehouse, anchor), lookback_days)
-    rebuilt = facts.recent_measurements(staged, devices, bound, spine_start, last, by_month=True)
+    rebuilt = facts.recent_measurements(warehouse.read(STG_TRAFFIC, since=bound), devices, bound, spine_start, last, by_month=True)
     warehouse.upsert(FCT_MEASUREMENTS, cut(rebuilt), facts.KEYS)
     return bound
 

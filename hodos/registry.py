@@ -539,7 +539,7 @@ def stream_daily(spark, sf_dir):
     watermark has passed it, so the last one, still open, is not in the result."""
     out = scratch(spark, "daily")
     staged = warehouse_of(spark, sf_dir)
-    source = spark.readStream.schema(staged.read(STG_TRAFFIC).schema).parquet(staged.path(STG_TRAFFIC))
+    source = spark.readStream.schema(STG_TRAFFIC.schema).parquet(staged.path(STG_TRAFFIC))
     timed = source.withColumn("event_time", F.col("processed_at").cast("timestamp"))
     _drain(live.daily_totals(timed, "1 hour"), out)
     return spark.read.parquet(out)

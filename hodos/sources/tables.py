@@ -21,20 +21,24 @@ from hodos.operators.dedup import keep_first
 from hodos.schemas import FACTS, ROADS, STAGING
 from hodos.sources.files import Files
 
-PERIOD = ("processed_year", "processed_month")
-
-
 @dataclass(frozen=True)
 class Table:
+    """``derived`` names a partition column computed from the key. It exists on disk only."""
+
     name: str
     schema: T.StructType | None = None
     partition_by: tuple[str, ...] = ()
+    derived: str | None = None
 
 
-STG_TRAFFIC = Table("stg_traffic", STAGING, PERIOD)
+# Staging rows carry the year and month of the folder they were delivered in, which a late
+# correction may change. Rows lie by the month of their own timestamp instead, so a key
+# never moves to another partition.
+PERIOD = T.StructField("period", T.StringType(), True)
+STG_TRAFFIC = Table("stg_traffic", T.StructType([*STAGING.fields, PERIOD]), ("period",), derived="period")
 DIM_ROADS = Table("dim_roads", ROADS)
-FCT_MEASUREMENTS = Table("fct_measurements", FACTS, PERIOD)
-MRT_TRAFFIC_ROAD = Table("mrt_traffic_road", None, PERIOD)
+FCT_MEASUREMENTS = Table("fct_measurements", FACTS, ("processed_year", "processed_month"))
+MRT_TRAFFIC_ROAD = Table("mrt_traffic_road", None, ("processed_year", "processed_month"))
 
 
 class Warehouse:
@@ -54,13 +58,26 @@ class Warehouse:
         self._recover(table)
         return self._files.exists(f"{self.path(table)}/_SUCCESS")
 
-    def read(self, table: Table) -> DataFrame:
+    def read(self, table: Table, since: datetime | None = None) -> DataFrame:
+        """The table; ``since`` leaves out months before a moment where rows lie by month."""
+        rows = self._load(table)
+        if table.derived is None:
+            return rows
+        if since is not None:
+            rows = rows.where(F.col(table.derived) >= since.strftime("%Y-%m"))
+        return rows.drop(table.derived)
+
+    def _load(self, table: Table) -> DataFrame:
         self._recover(table)
         return self._reader(table).parquet(self.path(table))
 
+    def _placed(self, table: Table, df: DataFrame) -> DataFrame:
+        return df if table.derived is None else df.withColumn(table.derived, F.date_format("processed_at", "yyyy-MM"))
+
     def replace(self, table: Table, df: DataFrame, sort_by: Sequence[str] = ()) -> None:
         """Full rebuild."""
         self.exists(table)  # finish an interrupted write first
+        df = self._placed(table, df)
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
         elif table.partition_by:
@@ -73,20 +90,20 @@ class Warehouse:
 
         With ``order`` the first row per key under that order wins, whichever side it
         comes from; then batches may arrive in any sequence. Only the partitions the batch
-        touches are read and rewritten; a key must not move between partitions. ``batch``
-        is read more than once, so hand in something already written or checkpointed.
+        touches are read and rewritten, so a key has to determine its partition. ``batch``
+        is read more than once; hand in something already written or checkpointed.
         """
         if not self.exists(table):
             self.replace(table, batch)
             return
-        current = self.read(table)
+        current, batch = self._load(table), self._placed(table, batch)
         if table.partition_by:
             # One row per calendar month in the batch.
             touched = batch.select(*table.partition_by).distinct().collect()
             if not touched:
                 return
             current = current.where(reduce(lambda a, b: a | b, [
-                reduce(lambda a, b: a & b, [F.col(c) == row[c] for c in table.partition_by]) for row in touched
+                reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[c])) for c in table.partition_by]) for row in touched
             ]))
         if order is not None:
             merged = keep_first(current.unionByName(batch), keys, order)
