@@ -70,16 +70,17 @@ def hourly_spans(readings: DataFrame, devices: DataFrame, first: Column, last: C
     return chained.select("device_id", F.explode(pieces).alias("s")).where("s IS NOT NULL").select("device_id", "s.*")
 
 
-def split_by_month(spans: DataFrame) -> DataFrame:
-    """Cut spans at month ends, so each lies in one (year, month) partition."""
-    month = F.expr("INTERVAL 1 MONTH")
-    start = F.col("month_start").cast("timestamp_ntz")
+def split_spans(spans: DataFrame, unit: str) -> DataFrame:
+    """Cut spans at the ends of calendar units, ``MONTH`` or ``DAY``."""
+    step = F.expr(f"INTERVAL 1 {unit}")
+    unit_of = (lambda name: F.trunc(name, "MM")) if unit == "MONTH" else (lambda name: F.col(name).cast("date"))
+    start = F.col("unit_start").cast("timestamp_ntz")
     rest = [name for name in spans.columns if name not in ("first_hour", "last_hour")]
-    months = F.sequence(F.trunc("first_hour", "MM"), F.trunc("last_hour", "MM"), month)
-    return spans.withColumn("month_start", F.explode(months)).select(
+    units = F.sequence(unit_of("first_hour"), unit_of("last_hour"), step)
+    return spans.withColumn("unit_start", F.explode(units)).select(
         *rest,
         F.greatest(F.col("first_hour"), start).alias("first_hour"),
-        F.least(F.col("last_hour"), start + month - hours(1)).alias("last_hour"),
+        F.least(F.col("last_hour"), start + step - hours(1)).alias("last_hour"),
     )
 
 

@@ -33,7 +33,7 @@ def _newest(warehouse: Warehouse, anchor: str) -> datetime:
     # "spine" looks back from the newest hour generated so far, whether or not it had
     # data; "data" from the newest hour with a reading, so an outage loses nothing.
     if anchor == "spine":
-        return warehouse.latest(FCT_MEASUREMENTS, "processed_at")
+        return warehouse.latest(FCT_MEASUREMENTS, "processed_at", newest_partition=True)
     found = warehouse.read(FCT_MEASUREMENTS).where("NOT is_missing").agg(F.max("processed_at")).first()[0]
     return found or datetime(1970, 1, 1)
 
@@ -57,10 +57,10 @@ def refresh_facts(warehouse: Warehouse, as_of: datetime, full: bool, lookback_da
     staged, devices = warehouse.read(STG_TRAFFIC), warehouse.read(DIM_ROADS)
     last = as_of.replace(minute=0, second=0, microsecond=0)
     if full or not warehouse.exists(FCT_MEASUREMENTS):
-        warehouse.replace(FCT_MEASUREMENTS, facts.measurements_by_month(staged, devices, spine_start, last), sort_by=("device_id", "processed_at"))
+        warehouse.replace(FCT_MEASUREMENTS, facts.measurements_by_day(staged, devices, spine_start, last), sort_by=("device_id", "processed_at"))
         return None
     bound = facts.reprocess_bound(_newest(warehouse, anchor), lookback_days)
-    rebuilt = facts.recent_measurements(warehouse.read(STG_TRAFFIC, since=bound), devices, bound, spine_start, last, by_month=True)
+    rebuilt = facts.recent_measurements(warehouse.read(STG_TRAFFIC, since=bound), devices, bound, spine_start, last, by_day=True)
     warehouse.upsert(FCT_MEASUREMENTS, cut(rebuilt), facts.KEYS)
     return bound
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hodos.functions.calendar import calendar_columns, naive
 from hodos.functions.measures import quality_flags
-from hodos.operators.gapfill import expand, hourly_spans, on_grid, split_by_month, span_hours
+from hodos.operators.gapfill import expand, hourly_spans, on_grid, split_spans, span_hours
 from hodos.schemas import FACTS
 from hodos.session import shuffle_tasks
 
@@ -30,19 +30,19 @@ def measurements(staged: DataFrame, devices: DataFrame, first: Moment, last: Mom
     return _described(expand(hourly_spans(staged, devices, first, last)))
 
 
-def measurements_by_month(staged: DataFrame, devices: DataFrame, first: datetime, last: datetime) -> DataFrame:
-    """The same rows, laid out for a write partitioned by month.
+def measurements_by_day(staged: DataFrame, devices: DataFrame, first: datetime, last: datetime) -> DataFrame:
+    """The same rows, laid out for a write partitioned by day.
 
-    Spans are cut at month ends and gathered by month before they become hours: the
-    exchange moves one row per reading and gap, never the dense grid. A month is spread
+    Spans are cut at midnight and gathered by day before they become hours: the exchange
+    moves one row per reading and one per silent day, never the dense grid. A day is spread
     over as many tasks as its share of the range, by device, so each task writes about one
     file and all are alike in size.
     """
-    months = (last.year - first.year) * 12 + last.month - first.month + 1
+    n_days = (last.date() - first.date()).days + 1
     tasks = shuffle_tasks(staged.sparkSession)
-    spans = split_by_month(hourly_spans(staged, devices, first, last))
-    part = F.pmod(F.xxhash64("device_id"), F.lit(-(-tasks // months)))
-    return _described(expand(spans.repartition(tasks, F.trunc("first_hour", "MM"), part)))
+    spans = split_spans(hourly_spans(staged, devices, first, last), "DAY")
+    part = F.pmod(F.xxhash64("device_id"), F.lit(-(-tasks // n_days)))
+    return _described(expand(spans.repartition(tasks, F.col("first_hour").cast("date"), part)))
 
 
 def observed_measurements(staged: DataFrame, first: Moment, last: Moment) -> DataFrame:
@@ -56,7 +56,7 @@ def observed_measurements(staged: DataFrame, first: Moment, last: Moment) -> Dat
 
 def measured_spans(staged: DataFrame, devices: DataFrame, first: Moment, last: Moment) -> DataFrame:
     """The fact in run-length form: a gap is one row per month with its number of hours."""
-    spans = split_by_month(hourly_spans(staged, devices, first, last))
+    spans = split_spans(hourly_spans(staged, devices, first, last), "MONTH")
     counted = spans.withColumn("hours", span_hours()).withColumnRenamed("first_hour", "processed_at")
     return counted.select(
         "device_id",
@@ -78,7 +78,7 @@ def reprocess_bound(newest: datetime, lookback_days: int = 2) -> datetime:
     return newest - timedelta(days=lookback_days)
 
 
-def recent_measurements(staged: DataFrame, devices: DataFrame, bound: datetime, spine_start: datetime, last: datetime, by_month: bool = False) -> DataFrame:
+def recent_measurements(staged: DataFrame, devices: DataFrame, bound: datetime, spine_start: datetime, last: datetime, by_day: bool = False) -> DataFrame:
     """The dense fact after ``bound``.
 
     The bound goes into the range the hours are generated from, and as a filter into the
@@ -87,7 +87,7 @@ def recent_measurements(staged: DataFrame, devices: DataFrame, bound: datetime,
     """
     first = max(bound.replace(minute=0, second=0, microsecond=0) + timedelta(hours=1), spine_start)
     recent = staged.where(F.col("processed_at") >= naive(bound))
-    return (measurements_by_month if by_month else measurements)(recent, devices, first, last)
+    return (measurements_by_day if by_day else measurements)(recent, devices, first, last)
 
 
 def late_readings(batch: DataFrame, bound: Moment) -> DataFrame:

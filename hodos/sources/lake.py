@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from hodos.functions.calendar import as_date, day_spine, naive
 from hodos.schemas import LAKE, LAKE_PARTITIONS, LANDING
+from hodos.session import cut
 from hodos.sources.files import Files
 
 TARGET_FILE_BYTES = 512 * 1024 * 1024
@@ -108,11 +109,13 @@ def backfill(
     the range are never touched, not even in a month the range covers in part.
     """
     landed = read_landing(spark, landing, multiline=multiline).where(F.col("date").between(as_date(start), as_date(end)))
-    missing = missing_days(landed.select(F.col("date").alias("day")), start, end)
+    # The days, from the folder names: a pass that parses no record, made once.
+    present = cut(landed.select(F.col("date").alias("day")).distinct())
+    missing = missing_days(present, start, end)
     if strict and not missing.isEmpty():
         raise DataMissingError(f"no records for {missing.count()} days in {start}..{end}")
     write_batches(stamp(landed, ingested_at), root)
-    months = landed.select(F.year("date").alias("y"), F.month("date").alias("m")).distinct()
+    months = present.select(F.year("day").alias("y"), F.month("day").alias("m")).distinct()
     # One row per calendar month of the range.
     done = [compact_month(spark, root, row.y, row.m) for row in sorted(months.collect())]
     return Backfill(missing, done)
@@ -178,7 +181,8 @@ def compact_month(
         return Compaction(year, month, len(sizes), len(sizes), None)
 
     files.delete(work)  # leftovers without a plan are incomplete
-    rows = read_lake(spark, root, schema=schema).where((F.col("year") == year) & (F.col("month") == month)).drop(*LAKE_PARTITIONS)
+    # Only the month's own folder is listed, not the lake.
+    rows = spark.read.schema(schema).option("basePath", root).parquet(month_dir).drop(*LAKE_PARTITIONS)
     keys = [name for name in sort_by if name in rows.columns]
     (
         rows.repartitionByRange(wanted, *keys)

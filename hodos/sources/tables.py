@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -31,13 +30,14 @@ class Table:
     derived: str | None = None
 
 
-# Staging rows carry the year and month of the folder they were delivered in, which a late
-# correction may change. Rows lie by the month of their own timestamp instead, so a key
-# never moves to another partition.
-PERIOD = T.StructField("period", T.StringType(), True)
-STG_TRAFFIC = Table("stg_traffic", T.StructType([*STAGING.fields, PERIOD]), ("period",), derived="period")
+# Tables that are merged lie by the day of the reading, so a daily batch rewrites a few days
+# and not months. The day follows from the key: a row never moves to another partition.
+# (The year and month a staging row carries are those of its delivery folder, which a late
+# correction may change.)
+DAY = T.StructField("day", T.StringType(), True)
+STG_TRAFFIC = Table("stg_traffic", T.StructType([*STAGING.fields, DAY]), ("day",), derived="day")
 DIM_ROADS = Table("dim_roads", ROADS)
-FCT_MEASUREMENTS = Table("fct_measurements", FACTS, ("processed_year", "processed_month"))
+FCT_MEASUREMENTS = Table("fct_measurements", T.StructType([*FACTS.fields, DAY]), ("day",), derived="day")
 MRT_TRAFFIC_ROAD = Table("mrt_traffic_road", None, ("processed_year", "processed_month"))
 
 
@@ -59,12 +59,12 @@ class Warehouse:
         return self._files.exists(f"{self.path(table)}/_SUCCESS")
 
     def read(self, table: Table, since: datetime | None = None) -> DataFrame:
-        """The table; ``since`` leaves out months before a moment where rows lie by month."""
+        """The table; ``since`` leaves out the days before a moment where rows lie by day."""
         rows = self._load(table)
         if table.derived is None:
             return rows
         if since is not None:
-            rows = rows.where(F.col(table.derived) >= since.strftime("%Y-%m"))
+            rows = rows.where(F.col(table.derived) >= since.strftime("%Y-%m-%d"))
         return rows.drop(table.derived)
 
     def _load(self, table: Table) -> DataFrame:
@@ -72,14 +72,16 @@ class Warehouse:
         return self._reader(table).parquet(self.path(table))
 
     def _placed(self, table: Table, df: DataFrame) -> DataFrame:
-        return df if table.derived is None else df.withColumn(table.derived, F.date_format("processed_at", "yyyy-MM"))
+        return df if table.derived is None else df.withColumn(table.derived, F.col("processed_at").cast("date").cast("string"))
 
     def replace(self, table: Table, df: DataFrame, sort_by: Sequence[str] = ()) -> None:
         """Full rebuild."""
         self.exists(table)  # finish an interrupted write first
         df = self._placed(table, df)
         if sort_by:
-            df = df.sortWithinPartitions(*sort_by)
+            # Led by the partition columns: the writer would otherwise sort by them again
+            # and lose the order asked for.
+            df = df.sortWithinPartitions(*table.partition_by, *sort_by)
         elif table.partition_by:
             df = df.hint("rebalance", *table.partition_by)
         self._stage(table, df, "replace")
@@ -98,13 +100,14 @@ class Warehouse:
             return
         current, batch = self._load(table), self._placed(table, batch)
         if table.partition_by:
-            # One row per calendar month in the batch.
+            # One row per day in the batch.
             touched = batch.select(*table.partition_by).distinct().collect()
             if not touched:
                 return
-            current = current.where(reduce(lambda a, b: a | b, [
-                reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[c])) for c in table.partition_by]) for row in touched
-            ]))
+            place = F.struct(*table.partition_by) if len(table.partition_by) > 1 else F.col(table.partition_by[0])
+            values = [tuple(row) if len(row) > 1 else row[0] for row in touched]
+            inside = place.isin([v for v in values if v is not None])
+            current = current.where(inside | place.isNull() if None in values else inside)
         if order is not None:
             merged = keep_first(current.unionByName(batch), keys, order)
         else:
@@ -114,11 +117,19 @@ class Warehouse:
         self._stage(table, merged.select(*current.columns), "merge")
         self._publish_merge(table)
 
-    def latest(self, table: Table, column: str, empty: datetime = datetime(1970, 1, 1)) -> datetime:
-        """High-water mark of a column; ``empty`` for a missing or empty table."""
+    def latest(self, table: Table, column: str, empty: datetime = datetime(1970, 1, 1), newest_partition: bool = False) -> datetime:
+        """High-water mark of a column; ``empty`` for a missing or empty table.
+
+        ``newest_partition`` looks into the last partition only, right for a column the
+        partitions are ordered by. Finding that partition reads no data.
+        """
         if not self.exists(table):
             return empty
-        return self.read(table).agg(F.max(column)).first()[0] or empty
+        rows = self._load(table)
+        if newest_partition:
+            place = table.partition_by[0]
+            rows = rows.where(F.col(place) == rows.agg(F.max(place)).first()[0])
+        return rows.agg(F.max(column)).first()[0] or empty
 
     # -- staging ------------------------------------------------------------------
 

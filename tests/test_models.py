@@ -91,7 +91,7 @@ def brute_force(staged, devices, first, last):
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("build_fact", [facts.measurements, facts.measurements_by_month])
+@pytest.mark.parametrize("build_fact", [facts.measurements, facts.measurements_by_day])
 def test_dense_grid_equals_brute_force(spark, build_fact):
     first, last = at(-30), at(24 * 33)  # over two month ends
     staged = staging.stage(
@@ -297,7 +297,7 @@ def test_a_later_delivery_replaces_the_staged_row(spark, folder):
 def test_upsert_touches_only_partitions_of_the_batch(spark, folder):
     warehouse = Warehouse(spark, folder)
     warehouse.replace(STG_TRAFFIC, staging.stage(raw(spark, ("a", 0, 1, 1.0, 10), ("a", 24 * 31, 1, 1.0, 10))))
-    january = f"{warehouse.path(STG_TRAFFIC)}/period=2024-01"
+    january = f"{warehouse.path(STG_TRAFFIC)}/day=2024-01-01"
     files = lambda: [r.path for r in spark.read.format("binaryFile").load(january).select("path").collect()]
     before = files()
     batch = staging.stage(raw(spark, ("a", 24 * 31, 5, 5.0, 20), ("b", 24 * 31, 6, 6.0, 20)))
