@@ -172,13 +172,23 @@ def fct_measurements(spark, sf_dir):
     return facts.measurements(staged, roads.latest_roads(staged), *testdata.hour_range(spark, sf_dir))
 
 
-@query
-def mrt_traffic_road(spark, sf_dir):
+def month_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold table straight from the raw records, without the dense grid."""
     staged = silver_once(spark, sf_dir)
     observed = facts.observed_measurements(staged, *testdata.hour_range(spark, sf_dir))
     return marts.traffic_road(observed, roads.latest_roads(staged))
 
 
+@query
+def mrt_traffic_road(spark, sf_dir):
+    return month_mart(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cars and weighted speed per day, from raw records to report in one go."""
+    return rounded(reporting.daily_speed_count(marts.last_days(month_mart(prepare(spark), sf_dir))))
+
+
 @query
 def warehouse_build(spark, sf_dir):
     """Full rebuild of every table from the raw records; rows per table."""
