@@ -5,8 +5,8 @@ from compare import compare, oracle_connection
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_point
-
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+from hodos.oracles import ORACLES
+from hodos.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
