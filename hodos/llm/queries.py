@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hodos.llm import decontaminate, near, quality
+from hodos.llm import decontaminate, mixing, near, quality
 from hodos.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +28,11 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": _over(near.near),
     "op3_benchmark_decontamination": _over(decontaminate.leaks),
     "op8_quality_classifier": _over(quality.quality),
+    "op9_source_mixing": _over(mixing.mix),
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": near.SQL,
     "op3_benchmark_decontamination": decontaminate.SQL,
+    "op9_source_mixing": mixing.SQL,
 }
