@@ -24,7 +24,7 @@ from hodos.session import scratch
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 #: Rows of one (source, range) that are ordered together, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 8_192
 
 
 def size_of(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hodos.llm import decontaminate, mixing, near, quality
+from hodos.llm import decontaminate, mixing, near, order, quality
 from hodos.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op3_benchmark_decontamination": _over(decontaminate.leaks),
     "op8_quality_classifier": _over(quality.quality),
     "op9_source_mixing": _over(mixing.mix),
+    "op10_training_order": _over(order.training_order),
 }
 
 ORACLES: dict[str, str] = {
