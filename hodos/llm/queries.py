@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hodos.llm import decontaminate, mixing, near, order, quality
+from hodos.llm import decontaminate, mixing, near, order, ppm, quality
 from hodos.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def _over(function: Query) -> Query:
 QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": _over(near.near),
     "op3_benchmark_decontamination": _over(decontaminate.leaks),
+    "op5_lm_scoring": _over(ppm.language_model),
     "op8_quality_classifier": _over(quality.quality),
     "op9_source_mixing": _over(mixing.mix),
     "op10_training_order": _over(order.training_order),
