@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import tiktoken
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,7 +36,7 @@ class Encoder(dict):
         self.whole = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __missing__(self, unit: bytes) -> bytes:
-        ids = np.array(self.whole.encode_ordinary(unit.decode()), "<u2").tobytes()
+        ids = array("H", self.whole.encode_ordinary(unit.decode())).tobytes()
         if len(self) < REMEMBERED:
             self[unit] = ids
         return ids
@@ -48,7 +48,7 @@ class Encoder(dict):
         return UNIT.findall(text.encode())
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.units(text)))
+        return array("H", self.whole.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(maxsize=1)
