@@ -25,7 +25,6 @@ columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,9 +69,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(kind: int, names: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names.astype(np.int64)), pa.array(times.astype(np.int64))], names=["kind", "name", "times"])
 
+    _held.clear()  # a model of an earlier run is of no use while counting
     for batch in batches:
         texts = _lowered(batch)
-        for a, b in blocks_of(texts, 1 << 23):
+        for a, b in blocks_of(texts, 1 << 21):
             flat, depth = _flat(texts[a:b])
             code = _codes(flat, ORDER)
             for d in range(ORDER + 1):
@@ -122,7 +122,7 @@ class Names:
 
     def __init__(self, names: np.ndarray):
         self.names = names
-        self.bits = max(4, int(len(names) * 6).bit_length())
+        self.bits = max(4, int(len(names) * 3).bit_length())
         self.guess = np.zeros(1 << self.bits, np.int32)
         self.guess[self._hash(names)] = np.arange(len(names), dtype=np.int32)
 
@@ -218,16 +218,23 @@ def _read(folder: str) -> pa.Table | None:
     return pa.concat_tables(parts) if parts else None
 
 
-@lru_cache(maxsize=1)
+#: What this worker has read, by folder; at most one model.
+_held: dict[str, tuple[Trie, Names, np.ndarray]] = {}
+
+
 def _learned(folder: str, deepest: int) -> tuple[Trie, Names, np.ndarray]:
     """The trie, and the names and counts of the common words, once for each worker."""
+    if folder in _held:
+        return _held[folder]
+    _held.clear()
     levels = [_read(f"{folder}/trie/d={d}") for d in range(deepest + 1)]
     depth = np.concatenate([np.full(len(t), d) for d, t in enumerate(levels)] or [np.zeros(0, int)])
     code, times = (np.concatenate([t[c].to_numpy() for t in levels] or [np.zeros(0, np.int64)]) for c in ("code", "times"))
     common = _read(f"{folder}/common")
     names, counts = (common[c].to_numpy() if common is not None else np.zeros(0, np.int64) for c in ("name", "times"))
     order = np.argsort(names)
-    return Trie(depth, code, times), Names(names[order]), counts[order]
+    _held[folder] = Trie(depth, code, times), Names(names[order]), counts[order]
+    return _held[folder]
 
 
 def scored(rows: DataFrame, model: dict, folder: str) -> DataFrame:

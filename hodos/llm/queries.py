@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hodos.llm import decontaminate, mixing, near, order, ppm, quality
+from hodos.llm import decontaminate, lines, mixing, near, order, outliers, ppm, quality, tokens, warc
 from hodos.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,16 +25,22 @@ def _over(function: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": _over(warc.round_trip),
     "op2_ngram_jaccard_join": _over(near.near),
     "op3_benchmark_decontamination": _over(decontaminate.leaks),
+    "op4_quality_rules": _over(outliers.quality_rules),
     "op5_lm_scoring": _over(ppm.language_model),
+    "op6_token_counts": _over(tokens.token_counts),
+    "op7_line_dedup": _over(lines.line_dedup),
     "op8_quality_classifier": _over(quality.quality),
     "op9_source_mixing": _over(mixing.mix),
     "op10_training_order": _over(order.training_order),
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.SQL,
     "op2_ngram_jaccard_join": near.SQL,
     "op3_benchmark_decontamination": decontaminate.SQL,
+    "op7_line_dedup": lines.SQL,
     "op9_source_mixing": mixing.SQL,
 }
