@@ -84,7 +84,7 @@ def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
     first = np.r_[True, owner[1:] != owner[:-1]]
     left = np.bincount(owner, minlength=len(texts))[owner] - (np.arange(n) - np.flatnonzero(first)[np.cumsum(first) - 1])
     total = np.zeros(n, np.uint64)
-    for j in range(width):
+    for j in range(min(width, n)):
         total[: n - j] += np.where(left[: n - j] > j, hashes[j:] * _SLOT[j], np.uint64(0))
     keep = (left >= width) | first
     return mixed(total[keep]), owner[keep]

@@ -55,15 +55,15 @@ def cleaned(documents: DataFrame) -> DataFrame:
     """``documents`` without boilerplate lines, with n_lines (with a word) and n_removed."""
     hits = _lines(documents).join(boilerplate(documents).select("a", "b"), ["a", "b"])
     places = hits.groupBy("doc_id", "copy").agg(F.collect_set("place").alias("places"))
-    places = places.select(F.col("doc_id").alias("hit_id"), F.col("copy").alias("hit_copy"), "places")
+    places = places.select(F.col("doc_id").alias("hit_id"), F.col("copy").alias("hit_copy"), F.col("places").alias("hit_places_"))
     rows = documents.withColumn("copy_", F.xxhash64("text"))
     met = rows.join(places, rows.doc_id.eqNullSafe(places.hit_id) & (rows.copy_ == places.hit_copy), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     worded = F.size(F.filter(lines, lambda x: _bare(x) != ""))
-    kept = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n"))
+    kept = F.when(F.col("hit_places_").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("hit_places_", i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(worded).cast("long")
-    n_removed = F.coalesce(F.size("places"), F.lit(0)).cast("long")
-    return met.select(*[rows[c] for c in documents.columns if c not in ("text", "n_lines", "n_removed")], n_lines.alias("n_lines"), F.when(F.col("places").isNull(), F.lit(0)).otherwise(n_removed).cast("long").alias("n_removed"), kept.alias("text"))
+    n_removed = F.coalesce(F.size("hit_places_"), F.lit(0)).cast("long")
+    return met.select(*[rows[c] for c in documents.columns if c not in ("text", "n_lines", "n_removed")], n_lines.alias("n_lines"), F.when(F.col("hit_places_").isNull(), F.lit(0)).otherwise(n_removed).cast("long").alias("n_removed"), kept.alias("text"))
 
 
 def line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -90,11 +90,10 @@ def _taken(spark, narrow: DataFrame) -> DataFrame:
 def selected(documents: DataFrame) -> DataFrame:
     """``documents`` as mixed: each row once for every epoch in which words of it are taken; the
     row in which a budget ends is kept whole in that epoch."""
-    taken = mixed(documents).filter("taken > 0").select("doc_id", "size", "source", "taken")
-    taken = taken.groupBy("doc_id", "size", "source").agg(F.max("taken").alias("taken"))
+    taken = mixed(documents).filter("taken > 0").groupBy(F.col("doc_id").alias("m_id_"), F.col("size").alias("m_size_"), F.col("source").alias("m_source_")).agg(F.max("taken").alias("m_taken_"))
     rows = documents.withColumn("size_", size_of(F.col("text").cast("string")))
-    met = rows.join(taken, rows.doc_id.eqNullSafe(taken.doc_id) & (rows.size_ == taken["size"]) & rows.source.eqNullSafe(taken.source))
-    times = F.ceil(F.col("taken") / F.col("size_")).cast("int")
+    met = rows.join(taken, rows.doc_id.eqNullSafe(taken.m_id_) & (rows.size_ == taken.m_size_) & rows.source.eqNullSafe(taken.m_source_))
+    times = F.ceil(F.col("m_taken_") / F.col("m_size_")).cast("int")
     return met.select(*[rows[c] for c in documents.columns], F.explode(F.sequence(F.lit(1), times)).alias("epoch_")).select(*documents.columns)
 
 
