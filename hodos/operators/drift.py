@@ -68,7 +68,7 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequenc
     sizes = counts.groupBy(F.col("column_name").alias("sized")).agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
     sized = counts.join(F.broadcast(sizes), F.col("column_name") == F.col("sized"))
     n_ref, n_cur = F.col("n_ref"), F.col("n_cur")
-    p, q = F.col("ref") / n_ref, F.col("cur") / n_cur
+    p, q = F.col("ref") / F.nullif(n_ref, F.lit(0)), F.col("cur") / F.nullif(n_cur, F.lit(0))
     middle = (p + q) / 2
     part = lambda x: F.when(x > 0, x * F.log(x / middle)).otherwise(F.lit(0.0))
     divergence = F.sum((part(p) + part(q)) / 2)

@@ -405,7 +405,7 @@ SELECTS: dict[str, str] = {
     "density_hex": f"""SELECT hex_x, hex_y, round(any_value(x0 + hex_x * sx) + 1e-9, 6) AS x_centre, round(any_value(y0 + hex_y * sy) + 1e-9, 6) AS y_centre, count(*) AS n_rows, round(log10(count(*)) + 1e-9, 6) AS log_rows
   FROM ({_HEX}) GROUP BY 1, 2""",
     "scatter_sample": f"SELECT device_id, \"date\", \"hour\", average_speed, prediction FROM scored ORDER BY {_md5(42)} LIMIT 1000",
-    "latest_run": """SELECT (SELECT max_by(run_id, cast(version AS integer)) FROM versions) AS model_run, (SELECT max(cast(version AS integer)) FROM versions) AS version,
+    "latest_run": """SELECT (SELECT max_by(run_id, cast(version AS bigint)) FROM versions) AS model_run, (SELECT max(cast(version AS bigint)) FROM versions) AS version,
   (SELECT run_id FROM versions ORDER BY start_time DESC, run_id DESC LIMIT 1) AS newest_run""",
     "reference_sample": "SELECT * FROM reference",
     "shared_columns": "SELECT device_id, road_name, average_speed FROM recent14",

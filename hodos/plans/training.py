@@ -142,7 +142,7 @@ def load_road_devices(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_version(versions: DataFrame) -> DataFrame:
     """The registry row with the highest version, compared as a number."""
-    number = F.col("version").cast("int")
+    number = F.col("version").cast("bigint")
     return versions.agg(F.max_by("run_id", number).alias("run_id"), F.max(number).alias("version"))
 
 
