@@ -62,9 +62,9 @@ def _facts(devices: str, slots: str, staged: str) -> str:
   cast(year(h.hourly_slot) AS integer) AS processed_year, cast(month(h.hourly_slot) AS integer) AS processed_month,
   dayname(h.hourly_slot) AS processed_day, strftime(h.hourly_slot, '%H:%M') AS processed_hour,
   s.ingested_at, s.counted_cars, s.average_speed,
-  CASE WHEN s.counted_cars = 0 AND s.average_speed > 0 THEN true WHEN s.counted_cars > 0 AND s.average_speed = 0 THEN true ELSE false END AS is_ghost_reading,
-  CASE WHEN s.counted_cars = 0 AND s.average_speed = 0 THEN true ELSE false END AS is_dead,
-  CASE WHEN s.average_speed > 130 THEN true ELSE false END AS is_impossible_speed,
+  coalesce(least(s.counted_cars, s.average_speed) = 0 AND greatest(s.counted_cars, s.average_speed) > 0, false) AS is_ghost_reading,
+  coalesce(s.counted_cars = 0 AND s.average_speed = 0, false) AS is_dead,
+  coalesce(s.average_speed > 130, false) AS is_impossible_speed,
   s.ingested_at IS NULL AS is_missing
   FROM {devices} d CROSS JOIN {slots} h LEFT JOIN {staged} s ON d.device_id = s.device_id AND h.hourly_slot = s.processed_at)"""
 
@@ -142,6 +142,9 @@ CTES: dict[str, str] = {
     "raw2": "SELECT * FROM redelivered WHERE ingested_at > (SELECT max(ingested_at) FROM stg1)",
     "batch2": _dedup(_typed("raw2")),
     "stg2": "SELECT * FROM stg1 WHERE traffic_id NOT IN (SELECT traffic_id FROM batch2) UNION ALL BY NAME SELECT * FROM batch2",
+    "corrected": _dedup(_typed("redelivered")),
+    "respelled": "SELECT * REPLACE (CASE WHEN road_info = 'corrected' THEN replace(appprocesstime, ' ', 'T') || 'Z' ELSE appprocesstime END AS appprocesstime) FROM redelivered",
+    "stg_respelled": _dedup(_typed("respelled")),
     "stg2_new": "SELECT * FROM stg2 WHERE ingested_at > (SELECT max(ingested_at) FROM dim1)",
     "dim_batch2": _roads("stg2_new"),
     "dim2": "SELECT * FROM dim1 WHERE device_id NOT IN (SELECT device_id FROM dim_batch2) UNION ALL BY NAME SELECT * FROM dim_batch2",
@@ -154,7 +157,7 @@ CTES: dict[str, str] = {
     "hist_rows": """SELECT cast(l_suppkey AS varchar) AS device_id, l_shipdate + to_hours(l_linenumber) AS processed_at,
   cast(l_quantity AS bigint) AS counted_cars, cast(l_partkey % 140 AS double) AS average_speed,
   cast(s_nationkey AS varchar) AS road_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_partkey % 140 BETWEEN 1 AND 130""",
+  WHERE cast(l_quantity AS bigint) <> 0 AND l_partkey % 140 <> 0 AND l_partkey % 140 <= 130""",
     "hist": """SELECT device_id, processed_at, cast(processed_at AS date) AS processed_date,
   cast(year(processed_at) AS integer) AS processed_year, cast(month(processed_at) AS integer) AS processed_month,
   dayname(processed_at) AS processed_day, strftime(processed_at, '%H:%M') AS processed_hour,
@@ -174,6 +177,7 @@ CTES: dict[str, str] = {
     ),
     "marked": f"SELECT *, {_bucket(42, 100)} < 20 AS is_test FROM base",
     "reference": f"SELECT device_id, road_name, \"date\", \"hour\", average_speed FROM marked WHERE NOT is_test ORDER BY {_md5(42)} LIMIT 100000",
+    "train_part": "SELECT * FROM marked WHERE NOT is_test",
     "recent14": f"SELECT * FROM hist WHERE processed_date >= {_TODAY} - 14",
     "scored": _scored("base"),
     "pairs": "SELECT DISTINCT road_name, device_id FROM mart WHERE road_name IS NOT NULL",
@@ -282,7 +286,7 @@ _HEX = """SELECT *, CASE WHEN power(u - cu, 2) + 3 * power(v - cv, 2) < power(u
 
 def _js(column: str) -> str:
     sides = f"""SELECT coalesce(r.value, c.value) AS value, coalesce(r.n, 0) AS ref, coalesce(c.n, 0) AS cur
-  FROM (SELECT {column} AS value, count(*) AS n FROM reference WHERE {column} IS NOT NULL GROUP BY 1) r
+  FROM (SELECT {column} AS value, count(*) AS n FROM train_part WHERE {column} IS NOT NULL GROUP BY 1) r
   FULL JOIN (SELECT {column} AS value, count(*) AS n FROM recent14 WHERE {column} IS NOT NULL GROUP BY 1) c ON r.value = c.value"""
     shares = f"SELECT *, ref / sum(ref) OVER () AS p, cur / sum(cur) OVER () AS q, sum(ref) OVER () AS nr, sum(cur) OVER () AS nc FROM ({sides})"
     term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * ln({x} / ((p + q) / 2)) ELSE 0 END"
@@ -293,10 +297,10 @@ def _js(column: str) -> str:
 
 
 _WASSERSTEIN = """SELECT 'average_speed' AS column_name, 'wasserstein' AS method, score, statistic, score >= 0.1 AS is_drifted FROM (
-  SELECT sum(gap * coalesce(nxt - value, 0)) / greatest((SELECT stddev_pop(average_speed) FROM reference), 0.001) AS score, max(gap) AS statistic FROM (
+  SELECT sum(gap * coalesce(nxt - value, 0)) / greatest((SELECT stddev_pop(average_speed) FROM train_part), 0.001) AS score, max(gap) AS statistic FROM (
   SELECT value, lead(value) OVER (ORDER BY value) AS nxt,
   abs(sum(ref) OVER (ORDER BY value) / sum(ref) OVER () - sum(cur) OVER (ORDER BY value) / sum(cur) OVER ()) AS gap FROM (
-  SELECT value, sum(ref) AS ref, sum(cur) AS cur FROM (SELECT average_speed AS value, 1 AS ref, 0 AS cur FROM reference WHERE average_speed IS NOT NULL
+  SELECT value, sum(ref) AS ref, sum(cur) AS cur FROM (SELECT average_speed AS value, 1 AS ref, 0 AS cur FROM train_part WHERE average_speed IS NOT NULL
   UNION ALL SELECT average_speed, 0, 1 FROM recent14 WHERE average_speed IS NOT NULL) GROUP BY 1)))"""
 _DRIFT = f"({_js('device_id')} UNION ALL {_js('road_name')} UNION ALL {_WASSERSTEIN})"
 _DRIFT_OUT = "SELECT column_name, method, round(score + 1e-9, 6) AS score, round(statistic + 1e-9, 6) AS statistic, is_drifted FROM ({})"
@@ -373,8 +377,8 @@ SELECTS: dict[str, str] = {
     "late_rows": f"SELECT device_id, processed_at, counted_cars, average_speed FROM batch2 WHERE processed_at <= {_BOUND}",
     "stream_staging": f"SELECT {_STG} FROM stg",
     "stream_dedup": "SELECT device_id, processed_at FROM stg",
-    "stream_daily": f"""SELECT processed_date, total_counted_cars, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed FROM ({_DAILY.format('stg')})
-  WHERE processed_date + 1 <= (SELECT max(processed_at) - INTERVAL 1 HOUR FROM stg)""",
+    "stream_daily": f"SELECT processed_date, total_counted_cars, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed FROM ({_DAILY.format('corrected')})",
+    "inc_two_spellings": f"SELECT {_STG} FROM stg_respelled",
     "training_rows": "SELECT * FROM train",
     "base_features": "SELECT * FROM base",
     "time_features": f"SELECT device_id, road_name, average_speed, \"date\", \"hour\", {_TIME} FROM base",
@@ -397,7 +401,7 @@ SELECTS: dict[str, str] = {
   round(round_even(avg(a.prediction), 2) + 1e-9, 6) AS average_predicted_speed_kmh, count(*) AS active_devices_used
   FROM requests r JOIN answers a ON r.road_name = a.road_name AND r.target_date = a."date" AND r.target_hour = a."hour" GROUP BY 1, 2, 3""",
     "road_breakdown": """SELECT road_name, strftime("date", '%Y-%m-%d') || ' ' || lpad(cast("hour" AS varchar), 2, '0') || ':00' AS target_datetime, device_id, round_even(prediction, 2) AS speed FROM answers""",
-    "road_rejects": """SELECT request_id, CASE WHEN target_hour NOT BETWEEN 0 AND 23 THEN 'target_hour outside 0..23' ELSE 'Road ''' || road_name || ''' not found in the trained mapping.' END AS reason
+    "road_rejects": """SELECT request_id, CASE WHEN target_hour NOT BETWEEN 0 AND 23 THEN 'target_hour outside 0..23' ELSE 'no device is known on road ''' || road_name || '''' END AS reason
   FROM requests WHERE target_hour NOT BETWEEN 0 AND 23 OR road_name NOT IN (SELECT road_name FROM pairs)""",
     "residual_hist": """SELECT bin, round(lo + bin * w + 1e-9, 6) AS bin_start, round(lo + (bin + 1) * w + 1e-9, 6) AS bin_end, n_rows, round(n_rows / (n * w) + 1e-9, 6) AS density FROM (
   SELECT cast(least(floor((average_speed - prediction - lo) / w), 49) AS integer) AS bin, any_value(lo) AS lo, any_value(w) AS w, any_value(n) AS n, count(*) AS n_rows FROM scored,
@@ -405,6 +409,7 @@ SELECTS: dict[str, str] = {
     "density_hex": f"""SELECT hex_x, hex_y, round(any_value(x0 + hex_x * sx) + 1e-9, 6) AS x_centre, round(any_value(y0 + hex_y * sy) + 1e-9, 6) AS y_centre, count(*) AS n_rows, round(log10(count(*)) + 1e-9, 6) AS log_rows
   FROM ({_HEX}) GROUP BY 1, 2""",
     "scatter_sample": f"SELECT device_id, \"date\", \"hour\", average_speed, prediction FROM scored ORDER BY {_md5(42)} LIMIT 1000",
+    "scatter_points": "SELECT device_id, \"date\", \"hour\", average_speed, prediction FROM scored",
     "latest_run": """SELECT (SELECT max_by(run_id, cast(version AS bigint)) FROM versions) AS model_run, (SELECT max(cast(version AS bigint)) FROM versions) AS version,
   (SELECT run_id FROM versions ORDER BY start_time DESC, run_id DESC LIMIT 1) AS newest_run""",
     "reference_sample": "SELECT * FROM reference",

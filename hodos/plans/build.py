@@ -40,6 +40,7 @@ def _newest(warehouse: Warehouse, anchor: str) -> datetime:
 
 def refresh_silver(warehouse: Warehouse, raw: DataFrame, full: bool) -> DataFrame | None:
     """Staging and dimension; returns the staged batch of an incremental run."""
+    warehouse.recover(STG_TRAFFIC, DIM_ROADS)
     if full or not warehouse.exists(STG_TRAFFIC):
         warehouse.replace(STG_TRAFFIC, staging.stage(raw))
         warehouse.replace(DIM_ROADS, roads.latest_roads(warehouse.read(STG_TRAFFIC)))
@@ -54,6 +55,7 @@ def refresh_silver(warehouse: Warehouse, raw: DataFrame, full: bool) -> DataFram
 
 def refresh_facts(warehouse: Warehouse, as_of: datetime, full: bool, lookback_days: int, anchor: str, spine_start: datetime) -> datetime | None:
     """The dense fact; returns the bound an incremental run reprocessed from."""
+    warehouse.recover(STG_TRAFFIC, DIM_ROADS, FCT_MEASUREMENTS)
     staged, devices = warehouse.read(STG_TRAFFIC), warehouse.read(DIM_ROADS)
     last = as_of.replace(minute=0, second=0, microsecond=0)
     if full or not warehouse.exists(FCT_MEASUREMENTS):
@@ -67,6 +69,7 @@ def refresh_facts(warehouse: Warehouse, as_of: datetime, full: bool, lookback_da
 
 def refresh_gold(warehouse: Warehouse, days: int = 30) -> None:
     """Gold and reports, always rebuilt. Each step reads the tables of the one before."""
+    warehouse.recover(DIM_ROADS, FCT_MEASUREMENTS)
     facts_table = warehouse.read(FCT_MEASUREMENTS)
     warehouse.replace(MRT_TRAFFIC_ROAD, marts.laid_out(marts.traffic_road(facts_table, warehouse.read(DIM_ROADS))), sort_by=("processed_at", "road_name"))
     warehouse.replace(MRT_DEVICE_HEALTH, marts.by_month(marts.device_health(facts_table)))

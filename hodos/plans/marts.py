@@ -25,14 +25,24 @@ def laid_out(mart: DataFrame) -> DataFrame:
 
 
 def latest_date(mart: DataFrame) -> Column:
-    """Date of the newest row, as a scalar subquery evaluated once."""
-    return mart.agg(F.max("processed_date")).scalar()
+    """Date of the newest row, as a scalar subquery evaluated once.
+
+    The newest month comes first: over partition columns Spark answers that from few bytes of
+    each file, and the date is then looked up in that month's files alone.
+    """
+    months = month_number(F.col("processed_year"), F.col("processed_month"))
+    newest = mart.agg(F.max(months)).scalar()
+    return mart.where(months == newest).agg(F.max("processed_date")).scalar()
 
 
-def since(mart: DataFrame, day: Column) -> DataFrame:
-    """Rows of ``day`` and later. The month test is implied; it prunes partitions."""
+def since(mart: DataFrame, day: Column, before: Column | None = None) -> DataFrame:
+    """Rows of ``day`` and later, up to the day ``before`` another. The month tests are implied;
+    they prune partitions."""
     months = month_number(F.col("processed_year"), F.col("processed_month"))
-    return mart.where((F.col("processed_date") >= day) & (months >= month_number(F.year(day), F.month(day))))
+    rows = mart.where((F.col("processed_date") >= day) & (months >= month_number(F.year(day), F.month(day))))
+    if before is None:
+        return rows
+    return rows.where((F.col("processed_date") < before) & (months <= month_number(F.year(before), F.month(before))))
 
 
 def last_days(mart: DataFrame, days: int = 30) -> DataFrame:
@@ -45,7 +55,7 @@ def previous_days(mart: DataFrame, days: int = 30) -> DataFrame:
     latest = latest_date(mart)
     start, end = F.date_sub(latest, 2 * days), F.date_sub(latest, days)
     at = F.col("processed_at")
-    return since(mart, start).where((at >= start.cast("timestamp_ntz")) & (at < end.cast("timestamp_ntz")))
+    return since(mart, start, end).where((at >= start.cast("timestamp_ntz")) & (at < end.cast("timestamp_ntz")))
 
 
 def device_health(facts: DataFrame, weight: str | None = None) -> DataFrame:

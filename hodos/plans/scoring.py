@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 REQUEST = ("road_name", "target_date", "target_hour")
 
@@ -15,7 +15,7 @@ def rejected(requests: DataFrame, pairs: DataFrame) -> DataFrame:
     bad_hour = requests.where(~in_range).withColumn("reason", F.lit("target_hour outside 0..23"))
     roads = pairs.select("road_name").distinct()
     unknown = requests.where(in_range).join(roads, "road_name", "left_anti")
-    reason = F.format_string("Road '%s' not found in the trained mapping.", F.coalesce("road_name", F.lit("")))
+    reason = F.format_string("no device is known on road '%s'", F.coalesce("road_name", F.lit("")))
     return bad_hour.unionByName(unknown.withColumn("reason", reason))
 
 
@@ -32,16 +32,24 @@ def device_predictions(requests: DataFrame, pairs: DataFrame, predict: Callable[
     return predict(base)
 
 
+def _clock(day: str, hour: str) -> Column:
+    return F.format_string("%s %02d:00", F.col(day).cast("string"), F.col(hour))
+
+
+def device_answers(predictions: DataFrame) -> DataFrame:
+    """One row per road, moment and device with its rounded prediction; nothing is gathered."""
+    return predictions.select("road_name", _clock("date", "hour").alias("target_datetime"), "device_id", F.bround("prediction", 2).alias("speed"))
+
+
 def road_answers(predictions: DataFrame) -> DataFrame:
     """Mean over a road's devices, their number, and each device's rounded prediction.
 
-    The breakdown is as long as the road has sensors. Keep to ``device_predictions`` where
-    one row per device is wanted.
+    The breakdown is as long as the road has sensors. Keep to ``device_answers`` where one
+    row per device is wanted.
     """
     breakdown = F.map_from_entries(
         F.sort_array(F.collect_list(F.struct("device_id", F.bround("prediction", 2).alias("speed"))))
     )
-    clock = F.format_string("%s %02d:00", F.col("target_date").cast("string"), F.col("target_hour"))
     return (
         predictions.groupBy("road_name", F.col("date").alias("target_date"), F.col("hour").alias("target_hour"))
         .agg(
@@ -49,7 +57,7 @@ def road_answers(predictions: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("active_devices_used"),
             breakdown.alias("device_breakdown"),
         )
-        .withColumn("target_datetime", clock)
+        .withColumn("target_datetime", _clock("target_date", "target_hour"))
     )
 
 

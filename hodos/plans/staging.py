@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hodos.operators.dedup import keep_first
 from hodos.schemas import STAGING
 
-KEY = ["traffic_id"]
+#: A reading; the text of its time may be spelled differently from delivery to delivery.
+KEY = ["device_id", "processed_at"]
 
 
 def staging_order() -> list[Column]:
@@ -19,7 +20,7 @@ def staging_order() -> list[Column]:
     """
     return [
         F.col("ingested_at").desc_nulls_last(),
-        *[F.col(name).asc_nulls_last() for name in ("counted_cars", "average_speed", "road_name", "road_info")],
+        *[F.col(name).asc_nulls_last() for name in ("counted_cars", "average_speed", "road_name", "road_info", "traffic_id")],
     ]
 
 
@@ -45,7 +46,7 @@ def typed(raw: DataFrame) -> DataFrame:
 
 
 def stage(raw: DataFrame) -> DataFrame:
-    return keep_first(typed(raw), ["device_id", "processed_at"], staging_order())
+    return keep_first(typed(raw), KEY, staging_order())
 
 
 def after(raw: DataFrame, high_water) -> DataFrame:

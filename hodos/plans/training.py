@@ -34,7 +34,7 @@ class ModelSettings:
     test_percent: int = 20
     folds: int = 5
     smoothing: float | None = None
-    sample_size: int = 100_000
+    sample_size: int | None = 100_000  # None: all training rows
 
 
 @dataclass
@@ -120,7 +120,8 @@ def save(model: SpeedModel, train: DataFrame, base: DataFrame, root: str, versio
 
 
 def write_reference(train: DataFrame, path: str, settings: ModelSettings) -> None:
-    sample_rows(train, settings.sample_size, row_key(), settings.seed).write.mode("overwrite").parquet(f"{path}/reference")
+    sample = train if settings.sample_size is None else sample_rows(train, settings.sample_size, row_key(), settings.seed)
+    sample.write.mode("overwrite").parquet(f"{path}/reference")
 
 
 def load(spark: SparkSession, path: str, settings: ModelSettings = ModelSettings()) -> SpeedModel:

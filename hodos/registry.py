@@ -121,12 +121,22 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(closed_form(base(spark, sf_dir)))
 
 
+def stored_reference(spark: SparkSession, sf_dir: str, settings: training.ModelSettings) -> DataFrame:
+    """What a training run stores for monitoring, once per session and kind, read back."""
+
+    def make() -> str:
+        train = features.split_marked(base(spark, sf_dir)).where("NOT is_test").drop("is_test")
+        folder = scratch(spark, "model")
+        training.write_reference(train, folder, settings)
+        return f"{folder}/reference"
+
+    return spark.read.parquet(_once(f"reference-{settings.sample_size}", spark, sf_dir, make))
+
+
 def reference_and_current(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The sample a training run stores, read back, and the last two weeks."""
-    train = features.split_marked(base(spark, sf_dir)).where("NOT is_test").drop("is_test")
-    folder = scratch(spark, "model")
-    training.write_reference(train, folder, training.ModelSettings())
-    return spark.read.parquet(f"{folder}/reference"), monitoring.current_rows(history(spark, sf_dir), today(spark, sf_dir))
+    """The whole training part and the last two weeks; drift needs counts by value, no sample."""
+    reference = stored_reference(spark, sf_dir, training.ModelSettings(sample_size=None))
+    return reference, monitoring.current_rows(history(spark, sf_dir), today(spark, sf_dir))
 
 
 def land(spark: SparkSession, sf_dir: str) -> str:
@@ -138,6 +148,12 @@ def land(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def a_day(spark: SparkSession, sf_dir: str) -> date:
+    """The day with most readings."""
+    at = testdata.table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day")).count()
+    return at.agg(F.max_by("day", F.struct("count", "day"))).first()[0]
+
+
 def next_morning():
     return full_day(F.col("date").cast("timestamp_ntz")) + hours(29)
 
@@ -455,10 +471,12 @@ def lake_write_read(spark, sf_dir):
 
 @query
 def compact_months(spark, sf_dir):
-    root = fresh_lake(spark, sf_dir)
+    """Compacted months into which a day is landed a second time."""
+    landing, root = land(spark, sf_dir), scratch(spark, "lake")
+    lake.write_batches(lake.stamp(lake.read_landing(spark, landing), next_morning()), root)
     months = lake.read_lake(spark, root).select("year", "month").distinct().collect()  # partition values
-    for row in months:
-        lake.compact_month(spark, root, row.year, row.month)
+    lake.compact_months(spark, root, sorted((row.year, row.month) for row in months))
+    lake.ingest_day(spark, landing, root, a_day(spark, sf_dir), next_morning())
     return lake.read_lake(spark, root)
 
 
@@ -467,7 +485,10 @@ def backfill_range(spark, sf_dir):
     first, _ = testdata.hour_range(spark, sf_dir)
     root = scratch(spark, "backfill")
     start = first.date() + timedelta(days=3)
-    lake.backfill(spark, land(spark, sf_dir), root, start, start + timedelta(days=14), next_morning())
+    landing = land(spark, sf_dir)
+    for _ in range(2):  # the second time changes nothing
+        lake.backfill(spark, landing, root, start, start + timedelta(days=14), next_morning())
+    lake.ingest_day(spark, landing, root, start + timedelta(days=1), next_morning())
     return lake.read_lake(spark, root)
 
 
@@ -506,6 +527,17 @@ def inc_fct_lookback(spark, sf_dir):
     return incremental_of(spark, sf_dir).read(FCT_MEASUREMENTS)
 
 
+@query
+def inc_two_spellings(spark, sf_dir):
+    """Staging after two runs, the second with corrections that spell the time differently."""
+    first, _ = testdata.hour_range(spark, sf_dir)
+    raw, warehouse = testdata.respelled(spark, sf_dir), Warehouse(spark, scratch(spark, "spellings"))
+    early = raw.where(F.col("ingested_at") <= F.lit(first_run_clock(first)).cast("timestamp_ntz"))
+    for rows in (early, raw):
+        build.refresh_silver(warehouse, rows, full=False)
+    return warehouse.read(STG_TRAFFIC)
+
+
 @query
 def late_rows(spark, sf_dir):
     return incremental_of(spark, sf_dir).second.late.select("device_id", "processed_at", "counted_cars", "average_speed")
@@ -545,14 +577,16 @@ def stream_dedup(spark, sf_dir):
 
 @query
 def stream_daily(spark, sf_dir):
-    """Daily totals as a tumbling window over the staged readings; a day comes out once the
-    watermark has passed it, so the last one, still open, is not in the result."""
-    out = scratch(spark, "daily")
-    staged = warehouse_of(spark, sf_dir)
-    source = spark.readStream.schema(STG_TRAFFIC.schema).parquet(staged.path(STG_TRAFFIC))
-    timed = source.withColumn("event_time", F.col("processed_at").cast("timestamp"))
-    _drain(live.daily_totals(timed, "1 hour"), out)
-    return spark.read.parquet(out)
+    """Daily totals of every day, drained twice; what lands in between corrects earlier days."""
+    root, offsets = scratch(spark, "lake"), scratch(spark, "offsets")
+    warehouse = Warehouse(spark, scratch(spark, "daily"))
+    first, _ = testdata.hour_range(spark, sf_dir)
+    raw = testdata.redelivered(spark, sf_dir).drop("year", "month").withColumn("date", F.col("ingested_at").cast("date"))
+    early = F.col("ingested_at") <= F.lit(first_run_clock(first)).cast("timestamp_ntz")
+    for part in (raw.where(early), raw.where(~early)):
+        lake.write_batches(part, root)
+        live.stream_daily(warehouse, live.lake_stream(spark, root), offsets).awaitTermination()
+    return warehouse.read(live.DAILY_TOTALS)
 
 
 # --- features and model --------------------------------------------------------------
@@ -658,8 +692,7 @@ def road_scoring(spark, sf_dir):
 @query
 def road_breakdown(spark, sf_dir):
     pairs = features.road_devices(gold(spark, sf_dir))
-    answers = scoring.road_answers(scoring.device_predictions(requests(spark, sf_dir), pairs, closed_form))
-    return answers.select("road_name", "target_datetime", F.explode("device_breakdown").alias("device_id", "speed"))
+    return scoring.device_answers(scoring.device_predictions(requests(spark, sf_dir), pairs, closed_form))
 
 
 @query
@@ -685,6 +718,12 @@ def scatter_sample(spark, sf_dir):
     return points.select("device_id", "date", "hour", "average_speed", "prediction")
 
 
+@query
+def scatter_points(spark, sf_dir):
+    """Every point of the scatter plot, as rows for whatever draws it."""
+    return scored(spark, sf_dir).select("device_id", "date", "hour", "average_speed", "prediction")
+
+
 @query
 def latest_run(spark, sf_dir):
     """Every event as a registered model version and run."""
@@ -704,7 +743,8 @@ def latest_run(spark, sf_dir):
 
 @query
 def reference_sample(spark, sf_dir):
-    return reference_and_current(spark, sf_dir)[0]
+    """The sample of bounded size, drawn exactly, that a training run keeps by default."""
+    return stored_reference(spark, sf_dir, training.ModelSettings())
 
 
 @query

@@ -2,11 +2,14 @@
 
 Layout: ``<root>/year=2024/month=02/batch=2024-02-23/*.parquet``. A batch is replaced as a
 whole, so ingesting a day twice leaves one copy. Maintenance merges a month's batches
-into ``batch=compact-2024-02``.
+into ``batch=compact-2024-02`` (``-r2`` and so on when it is merged again; readers see the name
+without that). Compacted files keep the day each row was landed for, so a day that is landed
+once more replaces its rows in there too, by a merge that follows the write at once.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -19,6 +22,10 @@ from hodos.session import cut
 from hodos.sources.files import Files
 
 TARGET_FILE_BYTES = 512 * 1024 * 1024
+#: Months that are merged at the same time.
+MONTHS_AT_ONCE = 4
+#: The day a row was landed for; only compacted files have it, readers of the lake don't.
+LANDED_FOR = T.StructField("landed_for", T.StringType(), True)
 
 
 class DataMissingError(Exception):
@@ -52,8 +59,9 @@ def missing_days(days: DataFrame, start: Column | date, end: Column | date) -> D
 # --- batches -------------------------------------------------------------------------
 
 
-def write_batches(records: DataFrame, root: str, day: str = "date") -> None:
-    """Write one batch per day; existing batches of the same days are replaced.
+def write_batches(records: DataFrame, root: str, day: str = "date", settled: bool = True) -> None:
+    """Write one batch per day; existing batches of the same days are replaced, also where
+    they are part of a compacted month (``settled=False`` leaves that to the caller).
 
     The rebalance hint gathers each batch into few files and splits a batch that is much
     larger than the others over several tasks.
@@ -71,11 +79,14 @@ def write_batches(records: DataFrame, root: str, day: str = "date") -> None:
         .partitionBy(*LAKE_PARTITIONS)
         .parquet(root)
     )
+    if settled:
+        settle(records.sparkSession, root)
 
 
 def read_lake(spark: SparkSession, root: str, year: int | None = None, schema: T.StructType = LAKE) -> DataFrame:
     """The lake, or one year of it (a partition filter: other folders are not listed)."""
     lake = spark.read.schema(schema).parquet(root)
+    lake = lake.withColumn("batch", F.regexp_replace("batch", r"^(compact-\d{4}-\d{2})-r\d+$", "$1"))
     return lake if year is None else lake.where(F.col("year") == year)
 
 
@@ -114,11 +125,10 @@ def backfill(
     missing = missing_days(present, start, end)
     if strict and not missing.isEmpty():
         raise DataMissingError(f"no records for {missing.count()} days in {start}..{end}")
-    write_batches(stamp(landed, ingested_at), root)
+    write_batches(stamp(landed, ingested_at), root, settled=False)
     months = present.select(F.year("day").alias("y"), F.month("day").alias("m")).distinct()
     # One row per calendar month of the range.
-    done = [compact_month(spark, root, row.y, row.m) for row in sorted(months.collect())]
-    return Backfill(missing, done)
+    return Backfill(missing, compact_months(spark, root, sorted((row.y, row.m) for row in months.collect())))
 
 
 # --- maintenance ---------------------------------------------------------------------
@@ -151,6 +161,44 @@ def _finish(files: Files, month_dir: str, staged: str, plan: str) -> None:
     files.delete(plan)
 
 
+def _as_landed(spark: SparkSession, root: str, month_dir: str, schema: T.StructType) -> DataFrame:
+    """A month's rows with ``batch`` and the day each was landed for (null where unknown)."""
+    # Only the month's own folder is listed, not the lake.
+    rows = spark.read.schema(T.StructType([*schema.fields, LANDED_FOR])).option("basePath", root).parquet(month_dir)
+    own = F.when(~F.col("batch").startswith("compact-"), F.col("batch"))
+    return rows.withColumn(LANDED_FOR.name, F.coalesce(own, LANDED_FOR.name))
+
+
+def _replaced(batches: list[str]) -> Column:
+    """Whether a compacted row's day has been landed again since; at most 31 days."""
+    days = [b.removeprefix("batch=") for b in batches if not b.startswith("batch=compact-")]
+    again = F.col("batch").startswith("compact-") & F.col(LANDED_FOR.name).isin(days)
+    return F.coalesce(again, F.lit(False)) if days else F.lit(False)
+
+
+def settle(spark: SparkSession, root: str) -> list["Compaction"]:
+    """Merge the months whose compacted rows have been landed again as days.
+
+    Looks at folder names, and only in months with both kinds of batches at the rows'
+    landing days. An interrupted write is settled by the next one.
+    """
+    files, open_months = Files(spark), []
+    for year in files.folders(root):
+        for month in files.folders(f"{root}/{year}") if year.startswith("year=") else []:
+            month_dir = f"{root}/{year}/{month}"
+            batches = files.folders(month_dir)
+            kinds = {b.startswith("batch=compact-") for b in batches}
+            if len(kinds) == 2 and not _as_landed(spark, root, month_dir, LAKE).where(_replaced(batches)).isEmpty():
+                open_months.append((int(year.removeprefix("year=")), int(month.removeprefix("month="))))
+    return compact_months(spark, root, open_months)
+
+
+def compact_months(spark: SparkSession, root: str, months: list[tuple[int, int]], **how) -> list["Compaction"]:
+    """Compact (year, month) pairs, a few of them at the same time."""
+    with ThreadPoolExecutor(MONTHS_AT_ONCE) as pool:
+        return list(pool.map(lambda at: compact_month(spark, root, *at, **how), months))
+
+
 def compact_month(
     spark: SparkSession,
     root: str,
@@ -160,7 +208,8 @@ def compact_month(
     schema: T.StructType = LAKE,
     sort_by: tuple[str, ...] = ("ingested_at", "deviceid", "appprocesstime"),
 ) -> Compaction:
-    """Merge all files of a month, sorted by ingestion time; the rows stay the same.
+    """Merge all files of a month, sorted by ingestion time; the rows stay the same, but for
+    compacted ones of days that were landed again.
 
     A month within the target size becomes one file, a larger one as many as it needs,
     cut by ranges of the sort columns. Nothing is removed before the merged copy is
@@ -181,8 +230,7 @@ def compact_month(
         return Compaction(year, month, len(sizes), len(sizes), None)
 
     files.delete(work)  # leftovers without a plan are incomplete
-    # Only the month's own folder is listed, not the lake.
-    rows = spark.read.schema(schema).option("basePath", root).parquet(month_dir).drop(*LAKE_PARTITIONS)
+    rows = _as_landed(spark, root, month_dir, schema).where(~_replaced(batches)).drop(*LAKE_PARTITIONS)
     keys = [name for name in sort_by if name in rows.columns]
     (
         rows.repartitionByRange(wanted, *keys)
@@ -190,7 +238,7 @@ def compact_month(
         .write.option("compression", "snappy")
         .parquet(staged)
     )
-    kept, expected = spark.read.parquet(staged).count(), rows.count()  # footers only
+    kept, expected = spark.read.parquet(staged).count(), rows.count()  # footers, or one narrow column
     if kept != expected:
         raise RuntimeError(f"compaction of {year}-{month:02d} wrote {kept} of {expected} rows; originals kept")
 

@@ -3,8 +3,9 @@
 Without a transactional table format two things need care: a plan must not overwrite the
 files it reads, and a crash must not lose a partition. So every write goes to a staging
 folder first and is then copied over the target by a dynamic partition overwrite. A
-staging folder that is complete (``_SUCCESS``) but still there marks an interrupted copy;
-the next access repeats it.
+staging folder that is complete (``_SUCCESS``) but still there marks a copy that is going on
+or was interrupted; the table's next write repeats it. Readers never publish: they would race
+the writer. A table has one writer at a time.
 """
 
 from __future__ import annotations
@@ -55,20 +56,21 @@ class Warehouse:
         return f"{self.root}/_staging/{table.name}/{kind}"
 
     def exists(self, table: Table) -> bool:
-        self._recover(table)
         return self._files.exists(f"{self.path(table)}/_SUCCESS")
 
-    def read(self, table: Table, since: datetime | None = None) -> DataFrame:
-        """The table; ``since`` leaves out the days before a moment where rows lie by day."""
+    def read(self, table: Table, since: datetime | None = None, days: Sequence[str] | None = None) -> DataFrame:
+        """The table; where rows lie by day, ``since`` leaves out the days before a moment and
+        ``days`` all but the given ones."""
         rows = self._load(table)
         if table.derived is None:
             return rows
         if since is not None:
             rows = rows.where(F.col(table.derived) >= since.strftime("%Y-%m-%d"))
+        if days is not None:
+            rows = rows.where(F.col(table.derived).isin(list(days)) if days else F.lit(False))
         return rows.drop(table.derived)
 
     def _load(self, table: Table) -> DataFrame:
-        self._recover(table)
         return self._reader(table).parquet(self.path(table))
 
     def _placed(self, table: Table, df: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ class Warehouse:
 
     def replace(self, table: Table, df: DataFrame, sort_by: Sequence[str] = ()) -> None:
         """Full rebuild."""
-        self.exists(table)  # finish an interrupted write first
+        self.recover(table)
         df = self._placed(table, df)
         if sort_by:
             # Led by the partition columns: the writer would otherwise sort by them again
@@ -95,6 +97,7 @@ class Warehouse:
         touches are read and rewritten, so a key has to determine its partition. ``batch``
         is read more than once; hand in something already written or checkpointed.
         """
+        self.recover(table)
         if not self.exists(table):
             self.replace(table, batch)
             return
@@ -149,6 +152,11 @@ class Warehouse:
         self._writer(table, rows).option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
         self._files.delete(staged)
 
+    def recover(self, *tables: Table) -> None:
+        """Finish interrupted writes; for the writer of the tables alone."""
+        for table in tables:
+            self._recover(table)
+
     def _recover(self, table: Table) -> None:
         if self._files.exists(f"{self._staging(table, 'replace')}/_SUCCESS"):
             self._publish_replace(table)

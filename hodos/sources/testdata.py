@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hodos.functions.calendar import calendar_columns, days, full_day, full_hour, hours
+from hodos.functions.measures import quality_flags
 from hodos.plans.roads import ROAD_ALIASES
 from hodos.schemas import MART_COLUMNS, RAW
 
@@ -66,6 +67,12 @@ def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(corrected)
 
 
+def respelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The redelivered records, corrections with another spelling of their time."""
+    iso = F.concat(F.translate("appprocesstime", " ", "T"), F.lit("Z"))
+    return redelivered(spark, sf_dir).withColumn("appprocesstime", F.when(F.col("road_info") == "corrected", iso).otherwise(F.col("appprocesstime")))
+
+
 def hour_range(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
     """First and last hour with events: the run's clock, one row of two values."""
     at = F.col("ts")
@@ -74,7 +81,7 @@ def hour_range(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
 
 
 def long_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold rows from 1995 to 2001: a supplier is a device, its nation a road."""
+    """Gold rows from 1995 to 2001, those of quality: a supplier is a device, its nation a road."""
     lines, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     at = F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber"))
     speed = (F.col("l_partkey") % 140).cast("double")
@@ -84,7 +91,8 @@ def long_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("counted_cars"),
         speed.alias("average_speed"),
         F.col("s_nationkey").cast("string").alias("road_name"),
-    ).where(F.col("average_speed").between(1, 130))
-    return rows.select(
+    )
+    described = rows.select(
         "*", *calendar_columns(F.col("processed_at")), (F.col("processed_at") + days(1)).alias("ingested_at")
-    ).select(*MART_COLUMNS)
+    )
+    return described.where(quality_flags()["is_quality"]).select(*MART_COLUMNS)

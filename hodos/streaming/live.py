@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hodos.functions.measures import speed_volume
-from hodos.plans import roads, staging
+from hodos.plans import reporting, roads, staging
 from hodos.plans.build import refresh_facts, refresh_gold
 from hodos.schemas import LAKE
 from hodos.session import cut
-from hodos.sources.tables import DIM_ROADS, STG_TRAFFIC, Warehouse
+from hodos.sources.tables import DIM_ROADS, STG_TRAFFIC, Table, Warehouse
 
 
 def lake_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
@@ -22,7 +22,11 @@ def lake_stream(spark: SparkSession, root: str, files_per_batch: int | None = No
     return reader.parquet(root)
 
 
-def _absorb(warehouse: Warehouse, batch: DataFrame) -> None:
+#: Daily totals that a stream keeps, one row a day.
+DAILY_TOTALS = Table("daily_totals")
+
+
+def _absorb(warehouse: Warehouse, batch: DataFrame) -> DataFrame:
     """Upsert one micro-batch. Running it again gives the same tables, so a batch that is
     retried after a failure does no harm.
 
@@ -32,6 +36,27 @@ def _absorb(warehouse: Warehouse, batch: DataFrame) -> None:
     staged = cut(staging.stage(batch))
     warehouse.upsert(STG_TRAFFIC, staged, staging.KEY, staging.staging_order())
     warehouse.upsert(DIM_ROADS, cut(roads.latest_roads(staged)), roads.KEY, roads.road_order())
+    return staged
+
+
+def _absorb_daily(warehouse: Warehouse, batch: DataFrame) -> None:
+    """Upsert one micro-batch, then count the days it touched anew from the merged readings, so
+    corrections replace what they correct and the newest day is there from its first reading."""
+    staged = _absorb(warehouse, batch)
+    touched = sorted(str(r.processed_date) for r in staged.select("processed_date").distinct().collect() if r.processed_date)
+    if touched:
+        totals = reporting.daily_speed_count(warehouse.read(STG_TRAFFIC, days=touched))
+        warehouse.upsert(DAILY_TOTALS, cut(totals), ["processed_date"])
+
+
+def stream_daily(warehouse: Warehouse, source: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Keep staging, the dimension and the totals of every day current; then stop."""
+    return (
+        source.writeStream.foreachBatch(lambda batch, _: _absorb_daily(warehouse, batch))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def stream_staging(warehouse: Warehouse, source: DataFrame, checkpoint: str) -> StreamingQuery:

@@ -143,3 +143,30 @@ def test_a_batch_after_compaction_joins_the_next_one(spark, folder):
     write("2024-02-03")
     assert lake.compact_month(spark, folder, 2024, 2).rows == 9
     assert Files(spark).folders(f"{folder}/year=2024/month=02") == ["batch=compact-2024-02-r2"]
+
+
+def test_a_backfill_twice_and_a_day_landed_again_leave_one_copy(spark, folder):
+    landing, root = land(spark, folder, ["2024-01-31", "2024-02-01", "2024-02-02", "2024-02-03"]), f"{folder}/lake"
+    for _ in range(2):
+        lake.backfill(spark, landing, root, date(2024, 1, 31), date(2024, 2, 3), CLOCK)
+        assert lake.read_lake(spark, root).count() == 12
+    later = datetime(2024, 3, 2, 5)
+    lake.ingest_day(spark, landing, root, date(2024, 2, 2), later)
+    again = lake.read_lake(spark, root)
+    assert again.count() == 12 and again.where(F.col("ingested_at") == later).count() == 3
+    assert {r.batch for r in again.collect()} == {"compact-2024-01", "compact-2024-02"}
+
+
+def test_an_interrupted_second_landing_is_settled_by_the_next_write(spark, folder, monkeypatch):
+    landing, root = land(spark, folder, ["2024-02-01", "2024-02-02"]), f"{folder}/lake"
+    lake.backfill(spark, landing, root, date(2024, 2, 1), date(2024, 2, 2), CLOCK)
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(lake, "settle", crash)
+        with pytest.raises(RuntimeError):
+            lake.ingest_day(spark, landing, root, date(2024, 2, 2), CLOCK)
+    lake.ingest_day(spark, landing, root, date(2024, 2, 2), CLOCK)
+    assert lake.read_lake(spark, root).count() == 6

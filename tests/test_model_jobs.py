@@ -153,7 +153,7 @@ def test_road_scoring(spark):
     assert one.device_breakdown == {"MS468": 45.0, "MS311": 45.0, "MS316": 45.0}
     assert scoring.device_predictions(asked, pairs, constant).count() == 3  # asked twice, scored once
     reasons = {r.id: r.reason for r in scoring.rejected(asked, pairs).collect()}
-    assert reasons == {2: "Road 'FAKE_ROAD' not found in the trained mapping.", 3: "target_hour outside 0..23", 5: "target_hour outside 0..23"}
+    assert reasons == {2: "no device is known on road 'FAKE_ROAD'", 3: "target_hour outside 0..23", 5: "target_hour outside 0..23"}
 
 
 # --- charts --------------------------------------------------------------------------
