@@ -121,8 +121,8 @@ def learned(documents: DataFrame, labels: DataFrame) -> ByteNet:
     """A network fitted on a bounded sample of the rows whose fold of four is not the second.
 
     The sample has at most ``SAMPLE_ROWS`` rows of either label, by the hash of the id, and at
-    most ``SAMPLE_CHUNKS`` evenly spread chunks of each text. Rows with a null id or label are
-    not learned from. Without both labels the network stays unfitted and scores near a half.
+    most ``SAMPLE_CHUNKS`` evenly spread chunks of each text. Of rows that share an id one is
+    learned from. Rows with a null id or label are not learned from. Without both labels the network stays unfitted and scores near a half.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     key = F.xxhash64("doc_id", "quality")
@@ -141,7 +141,9 @@ def learned(documents: DataFrame, labels: DataFrame) -> ByteNet:
                 rows.append((i, q, chunks[some].tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "quality", "chunks"])
 
-    rows = joined.mapInPandas(cut, "doc_id long, quality int, chunks binary").collect()
+    # an id may stand for any number of rows: one of its texts, the same on every run, is taken
+    once = joined.mapInPandas(cut, "doc_id long, quality int, chunks binary").groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks"))
+    rows = once.collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.chunks)))
     net = ByteNet()
     truth = np.array([r.quality for r in rows], np.float32)
