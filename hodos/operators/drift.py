@@ -42,11 +42,11 @@ def numeric_drift(reference: DataFrame, current: DataFrame, column: str, thresho
     """
     counts = _two_sided(reference, current, [column]).drop("column_name")
     value, ref = F.col("value"), F.col("ref")
-    n_ref, n_cur, mean, squares = counts.agg(
-        F.sum(ref), F.sum("cur"), F.sum(ref * value) / F.sum(ref), F.sum(ref * value * value) / F.sum(ref)
-    ).first()
+    n_ref, n_cur, mean = counts.agg(F.sum(ref), F.sum("cur"), F.sum(ref * value) / F.nullif(F.sum(ref), F.lit(0))).first()
+    # Centred first: a difference of large squares would lose the digits that matter.
+    spread = counts.agg(F.sum(ref * F.pow(value - F.lit(mean or 0.0), F.lit(2.0))) / F.nullif(F.sum(ref), F.lit(0))).first()[0]
     # A constant reference column must not divide by zero.
-    deviation = max(max((squares or 0.0) - (mean or 0.0) ** 2, 0.0) ** 0.5, 0.001)
+    deviation = max((spread or 0.0) ** 0.5, 0.001)
     curves = running_totals(counts, "value", ("ref", "cur"))
     # Without rows on one side there is nothing to compare: the result is null.
     distance = F.abs(F.col("cum_ref") / F.nullif(F.lit(n_ref), F.lit(0)) - F.col("cum_cur") / F.nullif(F.lit(n_cur), F.lit(0)))

@@ -100,11 +100,17 @@ def cross_fit_target_encoding(df: DataFrame, key: str, target: str, fold: Column
 def fit_ordinal_encoding(df: DataFrame, key: str) -> DataFrame:
     """Index of each distinct value in sorted order (key, code).
 
-    The window runs over the distinct values only. They become categories of a tree model,
-    whose bin count bounds how many there may be.
+    Values are sorted into ranges, one per task, and numbered inside each range; the number
+    of values in the ranges before is added. The kept ranges make every later read agree on
+    where one ends, and no window holds all values.
     """
     values = df.where(F.col(key).isNotNull()).select(key).distinct()
-    return values.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("int").alias("code"))
+    ranged = cut(values.repartitionByRange(key).select(key, F.spark_partition_id().alias("_range")))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    so_far = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    before = sizes.select("_range", (so_far - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranged.join(F.broadcast(before), "_range").select(key, (F.col("_before") + place - 1).cast("int").alias("code"))
 
 
 def apply_ordinal_encoding(df: DataFrame, fitted: DataFrame, key: str, output: str, unseen: int = -1) -> DataFrame:

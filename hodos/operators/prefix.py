@@ -6,18 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from hodos.session import shuffle_tasks
 
-def running_totals(df: DataFrame, order: str, totals: Sequence[str], buckets: int = 64) -> DataFrame:
+
+def running_totals(df: DataFrame, order: str, totals: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Cumulative sums over a unique numeric column, plus the next value in the order.
 
     A window without PARTITION BY would pull everything into one task. Instead the order
-    column is cut into ``buckets`` ranges at approximate quantiles; range totals (at most
+    column is cut into ``buckets`` ranges (two for every shuffle task) at approximate quantiles; range totals (at most
     ``buckets`` rows) are accumulated first and added to windows that run inside each
     range. The cut points only balance the work: the sums are exact wherever they fall.
 
     Adds ``cum_<name>`` for every total and ``next_<order>``. ``df`` is read three times, so
     hand in something already aggregated and written or checkpointed.
     """
+    buckets = buckets or 2 * shuffle_tasks(df.sparkSession)
     steps = [i / buckets for i in range(1, buckets)]
     # One row of `buckets` numbers.
     cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(s) for s in steps]), F.lit(buckets * 10))).first()[0] or []

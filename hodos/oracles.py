@@ -180,6 +180,10 @@ CTES: dict[str, str] = {
     "train_part": "SELECT * FROM marked WHERE NOT is_test",
     "recent14": f"SELECT * FROM hist WHERE processed_date >= {_TODAY} - 14",
     "scored": _scored("base"),
+    "scored_test": _scored("(SELECT * EXCLUDE (is_test) FROM marked WHERE is_test)"),
+    "model_pairs": "SELECT DISTINCT road_name, device_id FROM base",
+    "model_asked": """SELECT event_id AS request_id, cast(user_id % 30 AS varchar) AS road_name, cast(ts AS date) AS target_date,
+  cast(cast(props->>'k' AS integer) % 30 AS integer) AS target_hour FROM events""",
     "pairs": "SELECT DISTINCT road_name, device_id FROM mart WHERE road_name IS NOT NULL",
     "requests": f"""SELECT request_id, CASE WHEN event_type = 'view' THEN road_name ELSE {_CASE} END AS road_name, target_date, target_hour
   FROM (SELECT event_id AS request_id, event_type, {_NAMES}[user_id % {len(ROAD_NAMES)} + 1] AS road_name, cast(ts AS date) AS target_date,
@@ -329,6 +333,13 @@ SELECTS: dict[str, str] = {
     "homepage_tables": f"""SELECT 'last_kpi' AS table_name, cast(1 AS bigint) AS n_rows UNION ALL SELECT 'previous_kpi', 1
   UNION ALL SELECT 'daily_speed_count', count(DISTINCT processed_date) FROM mart_last
   UNION ALL SELECT 'busiest_times', count(*) FROM (SELECT weighted_avg_speed AS w, min(weighted_avg_speed) OVER () AS lo, max(weighted_avg_speed) OVER () AS hi FROM ({_SLOT.format('mart_last')})) WHERE w = lo OR w = hi""",
+    "stored_kpi_last": f"SELECT * REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed) FROM ({_kpi('mart_last')})",
+    "stored_kpi_previous": f"SELECT * EXCLUDE (latest_timestamp) REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed) FROM ({_kpi('mart_previous')})",
+    "stored_daily": f"SELECT * REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed) FROM ({_DAILY.format('mart_last')})",
+    "stored_busiest": f"""SELECT processed_day, processed_hour, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed
+  FROM (SELECT *, min(weighted_avg_speed) OVER () AS lo, max(weighted_avg_speed) OVER () AS hi FROM ({_SLOT.format('mart_last')}))
+  WHERE weighted_avg_speed = lo OR weighted_avg_speed = hi""",
+    "stored_last_days": f"SELECT {_MART} FROM mart_last",
     "scoreboard": f"SELECT {_DELTA}, l.latest_timestamp, {_extreme('min', 'hist_last')} AS busiest_slot, {_extreme('max', 'hist_last')} AS lightest_slot FROM {_PERIODS}",
     "heatmap_last_n": f"SELECT * REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed) FROM ({_SLOT.format('mart_last')})",
     "spatiotemporal": f"SELECT * REPLACE (round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed, round(avg_counted_cars + 1e-9, 6) AS avg_counted_cars) FROM ({_SPATIO})",
@@ -393,10 +404,21 @@ SELECTS: dict[str, str] = {
   JOIN (SELECT f.fold, count(*) AS an, sum(average_speed) AS at_, sum(average_speed * average_speed) AS as_ FROM (SELECT unnest(range(5)) AS fold) f JOIN (SELECT *, {_bucket(5, 5)} AS fold FROM base) y ON y.fold <> f.fold GROUP BY 1) o ON o.fold = b.fold""",
     "ordinal_encode": """SELECT m.road_name, cast(coalesce(c.code, -1) AS integer) AS road_code FROM (SELECT DISTINCT road_name FROM mart) m
   LEFT JOIN (SELECT road_name, row_number() OVER (ORDER BY road_name) - 1 AS code FROM (SELECT DISTINCT road_name FROM mart WHERE road_name < 'Κ')) c ON m.road_name = c.road_name""",
+    "ordinal_encode_devices": """SELECT m.device_id, cast(coalesce(c.code, -1) AS integer) AS device_code FROM (SELECT DISTINCT device_id FROM hist) m
+  LEFT JOIN (SELECT device_id, row_number() OVER (ORDER BY device_id) - 1 AS code FROM (SELECT DISTINCT device_id FROM train_part)) c ON m.device_id = c.device_id""",
     "road_devices": "SELECT road_name, device_id FROM pairs",
     "road_map": "SELECT road_name, string_agg(device_id, ',' ORDER BY device_id) AS devices, cast(count(*) AS integer) AS n_devices FROM pairs GROUP BY 1",
     "model_metrics": """SELECT count(*) AS n_rows, round(avg(abs(average_speed - prediction)) + 1e-9, 6) AS mae,
-  round(1 - sum(power(average_speed - prediction, 2)) / sum(power(average_speed - m, 2)) + 1e-9, 6) AS r2_score FROM scored, (SELECT avg(average_speed) AS m FROM scored)""",
+  round(1 - sum(power(average_speed - prediction, 2)) / sum(power(average_speed - m, 2)) + 1e-9, 6) AS r2_score FROM scored_test, (SELECT avg(average_speed) AS m FROM scored_test)""",
+    "model_holdout": """SELECT count(*) AS n_rows, count(*) AS n_plausible, count(DISTINCT device_id) AS n_devices,
+  round(avg(abs(average_speed - m)) + 1e-9, 6) AS mean_mae,
+  round(1 - sum(power(average_speed - m, 2)) / sum(power(average_speed - own, 2)) + 1e-9, 6) AS mean_r2_score, true AS no_worse
+  FROM marked, (SELECT avg(average_speed) AS m FROM train_part), (SELECT avg(average_speed) AS own FROM marked WHERE is_test) WHERE is_test""",
+    "model_answers": """SELECT a.request_id, strftime(a.target_date, '%Y-%m-%d') || ' ' || lpad(cast(a.target_hour AS varchar), 2, '0') || ':00' AS target_datetime,
+  count(*) AS active_devices_used, true AS is_plausible, cast(NULL AS varchar) AS reason
+  FROM model_asked a JOIN model_pairs p ON a.road_name = p.road_name WHERE a.target_hour BETWEEN 0 AND 23 GROUP BY 1, 2
+  UNION ALL SELECT request_id, NULL, NULL, NULL, CASE WHEN target_hour NOT BETWEEN 0 AND 23 THEN 'target_hour outside 0..23' ELSE 'no device is known on road ''' || road_name || '''' END
+  FROM model_asked WHERE target_hour NOT BETWEEN 0 AND 23 OR road_name NOT IN (SELECT road_name FROM model_pairs)""",
     "road_scoring": """SELECT r.request_id, r.road_name, strftime(r.target_date, '%Y-%m-%d') || ' ' || lpad(cast(r.target_hour AS varchar), 2, '0') || ':00' AS target_datetime,
   round(round_even(avg(a.prediction), 2) + 1e-9, 6) AS average_predicted_speed_kmh, count(*) AS active_devices_used
   FROM requests r JOIN answers a ON r.road_name = a.road_name AND r.target_date = a."date" AND r.target_hour = a."hour" GROUP BY 1, 2, 3""",

@@ -91,16 +91,29 @@ def run(
     anchor: str = "spine",
     spine_start: datetime = SPINE_START,
     gold: bool = True,
+    gate: bool = True,
 ) -> Run:
     """Bring every table up to ``as_of``; the first run of a table is always full.
 
     Repeating a run changes nothing: nothing is newer than the high-water mark, and the
-    reprocessed hours come out the same.
+    reprocessed hours come out the same. Unless ``gate`` is off, a failed data test stops the run
+    (:class:`hodos.operators.quality.DataTestError`) before anything that depends on the
+    tested tables is built.
     """
+
+    def stop_if_failed(tests: list[DataFrame]) -> None:
+        if gate:
+            quality.require(quality.report(tests))
+
     batch = refresh_silver(warehouse, raw, full)
+    stop_if_failed(silver_tests(warehouse.read(STG_TRAFFIC), warehouse.read(DIM_ROADS)))
     bound = refresh_facts(warehouse, as_of, full, lookback_days, anchor, spine_start)
+    slots = hour_spine(warehouse.spark, spine_start, as_of)
+    stop_if_failed(fact_tests(slots, warehouse.read(FCT_MEASUREMENTS), warehouse.read(DIM_ROADS)))
     if gold:
         refresh_gold(warehouse)
+        tables = (MRT_TRAFFIC_ROAD, DAILY_SPEED_COUNT, LAST_KPI)
+        stop_if_failed(gold_tests(*[warehouse.read(t) for t in tables]))
     late = None if batch is None or bound is None else facts.late_readings(batch, bound)
     return Run(bound, late)
 
@@ -115,6 +128,35 @@ def homepage_tables(warehouse: Warehouse) -> dict[str, DataFrame]:
     }
 
 
+def silver_tests(staged: DataFrame, devices: DataFrame) -> list[DataFrame]:
+    return [
+        quality.unique(staged, "stg_traffic", "traffic_id"),
+        quality.not_null(staged, "stg_traffic", ["traffic_id", "device_id", "processed_at", "counted_cars", "average_speed"]),
+        quality.unique(devices, "dim_roads", "device_id"),
+        quality.not_null(devices, "dim_roads", ["device_id", "road_name"]),
+    ]
+
+
+def fact_tests(slots: DataFrame, measured: DataFrame, devices: DataFrame) -> list[DataFrame]:
+    flags = ["is_ghost_reading", "is_dead", "is_impossible_speed", "is_quality"]
+    return [
+        quality.unique(slots, "util_hours", "hourly_slot"),
+        quality.not_null(slots, "util_hours", ["hourly_slot"]),
+        quality.unique(measured, "fct_measurements", "device_id", "processed_at"),
+        quality.not_null(measured, "fct_measurements", ["device_id", "processed_at", *flags]),
+        quality.relationship(measured, devices, "device_id", "fct_measurements"),
+    ]
+
+
+def gold_tests(mart: DataFrame, daily: DataFrame, figures: DataFrame) -> list[DataFrame]:
+    return [
+        quality.not_null(mart, "mrt_traffic_road", ["device_id"]),
+        quality.unique(daily, "fct_last_30_days_daily_speed_count", "processed_date"),
+        quality.not_null(daily, "fct_last_30_days_daily_speed_count", ["processed_date", "total_counted_cars", "weighted_avg_speed"]),
+        quality.not_null(figures, "fct_last_30_days_KPI", ["weighted_avg_speed"]),
+    ]
+
+
 def data_tests(
     spark: SparkSession,
     staged: DataFrame,
@@ -128,24 +170,7 @@ def data_tests(
 ) -> DataFrame:
     """The declared tests of every table, one result row each."""
     slots = hour_spine(spark, spine_start, as_of)
-    flags = ["is_ghost_reading", "is_dead", "is_impossible_speed", "is_quality"]
-    return quality.report(
-        [
-            quality.unique(staged, "stg_traffic", "traffic_id"),
-            quality.unique(slots, "util_hours", "hourly_slot"),
-            quality.unique(devices, "dim_roads", "device_id"),
-            quality.unique(daily, "fct_last_30_days_daily_speed_count", "processed_date"),
-            quality.unique(measured, "fct_measurements", "device_id", "processed_at"),
-            quality.not_null(staged, "stg_traffic", ["traffic_id", "device_id", "processed_at", "counted_cars", "average_speed"]),
-            quality.not_null(slots, "util_hours", ["hourly_slot"]),
-            quality.not_null(devices, "dim_roads", ["device_id", "road_name"]),
-            quality.not_null(measured, "fct_measurements", ["device_id", "processed_at", *flags]),
-            quality.not_null(mart, "mrt_traffic_road", ["device_id"]),
-            quality.not_null(daily, "fct_last_30_days_daily_speed_count", ["processed_date", "total_counted_cars", "weighted_avg_speed"]),
-            quality.not_null(figures, "fct_last_30_days_KPI", ["weighted_avg_speed"]),
-            quality.relationship(measured, devices, "device_id", "fct_measurements"),
-        ]
-    )
+    return quality.report(silver_tests(staged, devices) + fact_tests(slots, measured, devices) + gold_tests(mart, daily, figures))
 
 
 def freshness(raw: DataFrame, as_of: datetime, warn_hours: int = 24, error_hours: int = 36) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hodos.functions.calendar import DAYS, day_rank, month_start
 from hodos.functions.measures import weighted_speed
-from hodos.plans.reporting import labelled_times
+from hodos.plans.reporting import labelled_slots
 
 
 def heatmap(window: DataFrame) -> DataFrame:
@@ -98,17 +98,17 @@ def health_series(health: DataFrame) -> DataFrame:
     return long.withColumn("Label", label)
 
 
-def scoreboard(window: DataFrame, figures: DataFrame) -> DataFrame:
+def scoreboard(weekly: DataFrame, figures: DataFrame) -> DataFrame:
     """The start page's single row.
 
-    ``figures`` is the period comparison with ``latest_timestamp``. Of tied extreme slots
-    the first in the week is named.
+    ``weekly`` holds the weighted speed per weekday and hour, ``figures`` the period
+    comparison with ``latest_timestamp``. Of tied extreme slots the first in the week is named.
     """
     slot = F.concat_ws(" ", "processed_day", "processed_hour")
     rank = F.struct(day_rank(F.col("processed_day")), F.col("processed_hour"))
     first = lambda which: F.min_by(slot, F.when(F.col("slot") == which, rank))
     slots = (
-        labelled_times(window)
+        labelled_slots(weekly)
         .agg(first("busiest").alias("b"), first("lightest").alias("l"))
         # When one slot is both extremes it is named twice.
         .select(F.struct(F.col("b").alias("busiest"), F.coalesce("l", "b").alias("lightest")))

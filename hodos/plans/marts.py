@@ -58,6 +58,16 @@ def previous_days(mart: DataFrame, days: int = 30) -> DataFrame:
     return since(mart, start, end).where((at >= start.cast("timestamp_ntz")) & (at < end.cast("timestamp_ntz")))
 
 
+def both_periods(mart: DataFrame, days: int = 30) -> DataFrame:
+    """Rows of :func:`last_days` and :func:`previous_days` in one scan, told apart by ``period``."""
+    latest = latest_date(mart)
+    start, end = F.date_sub(latest, 2 * days), F.date_sub(latest, days)
+    at = F.col("processed_at")
+    earlier = (at >= start.cast("timestamp_ntz")) & (at < end.cast("timestamp_ntz"))
+    period = F.when(F.col("processed_date") >= end, "last").when(earlier, "previous")
+    return since(mart, start).withColumn("period", period).where("period IS NOT NULL")
+
+
 def device_health(facts: DataFrame, weight: str | None = None) -> DataFrame:
     """Counts and percentages of bad readings per month.
 

@@ -263,10 +263,8 @@ def kpi_previous(spark, sf_dir):
 
 @query
 def kpi_delta(spark, sf_dir):
-    mart = history(spark, sf_dir)
-    return reporting.kpi_delta(
-        reporting.kpi(marts.last_days(mart)), reporting.kpi(marts.previous_days(mart), with_time=False)
-    )
+    totals = reporting.period_totals(marts.both_periods(history(spark, sf_dir)))
+    return reporting.delta_of(reporting.period_figures(totals))
 
 
 @query
@@ -294,14 +292,36 @@ def homepage_tables(spark, sf_dir):
     )
 
 
+@query
+def stored_kpi_last(spark, sf_dir):
+    return build.homepage_tables(warehouse_of(spark, sf_dir))["last_kpi"]
+
+
+@query
+def stored_kpi_previous(spark, sf_dir):
+    return build.homepage_tables(warehouse_of(spark, sf_dir))["previous_kpi"]
+
+
+@query
+def stored_daily(spark, sf_dir):
+    return build.homepage_tables(warehouse_of(spark, sf_dir))["daily_speed_count"]
+
+
+@query
+def stored_busiest(spark, sf_dir):
+    return build.homepage_tables(warehouse_of(spark, sf_dir))["busiest_times"]
+
+
+@query
+def stored_last_days(spark, sf_dir):
+    return warehouse_of(spark, sf_dir).read(build.MRT_LAST_DAYS).select(*marts.MART_COLUMNS)
+
+
 @query
 def scoreboard(spark, sf_dir):
-    mart = history(spark, sf_dir)
-    window = marts.last_days(mart)
-    last = reporting.kpi(window)
-    delta = reporting.kpi_delta(last, reporting.kpi(marts.previous_days(mart), with_time=False))
-    figures = delta.withColumn("latest_timestamp", window.agg(F.max("processed_at")).scalar())
-    return dashboard.scoreboard(window, figures)
+    totals = cut(reporting.period_totals(marts.both_periods(history(spark, sf_dir))))
+    figures = reporting.delta_of(reporting.period_figures(totals), with_time=True)
+    return dashboard.scoreboard(reporting.slots_of(totals), figures)
 
 
 # --- dashboard -----------------------------------------------------------------------
@@ -640,6 +660,13 @@ def ordinal_encode(spark, sf_dir):
     return encode.apply_ordinal_encoding(mart.select("road_name").distinct(), fitted, "road_name", "road_code")
 
 
+@query
+def ordinal_encode_devices(spark, sf_dir):
+    """Codes of all devices of the long history, fitted on the training part."""
+    fitted = encode.fit_ordinal_encoding(parts(spark, sf_dir)[0], "device_id")
+    return encode.apply_ordinal_encoding(history(spark, sf_dir).select("device_id").distinct(), fitted, "device_id", "device_code")
+
+
 @query
 def road_devices(spark, sf_dir):
     return features.road_devices(gold(spark, sf_dir))
@@ -651,18 +678,69 @@ def road_map(spark, sf_dir):
     return lists.select("road_name", F.array_join("devices", ",").alias("devices"), F.size("devices").alias("n_devices"))
 
 
-SMALL_MODEL = training.ModelSettings(max_iter=5, max_depth=4, max_bins=64, learning_rate=0.3, min_samples_leaf=5)
+#: The configured trees in all but their number: every further tree waits for the one before.
+TRIAL_MODEL = training.ModelSettings(max_iter=20)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test part."""
+    marked = features.split_marked(base(spark, sf_dir))
+    return marked.where("NOT is_test").drop("is_test"), marked.where("is_test").drop("is_test")
+
+
+def trained(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the model a training run saves, once per session."""
+
+    def make() -> str:
+        train, _ = parts(spark, sf_dir)
+        train = cut(train)
+        model = training.fit(train, TRIAL_MODEL)
+        return training.save(model, train, base(spark, sf_dir), scratch(spark, "models"), version=1)
+
+    return _once("model", spark, sf_dir, make)
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> training.SpeedModel:
+    return training.load(spark, trained(spark, sf_dir), TRIAL_MODEL)
 
 
 @query
 def gbt_metrics(spark, sf_dir):
-    _, test = training.train_and_evaluate(base(spark, sf_dir), SMALL_MODEL)
-    return training.metrics(test)
+    """Error of the fitted model, as loaded again, on the test part."""
+    return training.metrics(loaded(spark, sf_dir).predict(parts(spark, sf_dir)[1]))
+
+
+@query
+def model_holdout(spark, sf_dir):
+    """The fitted model beside the mean of the training part."""
+    return training.holdout(loaded(spark, sf_dir), *parts(spark, sf_dir))
 
 
 @query
 def model_metrics(spark, sf_dir):
-    return training.metrics(scored(spark, sf_dir))
+    return training.metrics(closed_form(parts(spark, sf_dir)[1]))
+
+
+def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event asks for a road of the long history; some for an unknown road or hour."""
+    return testdata.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"),
+        (F.col("user_id") % 30).cast("string").alias("road_name"),
+        F.col("ts").cast("date").alias("target_date"),
+        (F.get_json_object("props", "$.k").cast("int") % 30).alias("target_hour"),
+    )
+
+
+@query
+def model_answers(spark, sf_dir):
+    """What became of every request to the fitted model: an answer, or the reason for none."""
+    asked = model_requests(spark, sf_dir)
+    pairs = training.load_road_devices(spark, trained(spark, sf_dir))
+    answers = scoring.score_roads(asked, pairs, loaded(spark, sf_dir).predict)
+    plausible = F.col("average_predicted_speed_kmh").between(0, 130)
+    answered = answers.select("request_id", "target_datetime", "active_devices_used", plausible.alias("is_plausible"))
+    refused = scoring.rejected(asked, pairs).select("request_id", "reason")
+    return answered.unionByName(refused, allowMissingColumns=True)
 
 
 def requests(spark, sf_dir) -> DataFrame:

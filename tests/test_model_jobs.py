@@ -104,6 +104,13 @@ def test_ordinal_encoding(spark):
     assert {r.r: r.code for r in got.collect()} == {"A": 0, "B": 1, "Z": -1, None: -1}
 
 
+def test_ordinal_codes_number_all_ranges_in_order(spark):
+    names = [f"r{i:04d}" for i in range(500)]
+    fitted = encode.fit_ordinal_encoding(spark.createDataFrame([(n,) for n in names * 2], "r string"), "r")
+    assert [r.code for r in sorted(fitted.collect())] == list(range(500))
+    assert encode.fit_ordinal_encoding(spark.createDataFrame([], "r string"), "r").isEmpty()
+
+
 SMALL = training.ModelSettings(max_iter=8, max_depth=4, max_bins=16, learning_rate=0.4, min_samples_leaf=5)
 
 
@@ -121,9 +128,23 @@ def test_model_learns_saves_and_loads(spark, folder):
     assert spark.read.parquet(f"{path}/reference").count() == 4000
 
 
-def test_too_many_roads_for_the_trees(spark):
-    with pytest.raises(ValueError, match="max_bins"):
-        training.fit(base(spark, 100), training.ModelSettings(max_bins=3))
+def test_bins_grow_with_the_roads(spark):
+    model = training.fit(base(spark, 100), training.ModelSettings(max_iter=2, max_depth=2, max_bins=3, min_samples_leaf=1))
+    assert model.settings.max_bins == model.roads.count() + 1 > 3
+
+
+def test_holdout_is_held_against_the_training_mean(spark):
+    train, test = (base(spark, 400).where(f"date {sign} '2024-01-20'") for sign in ("<", ">="))
+    row = training.holdout(training.fit(train, SMALL), train, test).first()
+    mean = train.agg(F.avg("average_speed")).first()[0]
+    assert row.n_rows == row.n_plausible == test.count() > 0 and row.no_worse
+    assert row.mean_mae == pytest.approx(test.agg(F.avg(F.abs(F.col("average_speed") - mean))).first()[0])
+
+
+def test_error_figures_keep_their_digits_on_large_values(spark):
+    rows = spark.createDataFrame([(1e9 + i, 1e9 + i + (0.5 if i % 2 else -0.5)) for i in range(100)], "average_speed double, prediction double")
+    row = training.metrics(rows).first()
+    assert row.mae == 0.5 and row.r2_score == pytest.approx(1 - 25 / 83325)
 
 
 def test_latest_version_is_numeric_and_latest_run_by_time(spark):

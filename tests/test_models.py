@@ -7,6 +7,7 @@ from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from hodos.functions.calendar import clock, day_name, greek_holidays, month_spans, reporting_day
+from hodos.operators.quality import DataTestError
 from hodos.plans import build, dashboard, facts, marts, reporting, roads, staging
 from hodos.sources import testdata
 from hodos.sources.tables import DIM_ROADS, FCT_MEASUREMENTS, MRT_TRAFFIC_ROAD, STG_TRAFFIC, Warehouse
@@ -180,6 +181,23 @@ def test_period_comparison(spark):
     assert (row.delta_weighted_avg_speed, row.delta_sum_counted_cars, row.delta_distinct_roads_count, row.delta_distinct_devices_count) == (30.0, 30, 1, 1)
 
 
+def test_one_pass_over_both_periods_equals_two_reports(spark):
+    rows = [(d, r, day, h, 1 + (day * h) % 7, float(day % 11 * h)) for d, r in (("a", "R"), ("b", "R"), ("c", "S"), ("d", None)) for day in range(0, 100, 3) for h in (1, 9)]
+    mart = gold(spark, *rows)
+    totals = reporting.period_totals(marts.both_periods(mart))
+    two = reporting.kpi_delta(reporting.kpi(marts.last_days(mart)), reporting.kpi(marts.previous_days(mart), with_time=False)).first()
+    one = reporting.delta_of(reporting.period_figures(totals)).first()
+    assert one.asDict() == pytest.approx(two.asDict())
+    slots = lambda df: sorted((r.processed_day, r.processed_hour, round(r.weighted_avg_speed, 9)) for r in df.collect())
+    assert slots(reporting.slots_of(totals)) == slots(reporting.speed_by_slot(marts.last_days(mart)))
+
+
+def test_a_period_without_rows_counts_nothing(spark):
+    mart = gold(spark, ("a", "R", 40, 1, 30, 50.0))
+    row = reporting.delta_of(reporting.period_figures(reporting.period_totals(marts.both_periods(mart)))).first()
+    assert (row.previous_distinct_roads_count, row.previous_weighted_avg_speed, row.distinct_devices_count) == (0, None, 1)
+
+
 def test_volatility_ranking_puts_single_readings_last(spark):
     mart = gold(spark, ("a", "X", 0, 1, 1, 10.0), ("a", "X", 0, 2, 1, 30.0), ("a", "Y", 0, 1, 1, 10.0), ("a", "Z", 0, 1, 1, 10.0), ("a", "Z", 0, 2, 1, 12.0))
     ranked = dashboard.volatility(mart)
@@ -334,6 +352,15 @@ def test_two_spellings_of_one_time_are_one_reading(spark, folder):
     assert keys.where("count > 1").isEmpty()
 
 
+def test_a_failed_data_test_stops_the_run(spark, folder):
+    warehouse, bad = Warehouse(spark, folder), raw(spark, ("a", 0, None, 5.0, 3))
+    with pytest.raises(DataTestError, match="stg_traffic.counted_cars not_null: 1"):
+        build.run(warehouse, bad, as_of=at(5), spine_start=START)
+    assert warehouse.exists(STG_TRAFFIC) and not warehouse.exists(FCT_MEASUREMENTS)
+    build.run(warehouse, bad, as_of=at(5), spine_start=START, gold=False, gate=False)
+    assert warehouse.exists(FCT_MEASUREMENTS)
+
+
 def test_an_empty_target_takes_everything(spark, folder):
     warehouse = Warehouse(spark, folder)
     empty = raw(spark, ("a", 0, 1, 1.0, 10)).limit(0)
