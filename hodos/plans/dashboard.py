@@ -16,15 +16,19 @@ def heatmap(window: DataFrame) -> DataFrame:
 
 
 def spatiotemporal(mart: DataFrame) -> DataFrame:
-    return mart.groupBy("road_name", "processed_hour", "processed_day").agg(
+    """Speed and cars per road and weekly slot, in order of road, weekday name and hour."""
+    slots = mart.groupBy("road_name", "processed_hour", "processed_day").agg(
         weighted_speed().alias("weighted_avg_speed"), F.avg("counted_cars").alias("avg_counted_cars")
     )
+    return slots.orderBy(F.col("road_name").asc_nulls_last(), "processed_day", "processed_hour")
 
 
 def speed_count(mart: DataFrame) -> DataFrame:
-    return mart.groupBy("road_name", "processed_hour").agg(
+    """Speed and cars per road and hour, in that order."""
+    hourly = mart.groupBy("road_name", "processed_hour").agg(
         weighted_speed().alias("weighted_avg_speed"), F.avg("counted_cars").alias("avg_counted_cars")
     )
+    return hourly.orderBy(F.col("road_name").asc_nulls_last(), "processed_hour")
 
 
 def volatility(rows: DataFrame) -> DataFrame:
@@ -44,6 +48,10 @@ def least_volatile(roads: DataFrame, n: int = 20) -> DataFrame:
     return tail.orderBy(F.col("std_average_speed").desc_nulls_last(), "road_name")
 
 
+def by_road(roads: DataFrame) -> DataFrame:
+    return roads.orderBy(F.col("road_name").asc_nulls_last())
+
+
 def longest_first(roads: DataFrame) -> DataFrame:
     return roads.orderBy(F.col("std_average_speed").desc_nulls_last(), "road_name")
 

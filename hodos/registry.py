@@ -329,7 +329,8 @@ def scoreboard(spark, sf_dir):
 
 @query
 def heatmap_last_n(spark, sf_dir):
-    return dashboard.heatmap(marts.last_days(gold(spark, sf_dir)))
+    """Over the stored window, as the start page reads it."""
+    return dashboard.heatmap(warehouse_of(spark, sf_dir).read(build.MRT_LAST_DAYS))
 
 
 @query
@@ -344,12 +345,12 @@ def speed_count(spark, sf_dir):
 
 @query
 def volatility_last_n(spark, sf_dir):
-    return dashboard.volatility(marts.last_days(history(spark, sf_dir)))
+    return dashboard.longest_first(dashboard.volatility(marts.last_days(history(spark, sf_dir))))
 
 
 @query
 def volatility_all(spark, sf_dir):
-    return dashboard.volatility(gold(spark, sf_dir))
+    return dashboard.by_road(dashboard.volatility(gold(spark, sf_dir)))
 
 
 @query

@@ -198,6 +198,15 @@ def test_a_period_without_rows_counts_nothing(spark):
     assert (row.previous_distinct_roads_count, row.previous_weighted_avg_speed, row.distinct_devices_count) == (0, None, 1)
 
 
+def test_outputs_come_in_their_order(spark):
+    mart = gold(spark, *[("a", road, day, h, 1, float(h * day)) for road in ("Y", None, "X") for day in (3, 0, 1) for h in (9, 2)])
+    last = lambda name: (name is None, name or "")
+    slots = [(last(r.road_name), r.processed_day, r.processed_hour) for r in dashboard.spatiotemporal(mart).collect()]
+    hourly = [(last(r.road_name), r.processed_hour) for r in dashboard.speed_count(mart).collect()]
+    assert slots == sorted(slots) and len(slots) == 18 and hourly == sorted(hourly) and len(hourly) == 6
+    assert [r.road_name for r in dashboard.by_road(dashboard.volatility(mart)).collect()] == ["X", "Y", None]
+
+
 def test_volatility_ranking_puts_single_readings_last(spark):
     mart = gold(spark, ("a", "X", 0, 1, 1, 10.0), ("a", "X", 0, 2, 1, 30.0), ("a", "Y", 0, 1, 1, 10.0), ("a", "Z", 0, 1, 1, 10.0), ("a", "Z", 0, 2, 1, 12.0))
     ranked = dashboard.volatility(mart)
