@@ -4,13 +4,15 @@ A window is as many words as the item has. Its fingerprint is a 64-bit SimHash o
 each weighted by how often it occurs. The fingerprints are split into ``BLOCKS`` blocks; when
 two fingerprints differ in at most ``RADIUS`` bits, some block differs in at most
 ``RADIUS // BLOCKS`` bits, so windows and items meet on equal blocks after every block value
-of the items has been spread to its neighbours within that distance. No pair within the radius
-is missed. What meets is verified exactly: the weighted Jaccard similarity of word 5-grams
-(sum of smaller counts over sum of larger counts) has to reach ``THRESHOLD``.
+of the items has been spread to its neighbours within that distance. No fingerprinted pair within
+the radius is missed. What meets is verified exactly: the weighted Jaccard similarity of word
+5-grams (sum of smaller counts over sum of larger counts) has to reach ``THRESHOLD``.
 
-Windows are taken where an item can lie at all: an item and a window of similarity 0.8 share
-one of any fifth, plus one, of the item's shingles, so a window starts where one of the item's
-first shingles, or its last, sets it. Windows that would pass an end of the text are moved inside.
+Windows are fingerprinted wherever that similarity can be reached: an item of n shingles and a
+window of m need 4 (n + m) / 9 shared ones for 0.8, so every window that holds as many places
+with a shingle of the item is taken, in whatever order they stand. Any other window would fail
+the exact check, so the result is that of fingerprinting all windows. A text shorter than an
+item has one window, the whole text.
 
 Items of fewer than five words have one shingle of all their words. Null and blank texts and
 items have no windows. Rows of one id are taken together; null ids are kept as they are. Further
@@ -41,34 +43,52 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return items.withColumn("size", F.size("w")).withColumn("width", F.least(F.size("w"), F.lit(SHINGLE))).distinct()
 
 
-def _anchors(items: DataFrame, width: int) -> DataFrame:
-    """shingle, offset, size: where a window lies if it has that shingle of an item."""
-    n = F.col("size") - width + 1
-    missing = F.floor(n * (1 - THRESHOLD) + 1e-9).cast("int")
-    spots = items.filter(F.col("width") == width).withColumn("offset", F.explode(F.sequence(F.lit(0), n - 1)))
-    spots = spots.filter((F.col("offset") <= missing) | (F.col("offset") >= n - 1 - missing))
-    return spots.select(_shingle(width, F.col("offset")).alias("shingle"), "offset", "size").distinct()
+def _spots(items: DataFrame, width: int) -> DataFrame:
+    """shingle, item_id, size: the shingles of every item whose shingles have ``width`` words."""
+    spots = items.filter(F.col("width") == width).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - width)))
+    return spots.select(_shingle(width, F.col("at")).alias("shingle"), "item_id", "size").distinct()
 
 
-def windows(documents: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    """doc_id, start, size, window (its words): every window in which an item can lie."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
+def _spans(texts: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """doc_id, copy, start, size: every window with as many of an item's shingles as THRESHOLD needs."""
+    texts = texts.select("doc_id", "copy", words(F.col("text")).alias("w"))
     found = None
     widths = [r.width for r in items.select("width").distinct().collect()]  # at most SHINGLE of them
     for width in sorted(widths):
-        anchors = _anchors(items, width)
-        at = texts.filter(F.size("w") >= width).select("doc_id", "w", F.posexplode("w").alias("at", "word"))
-        at = at.filter(F.col("at") <= F.size("w") - width).withColumn("shingle", _shingle(width, F.col("at")))
-        met = at.join(F.broadcast(anchors) if small else anchors, "shingle")
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("w") - F.col("size")))
-        part = met.select("doc_id", start.alias("start"), "size", "w")
-        part = part.select("doc_id", "start", "size", F.slice("w", F.col("start") + 1, F.col("size")).alias("window"))
+        spots = _spots(items, width)
+        at = texts.filter(F.size("w") >= width).select("doc_id", "copy", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("at", "word"))
+        at = at.filter(F.col("at") <= F.col("n_words") - width).select("doc_id", "copy", "n_words", "at", _shingle(width, F.col("at")).alias("shingle"))
+        met = at.join(F.broadcast(spots) if small else spots, "shingle")
+        hits = met.groupBy("doc_id", "copy", "n_words", "item_id", "size").agg(F.sort_array(F.collect_set("at")).alias("hits"))
+        n, m = F.col("size") - width + 1, F.least("size", "n_words") - width + 1
+        need = F.ceil((n + m) * THRESHOLD / (1 + THRESHOLD) - 1e-9).cast("int")
+        runs = hits.withColumn("m", m).withColumn("need", need).filter(F.size("hits") >= F.col("need"))
+        # a window with that many hits starts at or before some hit and ends at or after the one ``need - 1`` on
+        runs = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("hits") - F.col("need"))))
+        low = F.greatest(F.lit(0), F.get("hits", F.col("k") + F.col("need") - 1) - F.col("m") + 1)
+        high = F.least(F.get("hits", F.col("k")), F.greatest(F.lit(0), F.col("n_words") - F.col("size")))
+        runs = runs.select("doc_id", "copy", "size", low.alias("low"), high.alias("high")).filter("low <= high")
+        part = runs.select("doc_id", "copy", F.explode(F.sequence("low", "high")).alias("start"), "size").distinct()
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = texts.limit(0).select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("size"), F.col("w").alias("window"))
+        found = texts.limit(0).select("doc_id", "copy", F.lit(0).alias("start"), F.lit(0).alias("size"))
     return found.distinct()
 
 
+def windows(documents: DataFrame, items: DataFrame, small: bool, folder: str) -> DataFrame:
+    """doc_id, start, size, window (its words): every window that can be as similar as THRESHOLD to an item."""
+    spark = documents.sparkSession
+    text = F.col("text").cast("string")
+    # rows of one id may have different texts, so a text is known by its id and its hash
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy"))
+    spans = _spans(texts, items, small).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans.write.parquet(f"{folder}/spans")
+    spans = spark.read.parquet(f"{folder}/spans").withColumnsRenamed({"doc_id": "span_id", "copy": "span_copy"})
+    met = texts.join(spans, (F.col("copy") == F.col("span_copy")) & F.col("doc_id").eqNullSafe(F.col("span_id")))
+    met = met.select("doc_id", words(F.col("text")).alias("w"), F.explode("spans").alias("span"))
+    return met.select("doc_id", "span.start", "span.size", F.slice("w", F.col("span.start") + 1, F.col("span.size")).alias("window")).distinct()
+
+
 def fingerprinted(frame: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """``frame`` with ``print``: for each bit, whether the words that set it outweigh the others."""
     each = frame.select(*keys, F.explode(column).alias("word")).withColumn("h", F.xxhash64("word"))
@@ -120,7 +140,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = spark.read.parquet(f"{folder}/items")
     shingles = items.agg(F.sum("size")).first()[0] or 0
     small = shingles * 2 <= BROADCAST_ROWS
-    windows(documents, items, small).write.parquet(f"{folder}/windows")
+    windows(documents, items, small, folder).write.parquet(f"{folder}/windows")
     spans = spark.read.parquet(f"{folder}/windows")
 
     keys = ["doc_id", "start", "size"]

@@ -133,6 +133,28 @@ def test_planted_passages_are_found(spark, odd, empty):
     assert decontaminate.decontaminated(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_reordered_passages_equal_sql(spark):
+    import duckdb
+
+    a, b = prose(201, 30), prose(202, 30)
+    third = [prose(210 + k, 19) for k in range(3)]
+    items = [(1, f"{a} {b}"), (2, " ".join(third)), (3, "x y " * 20)]
+    cut = f"{a} {b}".split()
+    rows = [
+        (1, f"{prose(203, 40)} {b} {a} {prose(204, 50)}"), (2, f"{b} {a}"), (3, f"{prose(205, 7)} {third[1]} {third[2]} {third[0]}"), (4, f"{a} {prose(206, 9)} {b}"),
+        (5, f"{prose(207, 200)} {a} {b} {prose(208, 3)}"), (6, " ".join(cut[:20] + ["new"] + cut[21:])), (7, "y x " * 30), (8, prose(209, 300)),
+    ]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, frame in (("documents", documents), ("benchmark", benchmark)):
+        con.register(name, frame.toArrow())
+    found = decontaminate.contaminations(documents, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in found) == sorted(con.sql(decontaminate.SQL).fetchall())
+    # the two parts of item 1 share 52 of 56 shingles in the other order
+    assert {(r.doc_id, r.item_id, r.start, r.similarity) for r in found if r.doc_id < 3} == {(1, 1, 40, 0.866667), (2, 1, 0, 0.866667)}
+
+
 def test_no_fingerprint_within_the_radius_is_missed():
     wide, reach = decontaminate.BITS // decontaminate.BLOCKS, decontaminate.RADIUS // decontaminate.BLOCKS
     rng = np.random.default_rng(1)
