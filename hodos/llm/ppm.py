@@ -8,9 +8,10 @@ Since every byte seen after a context is also seen after its suffixes, exclusion
 each context, how much of its suffix's counts its own bytes make up.
 
 Training counts runs of ``ORDER + 1`` bytes in every task with numpy, adds them up by a shuffle
-and stores the trie as sorted Parquet in the shared folder. The trie's size is bounded: a depth
-may have at most ``NODES`` contexts and bytes; depth 1 never has more, and deeper
-levels are used as far as theirs stay within it, none in part. Workers read it once each.
+and stores the trie as Parquet in the shared folder. While every depth has at most ``NODES``
+contexts and bytes, workers read the trie once each. Beyond that they read at most ``NODES`` of
+its most frequent longest runs; all other runs of the texts are looked up in the stored trie,
+depth by depth, by a shuffle. Both ways give the same scores, of order ``ORDER``.
 
 The base score is an add-half unigram model over words, named by 64-bit hashes. Their counts are
 added up by the same shuffle. Workers read those of at most ``COMMON`` most frequent words from
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hodos.llm.common import blocks_of, fold, table, word_hashes
 from hodos.session import scratch
@@ -100,7 +101,9 @@ def fit(texts: DataFrame, folder: str) -> dict:
     nodes = parts.groupBy("d", F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("times").alias("times"))
     nodes.write.partitionBy("d").parquet(f"{folder}/trie")
     sizes = {r.d: r["count"] for r in spark.read.schema("code long, times long, d int").parquet(f"{folder}/trie").groupBy("d").count().collect()}
-    deepest = max([d for d in sizes if all(sizes[e] <= NODES for e in range(d + 1))], default=-1)
+    held_whole = all(n <= NODES for n in sizes.values())
+    if not held_whole:
+        _store_contexts(spark, folder)
 
     vocabulary = counts.filter("kind = 1").select("name", "times", F.floor(F.log2("times") * RANKS).cast("int").alias("rank"))
     by_rank = sorted(((r["rank"], r["words"], r["tokens"]) for r in vocabulary.groupBy("rank").agg(F.count(F.lit(1)).alias("words"), F.sum("times").alias("tokens")).collect()), reverse=True)
@@ -113,7 +116,76 @@ def fit(texts: DataFrame, folder: str) -> dict:
     vocabulary.filter(F.col("rank") >= least).select("name", "times").write.parquet(f"{folder}/common")
     vocabulary.filter(F.col("rank") < least).select("name", "times").write.parquet(f"{folder}/rare")
     ends = counts.filter("kind = 2").agg(F.sum("times")).first()[0] or 0
-    return {"folder": folder, "deepest": deepest, "ends": ends, "tokens": sum(t for _, _, t in by_rank) + ends, "kinds": sum(w for _, w, _ in by_rank) + (ends > 0)}
+    return {"folder": folder, "deepest": max(sizes, default=-1), "held_whole": held_whole, "ends": ends, "tokens": sum(t for _, _, t in by_rank) + ends, "kinds": sum(w for _, w, _ in by_rank) + (ends > 0)}
+
+
+def _masks(of: Column, masks: list[int]) -> Column:
+    """The mask for each depth."""
+    return F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), of + 1)
+
+
+def _trie(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("code long, times long, d int").parquet(f"{folder}/trie")
+
+
+def _store_contexts(spark: SparkSession, folder: str) -> None:
+    """Below ``folder``: ``contexts``, what Trie knows of each context, and ``frequent``, the
+    name and cost of the most frequent longest runs."""
+    nodes = _trie(spark, folder).withColumn("up", F.col("code").bitwiseAND(_masks(F.col("d"), [(1 << (8 * d)) - 1 for d in range(ORDER + 1)])))
+    above = _trie(spark, folder).select((F.col("d") + 1).alias("d"), F.col("code").alias("up"), F.col("times").alias("up_times"))
+    contexts = nodes.join(above, ["d", "up"], "left").groupBy("d", F.shiftright("code", 8).alias("context"))
+    contexts.agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("up_times").alias("taken")).write.parquet(f"{folder}/totals")
+    contexts = spark.read.parquet(f"{folder}/totals")
+    above = contexts.select((F.col("d") + 1).alias("d"), F.col("context").alias("suffix"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+    suffix = F.col("context").bitwiseAND(_masks(F.col("d"), [0, *[(1 << (8 * d)) - 1 for d in range(ORDER)]]))
+    others, left = F.col("up_kinds") - F.col("kinds"), F.col("up_total") - F.col("taken")
+    contexts = contexts.withColumn("suffix", suffix).join(above, ["d", "suffix"], "left").select(
+        "d", "context", "total", "kinds", (-F.log10(F.greatest(left + others, F.lit(1)))).alias("share"),
+        F.when(others > 0, F.log10(others / F.greatest(left + others, F.lit(1)))).otherwise(0.0).alias("next"),
+    )
+    contexts.write.partitionBy("d").parquet(f"{folder}/contexts")
+
+    longest = _trie(spark, folder).filter(F.col("d") == ORDER).withColumn("rank", F.floor(F.log2("times") * RANKS).cast("int"))
+    least, held = 1 << 20, 0
+    for r in sorted(longest.groupBy("rank").agg(F.count(F.lit(1)).alias("runs")).collect(), key=lambda r: -r["rank"]):
+        held += r["runs"]
+        if held > NODES:
+            break
+        least = r["rank"]
+    known = _contexts(spark, folder).filter(F.col("d") == ORDER).select("context", "total", "kinds")
+    frequent = longest.filter(F.col("rank") >= least).withColumn("context", F.shiftright("code", 8)).join(known, "context")
+    name = F.col("code").bitwiseOR(F.lit(ORDER << 48))
+    frequent.select(name.alias("name"), F.log10(F.col("times") / (F.col("total") + F.col("kinds"))).alias("cost")).write.parquet(f"{folder}/frequent")
+
+
+def _contexts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("context long, total long, kinds long, share double, next double, d int").parquet(f"{folder}/contexts")
+
+
+def _resolved(runs: DataFrame, folder: str) -> DataFrame:
+    """(name, cost) of different runs ``name``: the steps of Trie.costs, one depth after the other."""
+    spark = runs.sparkSession
+    at = runs.select("name", F.shiftright("name", 48).cast("int").alias("depth"), F.col("name").bitwiseAND(F.lit((1 << 48) - 1)).alias("run"))
+    at = at.withColumns({"cost": F.lit(0.0), "done": F.lit(False), "came": F.lit(False), "came_share": F.lit(0.0), "came_next": F.lit(0.0)})
+    for d in range(ORDER, -1, -1):
+        nodes = _trie(spark, folder).filter(F.col("d") == d).select(F.col("code").alias("here"), "times")
+        contexts = _contexts(spark, folder).filter(F.col("d") == d).drop("d")
+        # by their names, depths 0 and 1 have at most 65,536 nodes, depths to 2 as many contexts
+        at = at.withColumn("here", F.col("run").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1))).withColumn("context", F.shiftright("here", 8))
+        at = at.join(F.broadcast(nodes) if d < 2 else nodes, "here", "left").join(F.broadcast(contexts) if d < 3 else contexts, "context", "left")
+        todo = ~F.col("done") & (F.col("depth") >= d)
+        hit, known, came = todo & F.col("times").isNotNull(), todo & F.col("times").isNull() & F.col("total").isNotNull(), F.col("came")
+        whole = F.col("total") + F.col("kinds")
+        step = F.when(hit & came, F.log10("times") + F.col("came_share")).when(hit, F.log10(F.col("times") / whole))
+        step = step.when(known & came, F.col("came_next")).when(known, F.log10(F.col("kinds") / whole)).otherwise(0.0)
+        at = at.select(
+            "name", "depth", "run", (F.col("cost") + step).alias("cost"), (F.col("done") | hit).alias("done"), (came | known).alias("came"),
+            F.when(known, F.col("share")).otherwise(F.col("came_share")).alias("came_share"),
+            F.when(known, F.col("next")).otherwise(F.col("came_next")).alias("came_next"),
+        )
+    kinds = _trie(spark, folder).filter("d = 0").count()
+    rest = float(-np.log10(256 - kinds)) if kinds < 256 else 0.0
+    return at.select("name", (F.col("cost") + F.when(F.col("done"), 0.0).otherwise(rest)).alias("cost"))
 
 
 class Names:
@@ -219,36 +291,68 @@ def _read(folder: str) -> pa.Table | None:
 
 
 #: What this worker has read, by folder; at most one model.
-_held: dict[str, tuple[Trie, Names, np.ndarray]] = {}
+_held: dict[str, tuple[Trie | Frequent, Names, np.ndarray]] = {}
+
 
+class Frequent:
+    """The costs of the most frequent longest runs; the others are given back by their names."""
 
-def _learned(folder: str, deepest: int) -> tuple[Trie, Names, np.ndarray]:
-    """The trie, and the names and counts of the common words, once for each worker."""
+    def __init__(self, names: np.ndarray, costs: np.ndarray):
+        order = np.argsort(names)
+        self.names, self.costs = Names(names[order]), costs[order]
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the sum of known costs; (text, run, times) of all other runs, by text."""
+        out, rest = np.zeros(len(texts)), []
+        for a, b in blocks_of(texts, 1 << 20):
+            flat, depth = _flat(texts[a:b])
+            owner = np.repeat(np.arange(a, b), [len(t) + 1 for t in texts[a:b]])
+            depth = depth.astype(np.int64)
+            names = (depth << 48) | (_codes(flat, ORDER) & ((np.int64(1) << (8 * depth + 8)) - 1))
+            place, known = self.names.find(names)
+            if known.any():
+                out += np.bincount(owner[known], self.costs[place[known]], len(texts))
+            names, owner = names[~known], owner[~known]
+            order = np.lexsort((names, owner))
+            names, owner = names[order], owner[order]
+            first = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])]) if len(names) else np.zeros(0, int)
+            rest.append((owner[first], names[first], np.diff(np.r_[first, len(names)])))
+        return out, *(np.concatenate([r[k] for r in rest] or [np.zeros(0, np.int64)]) for k in range(3))
+
+
+def _learned(folder: str, deepest: int, held_whole: bool) -> tuple[Trie | Frequent, Names, np.ndarray]:
+    """The trie or its frequent runs, and the names and counts of the common words, once for each worker."""
     if folder in _held:
         return _held[folder]
     _held.clear()
-    levels = [_read(f"{folder}/trie/d={d}") for d in range(deepest + 1)]
-    depth = np.concatenate([np.full(len(t), d) for d, t in enumerate(levels)] or [np.zeros(0, int)])
-    code, times = (np.concatenate([t[c].to_numpy() for t in levels] or [np.zeros(0, np.int64)]) for c in ("code", "times"))
+    if held_whole:
+        levels = [_read(f"{folder}/trie/d={d}") for d in range(deepest + 1)]
+        depth = np.concatenate([np.full(len(t), d) for d, t in enumerate(levels)] or [np.zeros(0, int)])
+        model = Trie(depth, *(np.concatenate([t[c].to_numpy() for t in levels] or [np.zeros(0, np.int64)]) for c in ("code", "times")))
+    else:
+        frequent = _read(f"{folder}/frequent")
+        model = Frequent(*(frequent[c].to_numpy() if frequent is not None else np.zeros(0, t) for c, t in (("name", np.int64), ("cost", float))))
     common = _read(f"{folder}/common")
     names, counts = (common[c].to_numpy() if common is not None else np.zeros(0, np.int64) for c in ("name", "times"))
     order = np.argsort(names)
-    _held[folder] = Trie(depth, code, times), Names(names[order]), counts[order]
+    _held[folder] = model, Names(names[order]), counts[order]
     return _held[folder]
 
 
 def scored(rows: DataFrame, model: dict, folder: str) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row of ``rows`` (doc_id, text)."""
     spark = rows.sparkSession
-    where, deepest, floor = model["folder"], model["deepest"], np.log10(model["tokens"] + 0.5 * (model["kinds"] + 1))
+    where, deepest, held_whole, floor = model["folder"], model["deepest"], model["held_whole"], np.log10(model["tokens"] + 0.5 * (model["kinds"] + 1))
     ends, uncounted = model["ends"], np.log10(0.5)
 
     def run(batches):
-        trie, names, counts = _learned(where, deepest)
+        trie, names, counts = _learned(where, deepest, held_whole)
         for batch in batches:
             texts = _lowered(batch)
-            score = trie.score(texts)
             for a, b in blocks_of(texts, 1 << 22):
+                none = np.zeros(0, np.int64)
+                score, run_of, runs, run_times = (trie.score(texts[a:b]), none, none, none) if held_whole else trie.score(texts[a:b])
+                run_cuts = pa.array(np.searchsorted(run_of, np.arange(b - a + 1)).astype(np.int32))
                 hashes, owner = word_hashes(texts[a:b])
                 hashes = hashes.view(np.int64)
                 place, known = names.find(hashes)
@@ -264,21 +368,27 @@ def scored(rows: DataFrame, model: dict, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(a, n), pa.array(tokens + 1), pa.array(had + (ends > 0)),
-                        pa.array(np.bincount(owner, logs, n) + np.log10(ends + 0.5)), pa.array(score[a:b]),
+                        pa.array(np.bincount(owner, logs, n) + np.log10(ends + 0.5)), pa.array(score),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(word[first])),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.diff(np.r_[first, len(word)]).astype(np.int32))),
+                        pa.ListArray.from_arrays(run_cuts, pa.array(runs)), pa.ListArray.from_arrays(run_cuts, pa.array(run_times.astype(np.int32))),
                     ],
-                    names=["doc_id", "n_tokens", "known", "logs", "score", "words", "times"],
+                    names=["doc_id", "n_tokens", "known", "logs", "score", "words", "times", "runs", "run_times"],
                 )
 
-    kinds = "doc_id long, n_tokens long, known long, logs double, score double, words array<long>, times array<int>"
+    kinds = "doc_id long, n_tokens long, known long, logs double, score double, words array<long>, times array<int>, runs array<long>, run_times array<int>"
     base = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base.mapInArrow(run, kinds).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
     each = texts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("name"), F.col("w.times").alias("n"))
     rare = spark.read.parquet(f"{where}/rare")
     met = each.join(rare, "name").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("times") + F.lit(0.5))).alias("plus"))
-    out = texts.drop("words", "times").join(met, "row", "left")
+    out = texts.drop("words", "times", "runs", "run_times").join(met, "row", "left")
+    if not held_whole:
+        left = texts.select("row", F.explode(F.arrays_zip("runs", "run_times")).alias("r")).select("row", F.col("r.runs").alias("name"), F.col("r.run_times").alias("n"))
+        _resolved(left.select("name").distinct(), where).write.parquet(f"{folder}/costs")
+        rest = left.join(spark.read.parquet(f"{folder}/costs"), "name").groupBy("row").agg(F.sum(F.col("n") * F.col("cost")).alias("rest"))
+        out = out.join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
     known = F.col("known") + F.coalesce("more", F.lit(0))
     total = F.col("logs") + F.coalesce("plus", F.lit(0.0)) + (F.col("n_tokens") - known) * float(uncounted) - F.col("n_tokens") * float(floor)
     unseen = 0.0 if ends else float(-uncounted)  # the end event is in logs already

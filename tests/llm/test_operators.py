@@ -236,6 +236,17 @@ def test_scores_equal_brute_force(spark, odd, folder, monkeypatch, common):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("nodes", [0, 300])
+def test_order_is_kept_beyond_the_held_nodes(spark, folder, monkeypatch, nodes):
+    monkeypatch.setattr(ppm, "NODES", nodes)
+    train = [prose(i, 60) for i in range(5)] + ["Zz ö", None]
+    texts = [prose(2, 60), prose(90, 80), "\x00 odd \x7f", "", None, "w1", "ünï w17 w17 cödé"]
+    model = ppm.fit(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string"), folder)
+    got = ppm.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, f"{folder}/scores").collect()
+    low = lambda t: (t or "").encode().lower() + b"\0"
+    assert {r.doc_id: r.score for r in got} == {i: pytest.approx(brute_ppm([low(x) for x in train], low(t), ppm.ORDER), abs=1e-6) for i, t in enumerate(texts)}
+
+
 def test_nothing_learned_is_uniform(spark, empty, folder):
     model = ppm.fit(empty, folder)
     got = ppm.scored(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), model, f"{folder}/scores").first()
