@@ -10,10 +10,11 @@ never gathered.
 
 Defined results: a null text has no word. A text fails the base rule with fewer than 50 words,
 or with more than half of its words in repeated 3-word windows. Texts that fail it are not
-learned from. Groups with fewer than ``LEAST`` passing rows share one estimate, as do null
-languages and sources with each other; with fewer than ``LEAST`` of these together nothing is
-rejected but by the base rule. Every variance has a floor, so groups that do not vary are well
-defined. Repeated rows and null ids are kept as they are; further columns are not looked at.
+learned from. A null language or source is one of its own. A group with fewer than ``LEAST``
+passing rows is estimated from those within the cutoff of its language's estimate, as if
+``LEAST`` rows of that estimate were among them; a language as small in the same way from all
+rows together, and with fewer than ``LEAST`` of all rows nothing is rejected but by the base
+rule. Every variance has a floor, so groups that do not vary are well defined. Repeated rows and null ids are kept as they are; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from hodos.session import scratch
 SYMBOLS = "#*$%&|<>"
 FEATURES = ["f0", "f1", "f2", "f3", "f4"]
 P = len(FEATURES)
-STEPS, HALF, LEAST = 3, 0.75, 200
+STEPS, HALF, LEAST = 3, 0.75, 5 * P
 #: Fixed values of the chi-square distribution with five degrees of freedom: its quantiles at
 #: 0.75 and 0.999, and the factor that makes the covariance of the inner 75 % consistent.
 CHI_HALF, CHI_CUT, CONSISTENCY = 6.6257, 20.515, 1.5153
@@ -111,7 +112,7 @@ def _inverse(matrix: Column) -> Column:
 def _estimate(groups: DataFrame, means: list[Column], cov) -> DataFrame:
     """(g, mean, swept) of each row of ``groups``; ``cov(i, j)`` is the covariance for i >= j."""
     matrix = F.array(*[F.array(*[cov(max(i, j), min(i, j)) for j in range(P)]) for i in range(P)])
-    return groups.select("g", F.array(*means).alias("mean"), _inverse(matrix).alias("swept"))
+    return groups.select("g", F.array(*means).alias("mean"), matrix.alias("cov"), _inverse(matrix).alias("swept"))
 
 
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
@@ -122,6 +123,21 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     return _estimate(rows.groupBy("g").agg(*means, *covs), [F.col(f"m{i}") for i in range(P)], lambda i, j: F.col(f"v{i}{j}") * factor + floor(i, j))
 
 
+def _shrunk(rows: DataFrame, parents: DataFrame, family: DataFrame) -> DataFrame:
+    """The estimate of each ``g`` of ``family`` (g, parent) from its parent's and its own ``rows`` within the cutoff of that."""
+    means = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
+    covs = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"v{i}{j}") for i in range(P) for j in range(i + 1)]
+    above = family.join(parents.withColumnRenamed("g", "parent"), "parent")
+    inner = _measured(rows.join(family.select("g"), "g", "left_semi"), above).filter(F.col("d2") <= CHI_CUT)
+    own = inner.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *means, *covs)
+    met = above.join(own, "g", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole, m = F.col("n") + LEAST, lambda i: F.coalesce(f"m{i}", F.get("mean", F.lit(i)))
+    off = lambda i: m(i) - F.get("mean", F.lit(i))
+    mean = [(F.col("n") * m(i) + LEAST * F.get("mean", F.lit(i))) / whole for i in range(P)]
+    up = lambda i, j: F.get(F.get("cov", F.lit(i)), F.lit(j))
+    return _estimate(met, mean, lambda i, j: (F.col("n") * F.coalesce(f"v{i}{j}", F.lit(0.0)) + LEAST * up(i, j)) / whole + F.col("n") * LEAST * off(i) * off(j) / (whole * whole))
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """The estimate of each group from medians and quartiles, without correlation."""
     found = rows.groupBy("g").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)])
@@ -144,13 +160,21 @@ def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 def judged(rows: DataFrame, folder: str) -> DataFrame:
     """``rows`` (with FEATURES, base_failed, lang, source) and ``d2``."""
     spark = rows.sparkSession
-    passing = rows.filter(~F.col("base_failed"))
-    sizes = passing.filter("lang is not null and source is not null").groupBy("lang", "source").count().filter(F.col("count") >= LEAST)
-    groups = sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.xxhash64("lang", "source").alias("own"))
-    named = rows.join(groups, (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source")), "left")
-    named.withColumn("g", F.coalesce("own", F.lit(0).cast("long"))).drop("g_lang", "g_source", "own").write.parquet(f"{folder}/named")
+    language = [F.col("lang").isNull(), F.col("lang")]
+    rows = rows.withColumns({"g": F.xxhash64(F.lit(2), *language, F.col("source").isNull(), "source"), "l": F.xxhash64(F.lit(1), *language)})
+    small, everything = F.col("n") < LEAST, F.lit(0).cast("long")
+    rows.filter(~F.col("base_failed")).groupBy("g", "l").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/groups")
+    groups = spark.read.parquet(f"{folder}/groups")
+    # a language is estimated where one of its groups is small, all rows where such a language is
+    groups.groupBy("l").agg(F.sum("n").alias("n"), F.max(small).alias("asked")).filter("asked").write.parquet(f"{folder}/languages")
+    languages = spark.read.parquet(f"{folder}/languages")
+    last_resort = not languages.filter(small).isEmpty()
+    own = groups.join(languages.select("l", (~small).alias("with_l")), "l", "left")
+    pools = F.array(F.when(~small, F.col("g")), F.when(F.col("with_l"), F.col("l")), F.when(F.lit(last_resort), everything))
+    rows.join(own.select("g", F.array_compact(pools).alias("pools")), "g", "left").write.parquet(f"{folder}/named")
     named = spark.read.parquet(f"{folder}/named")
-    passing = named.filter(~F.col("base_failed")).select("g", *FEATURES)
+    all_passing = named.filter(~F.col("base_failed"))
+    passing = all_passing.select(F.explode("pools").alias("g"), *FEATURES)
     big = passing.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST).select("g")
 
     def stored(estimate: DataFrame, step: str) -> DataFrame:
@@ -165,6 +189,17 @@ def judged(rows: DataFrame, folder: str) -> DataFrame:
         estimate = stored(_moments(inner, CONSISTENCY), f"step{step}")
     inner = _measured(passing, estimate).filter(F.col("d2") <= CHI_CUT)
     estimate = stored(_moments(inner, 1.0), "last")
+
+    def with_small(estimate: DataFrame, rows: DataFrame, family: DataFrame, step: str) -> DataFrame:
+        _shrunk(rows, estimate, family).write.parquet(f"{folder}/{step}")
+        return estimate.unionByName(spark.read.parquet(f"{folder}/{step}"))
+
+    if last_resort:
+        family = languages.filter(small).select(F.col("l").alias("g"), everything.alias("parent"))
+        estimate = with_small(estimate, all_passing.select(F.col("l").alias("g"), *FEATURES), family, "small_languages")
+    if not languages.isEmpty():
+        family = groups.filter(small).select("g", F.col("l").alias("parent"))
+        estimate = with_small(estimate, all_passing.select("g", *FEATURES), family, "small_groups")
     return _measured(named, estimate)
 
 

@@ -191,6 +191,15 @@ def test_outliers_are_rejected_and_others_kept(spark, odd, empty):
     assert outliers.kept_rows(empty).count() == 0
 
 
+def test_small_groups_have_their_own_estimate(spark):
+    starred = lambda i: " ".join(w + "***" for w in prose(i, 150).split())
+    rows = [(i, prose(i, 100 + i), "en", "a") for i in range(60)] + [(100 + i, starred(i), "en", "a") for i in range(3)]
+    rows += [(200 + i, starred(20 + i), "de", "b") for i in range(60)]
+    rows += [(300 + i, prose(300 + i, 120 + i), "en", "c") for i in range(5)] + [(310, starred(90), "en", "c")]
+    got = outliers.kept_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got if not r.kept} == {100, 101, 102, 310}
+
+
 # --- 5 language model ----------------------------------------------------------------
 
 
