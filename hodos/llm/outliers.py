@@ -31,8 +31,6 @@ STEPS, HALF, LEAST = 3, 0.75, 5 * P
 #: Fixed values of the chi-square distribution with five degrees of freedom: its quantiles at
 #: 0.75 and 0.999, and the factor that makes the covariance of the inner 75 % consistent.
 CHI_HALF, CHI_CUT, CONSISTENCY = 6.6257, 20.515, 1.5153
-#: A row is an outlier from this many times the 0.999 quantile on.
-SLACK = 2.0
 #: Least standard deviation of each transformed statistic: a quarter in log length, 5 % in word
 #: length, and shares of 0.25 % symbols, 4 % repeated lines and 2 % repeated words.
 FLOORS = [0.25, 0.05, 0.05, 0.20, 0.15]
@@ -210,7 +208,7 @@ def kept_rows(documents: DataFrame) -> DataFrame:
     statistics(documents).write.parquet(f"{folder}/statistics")
     transformed(spark.read.parquet(f"{folder}/statistics")).write.parquet(f"{folder}/transformed")
     out = judged(spark.read.parquet(f"{folder}/transformed"), folder)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= SLACK * CHI_CUT))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CHI_CUT))
 
 
 def quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -200,6 +200,18 @@ def test_small_groups_have_their_own_estimate(spark):
     assert len(got) == len(rows) and {r.doc_id for r in got if not r.kept} == {100, 101, 102, 310}
 
 
+def test_repeated_lines_alone_reject(spark):
+    import random
+
+    pick = random.Random(5)
+    rows = [(i, prose(i, 100 + i % 200), "en", "a") for i in range(400)]
+    for k in range(5):
+        short = [pick.choice([f"w{j}" for j in range(15)]) for _ in range(85)]
+        rows.append((1000 + k, "\n".join(short + [prose(500 + 20 * k + j, 8) for j in range(15)]), "en", "a"))
+    got = outliers.kept_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in got) and {r.doc_id for r in got if not r.kept} == set(range(1000, 1005))
+
+
 # --- 5 language model ----------------------------------------------------------------
 
 
