@@ -3,7 +3,7 @@
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import SF_DIR
+from compare import SF_DIR
 from pyspark.sql import functions as F
 
 from hodos.functions.calendar import clock, day_name, greek_holidays, month_spans, reporting_day

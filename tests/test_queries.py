@@ -1,8 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import pytest
-from compare import compare, oracle_connection
-from conftest import SF_DIR
+from compare import SF_DIR, compare, oracle_connection
 
 import __spark_entry__ as entry_point
 from hodos.oracles import ORACLES

@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from conftest import SF_DIR
+from compare import SF_DIR
 from pyspark.sql import functions as F
 
 from hodos.plans import build, roads, staging
