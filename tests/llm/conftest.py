@@ -1,4 +1,5 @@
 import pytest
+from samples import prose
 
 from hodos.llm.queries import ready
 from hodos.session import local_session
@@ -16,16 +17,6 @@ def folder(spark):
     return scratch(spark, "test")
 
 
-WORDS = [f"w{i}" for i in range(400)]
-
-
-def prose(seed: int, n: int) -> str:
-    import random
-
-    pick = random.Random(seed)
-    return " ".join(pick.choice(WORDS) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in every column, blank and long texts, ties, repeated rows, clashing column names."""

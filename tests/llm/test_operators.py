@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import prose
+from samples import prose
 from pyspark.sql import functions as F
 
 from hodos.llm import decontaminate, lines, mixing, near, order, outliers, ppm, quality, tokens, warc
