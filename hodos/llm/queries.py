@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hodos.llm import decontaminate, lines, mixing, near, order, outliers, ppm, quality, tokens, warc
+from hodos.llm import decontaminate, lines, mixing, near, order, outliers, ppm, quality, repair, tokens, topk, warc, whitening
 from hodos.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": _over(quality.quality),
     "op9_source_mixing": _over(mixing.mix),
     "op10_training_order": _over(order.training_order),
+    "op11_embedding_whitening": _over(whitening.whitening),
+    "op12_conversation_repair": _over(repair.conversation_repair),
+    "op13_exact_topk": _over(topk.exact_topk),
 }
 
 ORACLES: dict[str, str] = {
@@ -43,4 +46,5 @@ ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": decontaminate.SQL,
     "op7_line_dedup": lines.SQL,
     "op9_source_mixing": mixing.SQL,
+    "op13_exact_topk": topk.SQL,
 }

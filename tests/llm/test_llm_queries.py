@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, oracle, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in corpus_pipeline.QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in corpus_pipeline.QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
