@@ -45,7 +45,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(16, int(n).bit_length())
     if size not in _powers:
         _powers.clear()
         forth = np.full(size, _ODD, np.uint64)
@@ -55,13 +55,28 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word of every text, number of the text it is in), in order.
+#: Bytes whose words are hashed at once, so that what is held does not grow with a text.
+_PIECE = 1 << 18
 
-    A word's hash is a difference of prefix sums over the joined texts, so no word becomes
-    a Python object.
-    """
-    flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+
+def _pieces(flat: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of about _PIECE bytes that end behind a separator; longer only for a longer word."""
+    out, start = [], 0
+    while start < len(flat):
+        end = start + _PIECE
+        while end < len(flat):
+            gaps = np.flatnonzero(_IS_SPACE[flat[end : end + 4096]])
+            if len(gaps):
+                end += int(gaps[0]) + 1
+                break
+            end += 4096
+        out.append((start, min(end, len(flat))))
+        start = end
+    return out
+
+
+def _piece_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word of bytes that end in a separator."""
     forth, back = _power_tables(len(flat) + 1)
     inside = np.zeros(len(flat) + 2, bool)
     inside[1:-1] = ~_IS_SPACE[flat]
@@ -69,7 +84,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum(_BYTE[flat] * forth[: len(flat)], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word of every text, number of the text it is in), in order.
+
+    A word's hash is a difference of prefix sums over the joined texts, so no word becomes
+    a Python object.
+    """
+    flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    parts = [(a, *_piece_hashes(flat[a:b])) for a, b in _pieces(flat)]
+    hashes = np.concatenate([h for _, h, _ in parts])
+    starts = np.concatenate([a + s for a, _, s in parts])
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     return hashes, np.searchsorted(np.cumsum(lengths), starts, "right")
 

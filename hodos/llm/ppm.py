@@ -8,10 +8,11 @@ Since every byte seen after a context is also seen after its suffixes, exclusion
 each context, how much of its suffix's counts its own bytes make up.
 
 Training counts runs of ``ORDER + 1`` bytes in every task with numpy, adds them up by a shuffle
-and stores the trie as Parquet in the shared folder. While every depth has at most ``NODES``
-contexts and bytes, workers read the trie once each. Beyond that they read at most ``NODES`` of
-its most frequent longest runs; all other runs of the texts are looked up in the stored trie,
-depth by depth, by a shuffle. Both ways give the same scores, of order ``ORDER``.
+and stores the trie as Parquet in the shared folder. While all depths together have at most
+``NODES`` contexts with a byte, workers read the trie once each, at about 60 bytes a node. Beyond
+that they read at most ``NODES`` of its most frequent longest runs; all other runs of the texts
+are looked up in the stored trie, depth by depth, by a shuffle. Both ways give the same scores,
+of order ``ORDER``. Texts are worked through in blocks of ``BLOCK`` bytes.
 
 The base score is an add-half unigram model over words, named by 64-bit hashes. Their counts are
 added up by the same shuffle. Workers read those of at most ``COMMON`` most frequent words from
@@ -36,9 +37,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hodos.llm.common import blocks_of, fold, table, word_hashes
 from hodos.session import scratch
 
-ORDER, NODES = 4, 1 << 22
-#: Words whose counts every worker holds, 16 bytes each.
+ORDER, NODES = 4, 1 << 20
+#: Words whose counts every worker holds, about 30 bytes each.
 COMMON = 1 << 20
+BLOCK = 1 << 19
 #: Counts are ranked by this many steps for each doubling.
 RANKS = 8
 
@@ -73,7 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _held.clear()  # a model of an earlier run is of no use while counting
     for batch in batches:
         texts = _lowered(batch)
-        for a, b in blocks_of(texts, 1 << 21):
+        for a, b in blocks_of(texts, BLOCK):
             flat, depth = _flat(texts[a:b])
             code = _codes(flat, ORDER)
             for d in range(ORDER + 1):
@@ -101,7 +103,7 @@ def fit(texts: DataFrame, folder: str) -> dict:
     nodes = parts.groupBy("d", F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("times").alias("times"))
     nodes.write.partitionBy("d").parquet(f"{folder}/trie")
     sizes = {r.d: r["count"] for r in spark.read.schema("code long, times long, d int").parquet(f"{folder}/trie").groupBy("d").count().collect()}
-    held_whole = all(n <= NODES for n in sizes.values())
+    held_whole = sum(sizes.values()) <= NODES
     if not held_whole:
         _store_contexts(spark, folder)
 
@@ -215,33 +217,33 @@ class Names:
 
 
 class Trie:
-    """For each depth the sorted codes (context and byte) with their log10 share in the context,
-    and the sorted contexts with the log10 costs of escaping from them."""
+    """For each depth the sorted codes (context and byte) with their counts and contexts, and the
+    sorted contexts with the log10 costs of escaping from them."""
 
-    def __init__(self, depth: np.ndarray, code: np.ndarray, times: np.ndarray):
-        order = np.lexsort((code, depth))
-        depth, code, times = depth[order], code[order], times[order].astype(np.float64)
-        self.deepest = int(depth.max()) if len(depth) else -1
+    def __init__(self, levels):
+        """``levels``: (codes, times) of each depth from 0, codes in any order."""
         self.levels = []
         above = None
-        for d in range(self.deepest + 1):
-            at = depth == d
-            codes, counts = code[at], times[at]
+        for d, (codes, counts) in enumerate(levels):
+            order = np.argsort(codes)
+            codes, counts = codes[order], counts[order]
             contexts, first = np.unique(codes >> 8, return_index=True)
             total, kinds = np.add.reduceat(counts, first), np.diff(np.r_[first, len(codes)])
-            owner = np.repeat(np.arange(len(contexts)), kinds)
-            level = {"codes": codes, "contexts": contexts, "code_names": Names(codes), "context_names": Names(contexts), "plain": np.log10(counts / (total + kinds)[owner]), "escape": np.log10(kinds / (total + kinds)), "counts": counts}
+            level = {"codes": codes, "contexts": contexts, "code_names": Names(codes), "context_names": Names(contexts), "escape": np.log10(kinds / (total + kinds))}
+            level["owner"] = np.repeat(np.arange(len(contexts), dtype=np.int32), kinds)
+            level["counts"] = counts.astype(np.int32) if counts.max() < 1 << 31 else counts
             if above is not None:
                 # what this context's bytes make up of its suffix's counts, and what is left there
                 suffix = codes & ((1 << (8 * d)) - 1)
-                taken = np.add.reduceat(above["counts"][np.searchsorted(above["codes"], suffix)], first)
+                taken = np.add.reduceat(above["counts"][np.searchsorted(above["codes"], suffix)].astype(np.int64), first)
                 up = np.searchsorted(above["contexts"], contexts & ((1 << (8 * (d - 1))) - 1))
                 left, others = above["total"][up] - taken, above["kinds"][up] - kinds
                 level["share"] = -np.log10(np.maximum(left + others, 1))
                 level["next"] = np.where(others > 0, np.log10(np.maximum(others, 1) / np.maximum(left + others, 1)), 0.0)
-            level["total"], level["kinds"] = total, kinds
+            level["total"], level["kinds"] = total, kinds.astype(np.int32)
             above = level
             self.levels.append(level)
+        self.deepest = len(self.levels) - 1
         kinds = self.levels[0]["kinds"][0] if self.levels else 0
         self.rest = -np.log10(256 - kinds) if kinds < 256 else 0.0
 
@@ -258,7 +260,8 @@ class Trie:
             hit &= reach[todo] >= d
             fresh = came[todo] < 0
             a = hit & fresh
-            out[todo[a]] += level["plain"][spot[a]]
+            own = level["owner"][spot[a]]
+            out[todo[a]] += np.log10(level["counts"][spot[a]] / (level["total"][own] + level["kinds"][own]))
             a = hit & ~fresh
             if deeper is not None and a.any():
                 out[todo[a]] += np.log10(level["counts"][spot[a]]) + deeper["share"][came[todo[a]]]
@@ -276,7 +279,7 @@ class Trie:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.empty(len(texts))
-        for a, b in blocks_of(texts, 1 << 20):
+        for a, b in blocks_of(texts, BLOCK):
             flat, reach = _flat(texts[a:b])
             lengths = np.fromiter((len(t) + 1 for t in texts[a:b]), np.int64, b - a)
             out[a:b] = np.add.reduceat(self.costs(flat, reach), np.cumsum(lengths) - lengths)
@@ -304,7 +307,7 @@ class Frequent:
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text the sum of known costs; (text, run, times) of all other runs, by text."""
         out, rest = np.zeros(len(texts)), []
-        for a, b in blocks_of(texts, 1 << 20):
+        for a, b in blocks_of(texts, BLOCK):
             flat, depth = _flat(texts[a:b])
             owner = np.repeat(np.arange(a, b), [len(t) + 1 for t in texts[a:b]])
             depth = depth.astype(np.int64)
@@ -326,9 +329,8 @@ def _learned(folder: str, deepest: int, held_whole: bool) -> tuple[Trie | Freque
         return _held[folder]
     _held.clear()
     if held_whole:
-        levels = [_read(f"{folder}/trie/d={d}") for d in range(deepest + 1)]
-        depth = np.concatenate([np.full(len(t), d) for d, t in enumerate(levels)] or [np.zeros(0, int)])
-        model = Trie(depth, *(np.concatenate([t[c].to_numpy() for t in levels] or [np.zeros(0, np.int64)]) for c in ("code", "times")))
+        read = (_read(f"{folder}/trie/d={d}") for d in range(deepest + 1))
+        model = Trie((t["code"].to_numpy(), t["times"].to_numpy()) for t in read)
     else:
         frequent = _read(f"{folder}/frequent")
         model = Frequent(*(frequent[c].to_numpy() if frequent is not None else np.zeros(0, t) for c, t in (("name", np.int64), ("cost", float))))
@@ -349,7 +351,7 @@ def scored(rows: DataFrame, model: dict, folder: str) -> DataFrame:
         trie, names, counts = _learned(where, deepest, held_whole)
         for batch in batches:
             texts = _lowered(batch)
-            for a, b in blocks_of(texts, 1 << 22):
+            for a, b in blocks_of(texts, BLOCK):
                 none = np.zeros(0, np.int64)
                 score, run_of, runs, run_times = (trie.score(texts[a:b]), none, none, none) if held_whole else trie.score(texts[a:b])
                 run_cuts = pa.array(np.searchsorted(run_of, np.arange(b - a + 1)).astype(np.int32))
