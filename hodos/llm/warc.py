@@ -4,8 +4,12 @@ Every record is a gzip member of its own, whose extra field ``sl`` holds the mem
 that of its content; so a reader inflates the headers of a record alone, and goes on to the next
 record without reading a payload nobody wants. Plain archives and members without ``sl`` are read
 as well. Scans plan one partition a file, and writers begin a new file after ``ROLL`` bytes.
-Filters on record_type, target_uri, page_id and payload_digest are tested on the headers
-(``spark.sql.python.filterPushdown.enabled``); the payload is read if the schema has it.
+Filters (equal, in, and ranges of page_id) on record_type, target_uri, page_id and payload_digest
+are tested on the headers (``spark.sql.python.filterPushdown.enabled``); the payload is read, and
+its check sum tested, if the schema has it. An archive that ends inside a record, or a record
+that is shorter than it says, is an error that names the place; option ``mode`` DROPMALFORMED
+leaves such records out instead. Copies of one payload meet by digest in a join that adaptive
+execution splits where they are many.
 
 Writers write under a name of the attempt; the commit renames the files of successful tasks.
 
@@ -16,6 +20,7 @@ table writes no file and reads as no rows. Of further columns nothing is written
 
 from __future__ import annotations
 
+import operator
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +30,19 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 from hodos.llm.common import table
 from hodos.session import scratch
@@ -35,6 +52,9 @@ ROLL = 1 << 26
 #: Payloads from this size on are written once.
 LEAST = 100
 FILTERED = {"record_type", "target_uri", "page_id", "payload_digest"}
+COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+#: Bytes read at once.
+PIECE = 4_096
 
 
 def record(row: dict) -> bytes:
@@ -69,52 +89,116 @@ def _parsed(heads: dict[str, str]) -> dict:
     return {"record_type": heads.get("warc-type"), "target_uri": heads.get("warc-target-uri"), "page_id": number("x-page"), "refers_to": number("x-refers-to-page"), "payload_bytes": number("x-payload-length"), "payload_digest": digest}
 
 
-def records(source, wanted, payload: bool) -> Iterator[dict]:
-    """The records of an open archive whose parsed headers ``wanted`` accepts."""
+class DamagedArchive(ValueError):
+    """An archive that ends inside a record, or holds something else than its record says."""
+
+
+class _Member:
+    """A gzip member, inflated as far as it is asked for; its check sum is tested at its end."""
+
+    def __init__(self, source, at: int, left: int):
+        self.source, self.at, self.left, self.taken = source, at, left, 0
+        self.inflate, self.content = zlib.decompressobj(31), bytearray()
+        source.seek(at)
+
+    def more(self) -> bool:
+        """Inflates a further piece; False at the end of the member."""
+        if self.inflate.eof:
+            return False
+        piece = self.inflate.unconsumed_tail
+        if not piece:
+            piece = self.source.read(min(PIECE, self.left - self.taken))
+            self.taken += len(piece)
+        try:
+            found = self.inflate.decompress(piece, 1 << 20)
+        except zlib.error as error:
+            raise DamagedArchive(f"the member at byte {self.at} cannot be inflated: {error}") from error
+        if not piece and not found and not self.inflate.eof:
+            raise DamagedArchive(f"the archive ends inside the member at byte {self.at}")
+        self.content += found
+        return True
+
+    def headers(self) -> int:
+        """Where the headers end."""
+        seen = 0
+        while (end := self.content.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.content)
+            if not self.more():
+                raise DamagedArchive(f"the record at byte {self.at} has no end of headers")
+        return end
+
+    def rest(self) -> int:
+        """The length of the member, which is inflated to its end."""
+        while self.more():
+            pass
+        return self.taken - len(self.inflate.unused_data)
+
+
+def _payload(content, at: int, end: int, heads: dict[str, str]) -> bytes:
+    length = int(heads.get("content-length", 0))
+    if len(content) < end + 4 + length:
+        raise DamagedArchive(f"the record at byte {at} holds {max(0, len(content) - end - 4)} of {length} bytes")
+    return bytes(content[end + 4 : end + 4 + length])
+
+
+def records(source, wanted, payload: bool, drop: bool = False) -> Iterator[dict]:
+    """The records of an open archive whose parsed headers ``wanted`` accepts. What is damaged
+    raises DamagedArchive or, with ``drop``, is left out: an own member alone, as the place of
+    the next is known, otherwise all that follows. Check sums of payloads not asked for are not
+    looked at."""
     at, size = 0, source.size()
     while at < size:
-        source.seek(at)
-        start = source.read(min(4096, size - at))
-        if start[:2] != b"\x1f\x8b":  # plain
-            while b"\r\n\r\n" not in start and at + len(start) < size:
-                start += source.read(1 << 16)
-            end = start.find(b"\r\n\r\n")
-            if end < 0:
-                return
-            heads = _headers(start[:end])
-            length = int(heads.get("content-length", 0))
+        following = None
+        try:
+            source.seek(at)
+            start = source.read(min(PIECE, size - at))
+            if start[:2] != b"\x1f\x8b":  # plain
+                if not start.strip():
+                    at += len(start)
+                    continue
+                while b"\r\n\r\n" not in start and at + len(start) < size:
+                    start += source.read(1 << 16)
+                end = start.find(b"\r\n\r\n")
+                if end < 0:
+                    raise DamagedArchive(f"the record at byte {at} has no end of headers")
+                heads = _headers(start[:end])
+                length = int(heads.get("content-length", 0))
+                if at + end + 4 + length > size:
+                    raise DamagedArchive(f"the archive ends inside the record at byte {at}")
+                following = at + end + 4 + length + 4
+                row = _parsed(heads)
+                if wanted(row):
+                    if payload:
+                        source.seek(at + end + 4)
+                        row["payload"] = source.read(length)
+                    yield row
+                at = following
+                continue
+            named = len(start) >= 24 and start[3] == 4 and start[12:14] == b"sl"
+            if named:
+                following = at + struct.unpack_from("<I", start, 16)[0]
+                if not at < following <= size:
+                    following = None
+                    raise DamagedArchive(f"the archive ends inside the member at byte {at}")
+            member = _Member(source, at, (following or size) - at)
+            end = member.headers()
+            heads = _headers(bytes(member.content[:end]))
             row = _parsed(heads)
-            if wanted(row):
+            taken = wanted(row)
+            if not named or (taken and payload):
+                length = member.rest()
+                following = following or at + length
+            if taken:
                 if payload:
-                    source.seek(at + end + 4)
-                    row["payload"] = source.read(length)
+                    row["payload"] = _payload(member.content, at, end, heads)
                 yield row
-            at += end + 4 + length + 4
-            continue
-        named = start[3] == 4 and start[12:14] == b"sl"
-        whole = struct.unpack_from("<I", start, 16)[0] if named else None
-        inflate = zlib.decompressobj(31)
-        if named:
-            start = start[:whole]
-        content, taken = inflate.decompress(start, 1 << 14) if named else inflate.decompress(start), len(start)
-        while (b"\r\n\r\n" not in content or not named) and not inflate.eof:
-            more = inflate.unconsumed_tail or source.read(min(1 << 16, (whole or size) - taken + (0 if named else -at)) if named else 1 << 16)
-            taken += 0 if inflate.unconsumed_tail else len(more)
-            content += inflate.decompress(more, 1 << 14) if named else inflate.decompress(more)
-        if not named:
-            whole = taken - len(inflate.unused_data)
-        end = content.find(b"\r\n\r\n")
-        heads = _headers(content[:end])
-        row = _parsed(heads)
-        if wanted(row):
-            if payload:
-                length = int(heads.get("content-length", 0))
-                parts = [content]
-                if len(content) < end + 4 + length:
-                    parts.append(inflate.decompress(inflate.unconsumed_tail + source.read(max(0, whole - taken))))
-                row["payload"] = b"".join(parts)[end + 4 : end + 4 + length]
-            yield row
-        at += whole
+            at = following
+        except DamagedArchive:
+            if not drop:
+                raise
+            if following is None:
+                return
+            at = following
 
 
 @dataclass
@@ -132,16 +216,22 @@ class Written(WriterCommitMessage):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, folder: str, columns: list[str], schema: pa.Schema):
-        self.folder, self.columns, self.schema, self.tests = folder, columns, schema, []
+    def __init__(self, folder: str, columns: list[str], schema: pa.Schema, drop: bool = False):
+        self.folder, self.columns, self.schema, self.drop, self.tests = folder, columns, schema, drop, []
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in FILTERED:
-                self.tests.append((f.attribute[0], {f.value} if isinstance(f, EqualTo) else set(f.value)))
+            known = len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in FILTERED
+            if known and isinstance(f, In):
+                self.tests.append((f.attribute[0], operator.contains, frozenset(f.value)))
+            elif known and type(f) in COMPARED and (isinstance(f, EqualTo) or f.attribute[0] == "page_id"):
+                self.tests.append((f.attribute[0], type(f), f.value))
             else:
                 yield f
 
+    def wanted(self, row: dict) -> bool:
+        return all(row[c] is not None and (row[c] in value if test is operator.contains else COMPARED[test](row[c], value)) for c, test, value in self.tests)
+
     def partitions(self):
         files, base = fs.FileSystem.from_uri(self.folder)
         found = files.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
@@ -151,10 +241,9 @@ class WarcReader(DataSourceReader):
         if partition is None:
             return
         files, _ = fs.FileSystem.from_uri(self.folder)
-        wanted = lambda row: all(row[c] in some for c, some in self.tests)
         rows, held = [], 0
         with files.open_input_file(partition.path) as source:
-            for row in records(source, wanted, "payload" in self.columns):
+            for row in records(source, self.wanted, "payload" in self.columns, self.drop):
                 rows.append(row)
                 held += len(row.get("payload") or b"") + 200
                 if held > 1 << 23:
@@ -207,7 +296,10 @@ class WarcSource(DataSource):
     def reader(self, schema):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        return WarcReader(self.options["path"], schema.names, to_arrow_schema(schema))
+        mode = self.options.get("mode", "FAILFAST").upper()
+        if mode not in ("FAILFAST", "DROPMALFORMED"):
+            raise ValueError(f"mode is FAILFAST or DROPMALFORMED, not {mode}")
+        return WarcReader(self.options["path"], schema.names, to_arrow_schema(schema), mode == "DROPMALFORMED")
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options["path"])
