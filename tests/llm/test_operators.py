@@ -65,6 +65,49 @@ def test_warc_plain_and_foreign_members(tmp_path):
             assert [r["payload"] for r in warc.records(source, lambda r: True, True)] == [b"abc", b"abc"]
 
 
+@pytest.mark.parametrize("kind", ["own", "foreign", "plain"])
+def test_warc_cut_anywhere(tmp_path, kind):
+    """A cut never hangs and never gives a shorter payload: an error, or the records before it."""
+    import gzip
+
+    from pyarrow import fs
+
+    body = bytes(np.random.default_rng(1).integers(32, 127, 20_000, dtype=np.uint8))
+    rows = [{"record_type": "response", "page_id": i, "target_uri": "u", "payload": body[i:], "payload_digest": "d", "payload_bytes": len(body) - i, "refers_to": None} for i in range(2)]
+    pack = {"own": warc.member, "foreign": gzip.compress, "plain": bytes}[kind]
+    first, second = (pack(warc.record(r)) for r in rows)
+    local = fs.LocalFileSystem()
+
+    def read(cut, payload, drop):
+        (tmp_path / "a.warc.gz").write_bytes((first + second)[:cut])
+        with local.open_input_file(str(tmp_path / "a.warc.gz")) as source:
+            return [r["page_id"] for r in warc.records(source, lambda row: True, payload, drop) if not payload or r["payload"] == rows[r["page_id"]]["payload"]]
+
+    assert read(len(first + second), True, False) == [0, 1]
+    for cut in (1, 9, 30, 100, len(first) // 2, len(first) + 5, len(first) + 40, len(first) + 300, len(first + second) - 9):
+        with pytest.raises(warc.DamagedArchive):
+            read(cut, True, False)
+        assert read(cut, True, True) == ([0] if cut > len(first) else [])
+    assert read(len(first), True, False) == [0]
+
+
+def test_warc_wrong_check_sum_and_mode(spark, folder):
+    import os
+
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(4)], "page_id long, url string, html string").coalesce(1)
+    warc.archived(pages, folder)
+    narrow = warc.read_archives(spark, folder, "record_type string, page_id long").filter("page_id >= 1 and page_id < 3")
+    assert narrow.count() == 2 and ">= 1" not in narrow._jdf.queryExecution().optimizedPlan().toString()
+    path = folder.removeprefix("file:")
+    name = next(n for n in os.listdir(path) if n.endswith(".warc.gz"))
+    data = bytearray(open(f"{path}/{name}", "rb").read())
+    data[len(data) - 6] ^= 1  # in the check sum of the last member
+    open(f"{path}/{name}", "wb").write(data)
+    with pytest.raises(Exception, match="cannot be inflated"):
+        warc.read_archives(spark, folder).collect()
+    assert spark.read.format("warc").schema(warc.SCHEMA).option("mode", "dropmalformed").load(folder).count() == 3
+
+
 def test_warc_empty(spark, folder):
     warc.archived(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert warc.read_archives(spark, folder).count() == 0
@@ -361,6 +404,34 @@ def test_mix_of_odd_rows(odd, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.selected(odd).columns == odd.columns
 
 
+def test_selected_delivers_its_target_with_equal_rows(spark):
+    """Words delivered stay within one document a source of the target, however many rows are equal."""
+    rows = [(1, "w " * 20, "a", "x")] * 200 + [(None, f"{i} " * 10, "b", "x") for i in range(100)] + [(None, "same " * 10, "b", None)] * 100 + [(i, "t " * 7, "c", str(i % 3)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string").repartition(5)
+    clashing = docs.withColumns({c: F.lit("x") for c in ("size_", "epoch_", "mark", "copies", "taken", "m_id_", "times", "key", "split")})
+    goals = {r.source: r.target for r in mixing.mixed(docs).select("source", "target").distinct().collect()}
+    got = mixing.selected(clashing)
+    assert got.columns == clashing.columns and set(got.select("epoch_", "size_").collect()[0]) == {"x"}
+    delivered = defaultdict(int)
+    for r in got.collect():
+        delivered[r.source] += len(WORD.findall(r.text))
+    taken = {r.source: r.t for r in mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    for source, goal in goals.items():
+        assert taken[source] == int(goal) and goal <= delivered[source] + 1 and delivered[source] < goal + 20
+    per_row = defaultdict(int)
+    for r in got.collect():
+        per_row[r.doc_id, r.text, r.source, r.note] += 1
+    given = Counter(rows)
+    assert all(n <= 2 * given[k] for k, n in per_row.items())
+
+
+def test_rows_without_id_are_ordered_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    docs = spark.createDataFrame([(None, f"text {i}", "a") for i in range(400)], "doc_id long, text string, source string")
+    keys = mixing._units(docs, []).select("key").distinct().count()
+    assert keys == 400 and sum(r.taken for r in mixing.mixed(docs).collect()) == int(800 * 1.5)
+
+
 def test_sources_at_their_limit_share_the_rest(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 5)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
