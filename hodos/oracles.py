@@ -139,6 +139,24 @@ def _scored(rows: str) -> str:
   + cast(device_id AS bigint) % 10 + 1e-9, 6) AS prediction FROM {rows} b"""
 
 
+def _split(rows: str) -> str:
+    """The best split of every node of ``rows``: all cuts of every feature, categories by their mean."""
+    numbers = " UNION ALL ".join(
+        f"SELECT node, {place} AS place, '{name}' AS feature, {name} AS value, {name} AS o, '' AS road, count(*) AS n, sum(s) AS s, sum(y) AS t FROM own GROUP BY node, {name}"
+        for place, name in enumerate(("slot", "day_id", "processed_month"))
+    )
+    before = "OVER (PARTITION BY node, feature ORDER BY o, road ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    whole = "OVER (PARTITION BY node, feature)"
+    return f"""SELECT * FROM (
+  WITH own AS ({rows}),
+  cells AS ({numbers} UNION ALL SELECT node, 3, 'road', NULL, sum(s) / count(*), road_name, count(*), sum(s), sum(y) FROM own GROUP BY node, road_name),
+  sums AS (SELECT node, place, feature, value, sum(n) {before} AS ln, sum(s) {before} AS ls, sum(t) {before} AS lt, sum(n) {whole} AS n, sum(s) {whole} AS s, sum(t) {whole} AS t,
+    list(road) {before} AS roads FROM cells)
+  SELECT node, feature, value AS threshold, CASE WHEN feature = 'road' THEN roads END AS roads, ls * ls / ln + (s - ls) * (s - ls) / (n - ln) - s * s / n AS gain,
+    ln AS n_left, n - ln AS n_right, lt / ln AS left_mean, (t - lt) / (n - ln) AS right_mean
+  FROM sums WHERE ln >= 5 AND n - ln >= 5 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, place, threshold) = 1)"""
+
+
 _TODAY = "(SELECT max(processed_date) FROM hist)"
 
 # Name -> definition; a statement takes the ones it needs, in this order.
@@ -200,6 +218,13 @@ CTES: dict[str, str] = {
     "recent14": f"SELECT * FROM hist WHERE processed_date >= {_TODAY} - 14",
     "scored": _scored("base"),
     "scored_test": _scored("(SELECT * EXCLUDE (is_test) FROM marked WHERE is_test)"),
+    "lesson": f"SELECT * EXCLUDE (prediction) REPLACE (round(prediction + (average_speed - 70) / 10 + 1e-9, 6) AS average_speed) FROM ({_scored('marked')})",
+    "slope_rows": """SELECT cast("hour" AS double) AS slot, cast(isodow("date") - 1 AS double) AS day_id, cast(month("date") AS double) AS processed_month, road_name,
+  average_speed AS y, (SELECT avg(average_speed) FROM lesson) - average_speed AS s FROM lesson""",
+    "split0": _split("SELECT 0 AS node, * FROM slope_rows"),
+    "sides1": """SELECT CASE WHEN (CASE b.feature WHEN 'slot' THEN r.slot <= b.threshold WHEN 'day_id' THEN r.day_id <= b.threshold WHEN 'processed_month' THEN r.processed_month <= b.threshold
+  ELSE list_contains(b.roads, r.road_name) END) THEN 1 ELSE 2 END AS node, r.* FROM slope_rows r, split0 b""",
+    "split1": _split("SELECT * FROM sides1"),
     "model_pairs": "SELECT DISTINCT road_name, device_id FROM base",
     "model_asked": """SELECT event_id AS request_id, cast(user_id % 30 AS varchar) AS road_name, cast(ts AS date) AS target_date,
   cast(cast(props->>'k' AS integer) % 30 AS integer) AS target_hour FROM events""",
@@ -429,10 +454,13 @@ SELECTS: dict[str, str] = {
     "road_map": "SELECT road_name, string_agg(device_id, ',' ORDER BY device_id) AS devices, cast(count(*) AS integer) AS n_devices FROM pairs GROUP BY 1",
     "model_metrics": """SELECT count(*) AS n_rows, round(avg(abs(average_speed - prediction)) + 1e-9, 6) AS mae,
   round(1 - sum(power(average_speed - prediction, 2)) / sum(power(average_speed - m, 2)) + 1e-9, 6) AS r2_score FROM scored_test, (SELECT avg(average_speed) AS m FROM scored_test)""",
+    "gbt_splits": f"""SELECT step, feature, threshold, CASE WHEN roads IS NOT NULL THEN array_to_string(list_sort(roads), ',') END AS left_roads,
+  {_R6('gain', 'gain')}, cast(n_left AS bigint) AS n_left, cast(n_right AS bigint) AS n_right, {_R6('left_mean', 'left_mean')}, {_R6('right_mean', 'right_mean')}
+  FROM (SELECT 0 AS step, * FROM split0 UNION ALL SELECT * FROM (SELECT 1 AS step, * FROM split1 ORDER BY gain DESC LIMIT 1))""",
     "model_holdout": """SELECT count(*) AS n_rows, count(*) AS n_plausible, count(DISTINCT device_id) AS n_devices,
   round(avg(abs(average_speed - m)) + 1e-9, 6) AS mean_mae,
-  round(1 - sum(power(average_speed - m, 2)) / sum(power(average_speed - own, 2)) + 1e-9, 6) AS mean_r2_score, true AS no_worse
-  FROM marked, (SELECT avg(average_speed) AS m FROM train_part), (SELECT avg(average_speed) AS own FROM marked WHERE is_test) WHERE is_test""",
+  round(1 - sum(power(average_speed - m, 2)) / sum(power(average_speed - own, 2)) + 1e-9, 6) AS mean_r2_score, true AS is_better
+  FROM lesson, (SELECT avg(average_speed) AS m FROM lesson WHERE NOT is_test), (SELECT avg(average_speed) AS own FROM lesson WHERE is_test) WHERE is_test""",
     "model_answers": """SELECT a.request_id, strftime(a.target_date, '%Y-%m-%d') || ' ' || lpad(cast(a.target_hour AS varchar), 2, '0') || ':00' AS target_datetime,
   count(*) AS active_devices_used, true AS is_plausible, cast(NULL AS varchar) AS reason
   FROM model_asked a JOIN model_pairs p ON a.road_name = p.road_name WHERE a.target_hour BETWEEN 0 AND 23 GROUP BY 1, 2

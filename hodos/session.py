@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,7 +10,9 @@ from pyspark.sql import SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the one session setting results depend on: naive timestamps mean UTC."""
+    """Pin the one session setting results depend on: naive timestamps mean UTC. Workers that
+    lack this package find it where the driver has it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 

@@ -124,6 +124,7 @@ def test_model_learns_saves_and_loads(spark, folder):
     probe = spark.createDataFrame([("MS1", "B", date(2024, 1, 5), 3), ("new", "new", date(2024, 1, 5), 3)], "device_id string, road_name string, date date, hour long")
     key = lambda m: sorted((r.device_id, r.prediction) for r in m.predict(probe).collect())
     assert key(again) == key(model)
+    assert again.trees.binning.names == model.trees.binning.names and len(again.trees.trees) == SMALL.max_iter
     assert training.load_road_devices(spark, path).count() == 8
     assert spark.read.parquet(f"{path}/reference").count() == 4000
 
@@ -137,7 +138,7 @@ def test_holdout_is_held_against_the_training_mean(spark):
     train, test = (base(spark, 400).where(f"date {sign} '2024-01-20'") for sign in ("<", ">="))
     row = training.holdout(training.fit(train, SMALL), train, test).first()
     mean = train.agg(F.avg("average_speed")).first()[0]
-    assert row.n_rows == row.n_plausible == test.count() > 0 and row.no_worse
+    assert row.n_rows == row.n_plausible == test.count() > 0 and row.is_better
     assert row.mean_mae == pytest.approx(test.agg(F.avg(F.abs(F.col("average_speed") - mean))).first()[0])
 
 
