@@ -190,6 +190,8 @@ CTES: dict[str, str] = {
     "fct_batch2": _facts("dim2", "slots2", "stg2_recent"),
     "fct2": """SELECT * FROM fct1 WHERE NOT EXISTS (SELECT 1 FROM fct_batch2 b WHERE b.device_id = fct1.device_id AND b.processed_at = fct1.processed_at)
   UNION ALL BY NAME SELECT * FROM fct_batch2""",
+    "mart2": "SELECT f.*, d.road_name FROM (SELECT * FROM fct2 WHERE is_quality) f LEFT JOIN dim2 d ON f.device_id = d.device_id",
+    **_window("mart2", "mart2"),
     # long history
     "hist_rows": """SELECT cast(l_suppkey AS varchar) AS device_id, l_shipdate + to_hours(l_linenumber) AS processed_at,
   cast(l_quantity AS bigint) AS counted_cars, cast(l_partkey % 140 AS double) AS average_speed,
@@ -429,6 +431,21 @@ SELECTS: dict[str, str] = {
     "inc_upsert_stg": f"SELECT {_STG} FROM stg2",
     "inc_upsert_dim": "SELECT device_id, road_name, road_info, ingested_at FROM dim2",
     "inc_fct_lookback": f"SELECT {_FCT} FROM fct2",
+    "inc_reports": f"SELECT {_DELTA}, l.latest_timestamp FROM ({_kpi('mart2_last')}) l, ({_kpi('mart2_previous')}) p",
+    "inc_daily": f"SELECT processed_date, total_counted_cars, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed FROM ({_DAILY.format('mart2_last')})",
+    "inc_busiest": f"""SELECT processed_day, processed_hour, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed FROM ({_SLOT.format('mart2_last')})
+  WHERE weighted_avg_speed IN (SELECT min(weighted_avg_speed) FROM ({_SLOT.format('mart2_last')}) UNION ALL SELECT max(weighted_avg_speed) FROM ({_SLOT.format('mart2_last')}))""",
+    "inc_health": _HEALTH.replace("FROM fct ", "FROM fct2 "),
+    "dq_incremental": " UNION ALL ".join(
+        [
+            _unique("stg_traffic", "stg2", "traffic_id"), *_not_null("stg_traffic", "stg2", *_STG_NOT_NULL),
+            _unique("fct_measurements", "fct2", "device_id,processed_at"),
+            *_not_null("fct_measurements", "fct2", "device_id", "processed_at", "is_ghost_reading", "is_dead", "is_impossible_speed", "is_quality"),
+            _test("fct_measurements", "device_id", "relationships", "SELECT count(*) AS n FROM fct2 WHERE device_id IS NOT NULL AND device_id NOT IN (SELECT device_id FROM dim2)"),
+            _unique("dim_roads", "dim2", "device_id"), *_not_null("dim_roads", "dim2", "device_id", "road_name"),
+            _unique("util_hours", "slots", "hourly_slot"), *_not_null("util_hours", "slots", "hourly_slot"),
+        ]
+    ),
     "late_rows": f"SELECT device_id, processed_at, counted_cars, average_speed FROM batch2 WHERE processed_at <= {_BOUND}",
     "stream_staging": f"SELECT {_STG} FROM stg",
     "stream_dedup": "SELECT device_id, processed_at FROM stg",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hodos.functions.calendar import SPINE_START, hour_spine
 from hodos.operators import quality
-from hodos.plans import facts, marts, reporting, roads, staging
+from hodos.plans import facts, marts, reporting, roads, staging, states
 from hodos.session import cut
 from hodos.sources.tables import DIM_ROADS, FCT_MEASUREMENTS, MRT_TRAFFIC_ROAD, STG_TRAFFIC, Table, Warehouse
 
@@ -29,27 +29,22 @@ class Run:
     late: DataFrame | None = None  # readings that came too late for the fact
 
 
-def _newest(warehouse: Warehouse, anchor: str) -> datetime:
-    # "spine" looks back from the newest hour generated so far, whether or not it had
-    # data; "data" from the newest hour with a reading, so an outage loses nothing.
-    if anchor == "spine":
-        return warehouse.latest(FCT_MEASUREMENTS, "processed_at", newest_partition=True)
-    found = warehouse.read(FCT_MEASUREMENTS).where("NOT is_missing").agg(F.max("processed_at")).first()[0]
-    return found or datetime(1970, 1, 1)
-
-
 def refresh_silver(warehouse: Warehouse, raw: DataFrame, full: bool) -> DataFrame | None:
     """Staging and dimension; returns the staged batch of an incremental run."""
-    warehouse.recover(STG_TRAFFIC, DIM_ROADS)
+    warehouse.recover(STG_TRAFFIC, DIM_ROADS, *states.STATES)
     if full or not warehouse.exists(STG_TRAFFIC):
         warehouse.replace(STG_TRAFFIC, staging.stage(raw))
         warehouse.replace(DIM_ROADS, roads.latest_roads(warehouse.read(STG_TRAFFIC)))
+        states.refresh_staged(warehouse, None)
         return None
-    fresh = staging.after(raw, warehouse.latest(STG_TRAFFIC, "ingested_at"))
+    fresh = staging.after(raw, states.mark(warehouse))
     batch = cut(staging.stage(fresh))
+    days = states.touched_days(batch)
     warehouse.upsert(STG_TRAFFIC, batch, staging.KEY, staging.staging_order())
-    changed = staging.after(warehouse.read(STG_TRAFFIC), warehouse.latest(DIM_ROADS, "ingested_at"))
+    # what is newer than the dimension came with this batch, so lies in its days
+    changed = staging.after(warehouse.read(STG_TRAFFIC, days=days), warehouse.latest(DIM_ROADS, "ingested_at"))
     warehouse.upsert(DIM_ROADS, cut(roads.latest_roads(changed)), roads.KEY, roads.road_order())
+    states.refresh_staged(warehouse, days)
     return batch
 
 
@@ -60,26 +55,29 @@ def refresh_facts(warehouse: Warehouse, as_of: datetime, full: bool, lookback_da
     last = as_of.replace(minute=0, second=0, microsecond=0)
     if full or not warehouse.exists(FCT_MEASUREMENTS):
         warehouse.replace(FCT_MEASUREMENTS, facts.measurements_by_day(staged, devices, spine_start, last), sort_by=("device_id", "processed_at"))
+        states.refresh_measured(warehouse, None)
         return None
-    bound = facts.reprocess_bound(_newest(warehouse, anchor), lookback_days)
+    # "spine" looks back from the newest hour generated so far, whether or not it had
+    # data; "data" from the newest hour with a reading, so an outage loses nothing.
+    bound = facts.reprocess_bound(states.newest_hour(warehouse, reading=anchor == "data"), lookback_days)
     rebuilt = facts.recent_measurements(warehouse.read(STG_TRAFFIC, since=bound), devices, bound, spine_start, last, by_day=True)
     warehouse.upsert(FCT_MEASUREMENTS, cut(rebuilt), facts.KEYS)
+    states.refresh_measured(warehouse, bound.date())
     return bound
 
 
 def refresh_gold(warehouse: Warehouse, days: int = 30) -> None:
-    """Gold and reports, always rebuilt. Each step reads the tables of the one before."""
-    warehouse.recover(DIM_ROADS, FCT_MEASUREMENTS)
+    """Gold and reports. The wide table is built anew, as a road's new name reaches all of its
+    rows; reports and health are put together from the states of days."""
+    warehouse.recover(DIM_ROADS, FCT_MEASUREMENTS, *states.STATES)
     facts_table = warehouse.read(FCT_MEASUREMENTS)
     warehouse.replace(MRT_TRAFFIC_ROAD, marts.laid_out(marts.traffic_road(facts_table, warehouse.read(DIM_ROADS))), sort_by=("processed_at", "road_name"))
-    warehouse.replace(MRT_DEVICE_HEALTH, marts.by_month(marts.device_health(facts_table)))
-    mart = warehouse.read(MRT_TRAFFIC_ROAD)
-    warehouse.replace(MRT_LAST_DAYS, marts.laid_out(marts.last_days(mart, days)))
-    window = warehouse.read(MRT_LAST_DAYS)
-    warehouse.replace(LAST_KPI, reporting.kpi(window))
-    warehouse.replace(PREVIOUS_KPI, reporting.kpi(marts.previous_days(mart, days), with_time=False))
-    warehouse.replace(DAILY_SPEED_COUNT, reporting.daily_speed_count(window).orderBy("processed_date"))
-    warehouse.replace(BUSIEST_TIMES, reporting.busiest_times(window))
+    warehouse.replace(MRT_DEVICE_HEALTH, marts.by_month(states.device_health(warehouse)))
+    warehouse.replace(MRT_LAST_DAYS, marts.laid_out(marts.last_days(warehouse.read(MRT_TRAFFIC_ROAD), days)))
+    warehouse.replace(LAST_KPI, states.kpi(warehouse, days))
+    warehouse.replace(PREVIOUS_KPI, states.kpi(warehouse, days, "previous", with_time=False))
+    warehouse.replace(DAILY_SPEED_COUNT, states.daily_speed_count(warehouse, days).orderBy("processed_date"))
+    warehouse.replace(BUSIEST_TIMES, states.busiest_times(warehouse, days))
 
 
 def run(
@@ -106,10 +104,10 @@ def run(
             quality.require(quality.report(tests))
 
     batch = refresh_silver(warehouse, raw, full)
-    stop_if_failed(silver_tests(warehouse.read(STG_TRAFFIC), warehouse.read(DIM_ROADS)))
+    stop_if_failed([states.staged_report(warehouse), *dimension_tests(warehouse.read(DIM_ROADS))])
     bound = refresh_facts(warehouse, as_of, full, lookback_days, anchor, spine_start)
     slots = hour_spine(warehouse.spark, spine_start, as_of)
-    stop_if_failed(fact_tests(slots, warehouse.read(FCT_MEASUREMENTS), warehouse.read(DIM_ROADS)))
+    stop_if_failed([*slot_tests(slots), states.fact_report(warehouse)])
     if gold:
         refresh_gold(warehouse)
         tables = (MRT_TRAFFIC_ROAD, DAILY_SPEED_COUNT, LAST_KPI)
@@ -118,6 +116,12 @@ def run(
     return Run(bound, late)
 
 
+def kept_tests(warehouse: Warehouse, spine_start: datetime, as_of: datetime) -> DataFrame:
+    """The declared tests of silver, put together from what runs kept of every day."""
+    slots = hour_spine(warehouse.spark, spine_start, as_of)
+    return quality.report([states.staged_report(warehouse), states.fact_report(warehouse), *dimension_tests(warehouse.read(DIM_ROADS)), *slot_tests(slots)])
+
+
 def homepage_tables(warehouse: Warehouse) -> dict[str, DataFrame]:
     """The four report tables the start page shows."""
     return {
@@ -132,16 +136,22 @@ def silver_tests(staged: DataFrame, devices: DataFrame) -> list[DataFrame]:
     return [
         quality.unique(staged, "stg_traffic", "traffic_id"),
         quality.not_null(staged, "stg_traffic", ["traffic_id", "device_id", "processed_at", "counted_cars", "average_speed"]),
-        quality.unique(devices, "dim_roads", "device_id"),
-        quality.not_null(devices, "dim_roads", ["device_id", "road_name"]),
+        *dimension_tests(devices),
     ]
 
 
+def dimension_tests(devices: DataFrame) -> list[DataFrame]:
+    return [quality.unique(devices, "dim_roads", "device_id"), quality.not_null(devices, "dim_roads", ["device_id", "road_name"])]
+
+
+def slot_tests(slots: DataFrame) -> list[DataFrame]:
+    return [quality.unique(slots, "util_hours", "hourly_slot"), quality.not_null(slots, "util_hours", ["hourly_slot"])]
+
+
 def fact_tests(slots: DataFrame, measured: DataFrame, devices: DataFrame) -> list[DataFrame]:
     flags = ["is_ghost_reading", "is_dead", "is_impossible_speed", "is_quality"]
     return [
-        quality.unique(slots, "util_hours", "hourly_slot"),
-        quality.not_null(slots, "util_hours", ["hourly_slot"]),
+        *slot_tests(slots),
         quality.unique(measured, "fct_measurements", "device_id", "processed_at"),
         quality.not_null(measured, "fct_measurements", ["device_id", "processed_at", *flags]),
         quality.relationship(measured, devices, "device_id", "fct_measurements"),

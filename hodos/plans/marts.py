@@ -85,8 +85,13 @@ def device_health(facts: DataFrame, weight: str | None = None) -> DataFrame:
         F.sum(one).cast("bigint").alias("readings"),
         *[F.sum(F.when(F.col(flag), one).otherwise(0)).cast("bigint").alias(f"{name}_count") for name, flag in flags.items()],
     )
+    return with_shares(counts)
+
+
+def with_shares(counts: DataFrame) -> DataFrame:
+    """The counts of :func:`device_health` with their percentages of all readings."""
     columns = ["processed_year", "processed_month", "readings"]
-    for name in flags:
+    for name in ("dead", "ghost", "impossible_speed", "missing_reading"):
         columns += [F.col(f"{name}_count"), share(F.col(f"{name}_count"), F.col("readings")).alias(f"{name}_percent")]
     return counts.select(*columns)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hodos.functions.calendar import full_day, greek_holidays, hour_spine, hours, next_local_hour, reporting_day
 from hodos.functions.measures import published, rounded
 from hodos.operators import bins, boosting, drift, encode, quality
-from hodos.plans import build, dashboard, facts, features, marts, monitoring, reporting, roads, scoring, staging, training
+from hodos.plans import build, dashboard, facts, features, marts, monitoring, reporting, roads, scoring, staging, states, training
 from hodos.session import cut, prepare, scratch
 from hodos.sources import lake, testdata
 from hodos.sources.tables import DIM_ROADS, FCT_MEASUREMENTS, MRT_TRAFFIC_ROAD, STG_TRAFFIC, Warehouse
@@ -559,6 +559,33 @@ def inc_two_spellings(spark, sf_dir):
     return warehouse.read(STG_TRAFFIC)
 
 
+@query
+def inc_reports(spark, sf_dir):
+    """Headline figures of both periods and their differences after two runs, from the states of days."""
+    return reporting.delta_of(states.figures(incremental_of(spark, sf_dir)), with_time=True)
+
+
+@query
+def inc_daily(spark, sf_dir):
+    return states.daily_speed_count(incremental_of(spark, sf_dir))
+
+
+@query
+def inc_busiest(spark, sf_dir):
+    return states.busiest_times(incremental_of(spark, sf_dir))
+
+
+@query
+def inc_health(spark, sf_dir):
+    return states.device_health(incremental_of(spark, sf_dir))
+
+
+@query
+def dq_incremental(spark, sf_dir):
+    """Data tests after two runs, each of which looked at the days it touched."""
+    return build.kept_tests(incremental_of(spark, sf_dir), *testdata.hour_range(spark, sf_dir))
+
+
 @query
 def late_rows(spark, sf_dir):
     return incremental_of(spark, sf_dir).second.late.select("device_id", "processed_at", "counted_cars", "average_speed")

@@ -26,7 +26,7 @@ class Table:
     """``derived`` names a partition column computed from the key. It exists on disk only."""
 
     name: str
-    schema: T.StructType | None = None
+    schema: T.StructType | str | None = None
     partition_by: tuple[str, ...] = ()
     derived: str | None = None
 
@@ -58,16 +58,18 @@ class Warehouse:
     def exists(self, table: Table) -> bool:
         return self._files.exists(f"{self.path(table)}/_SUCCESS")
 
-    def read(self, table: Table, since: datetime | None = None, days: Sequence[str] | None = None) -> DataFrame:
+    def read(self, table: Table, since: datetime | None = None, days: Sequence[str | None] | None = None) -> DataFrame:
         """The table; where rows lie by day, ``since`` leaves out the days before a moment and
-        ``days`` all but the given ones."""
+        ``days`` all but the given ones (None: rows without a time)."""
         rows = self._load(table)
         if table.derived is None:
             return rows
         if since is not None:
             rows = rows.where(F.col(table.derived) >= since.strftime("%Y-%m-%d"))
         if days is not None:
-            rows = rows.where(F.col(table.derived).isin(list(days)) if days else F.lit(False))
+            place = F.col(table.derived)
+            dated = place.isin([d for d in days if d is not None])
+            rows = rows.where(dated | place.isNull() if None in days else dated)
         return rows.drop(table.derived)
 
     def _load(self, table: Table) -> DataFrame:
@@ -120,19 +122,21 @@ class Warehouse:
         self._stage(table, merged.select(*current.columns), "merge")
         self._publish_merge(table)
 
-    def latest(self, table: Table, column: str, empty: datetime = datetime(1970, 1, 1), newest_partition: bool = False) -> datetime:
-        """High-water mark of a column; ``empty`` for a missing or empty table.
+    def replace_partitions(self, table: Table, df: DataFrame, whole: bool = False) -> None:
+        """The partitions ``df`` has rows of, or the ``whole`` table, are replaced by its rows."""
+        self.recover(table)
+        df = df.hint("rebalance", *table.partition_by)
+        if whole or not self.exists(table):
+            self.replace(table, df)
+            return
+        self._stage(table, df, "merge")
+        self._publish_merge(table)
 
-        ``newest_partition`` looks into the last partition only, right for a column the
-        partitions are ordered by. Finding that partition reads no data.
-        """
+    def latest(self, table: Table, column: str, empty: datetime = datetime(1970, 1, 1)) -> datetime:
+        """High-water mark of a column; ``empty`` for a missing or empty table."""
         if not self.exists(table):
             return empty
-        rows = self._load(table)
-        if newest_partition:
-            place = table.partition_by[0]
-            rows = rows.where(F.col(place) == rows.agg(F.max(place)).first()[0])
-        return rows.agg(F.max(column)).first()[0] or empty
+        return self._load(table).agg(F.max(column)).first()[0] or empty
 
     # -- staging ------------------------------------------------------------------
 

@@ -6,9 +6,10 @@ import pytest
 from compare import SF_DIR
 from pyspark.sql import functions as F
 
-from hodos.functions.calendar import clock, day_name, greek_holidays, month_spans, reporting_day
+from hodos.functions.calendar import clock, day_name, greek_holidays, hour_spine, month_spans, reporting_day
+from hodos.operators import quality
 from hodos.operators.quality import DataTestError
-from hodos.plans import build, dashboard, facts, marts, reporting, roads, staging
+from hodos.plans import build, dashboard, facts, marts, reporting, roads, staging, states
 from hodos.sources import testdata
 from hodos.sources.tables import DIM_ROADS, FCT_MEASUREMENTS, MRT_TRAFFIC_ROAD, STG_TRAFFIC, Warehouse
 
@@ -361,6 +362,47 @@ def test_two_spellings_of_one_time_are_one_reading(spark, folder):
     assert keys.where("count > 1").isEmpty()
 
 
+def test_an_incremental_run_reads_touched_days_only(spark, folder):
+    """Days that a run does not touch are made unreadable: tests and reports still come out right."""
+    early = raw(spark, *[(f"d{i}", h, h % 7 + 1, float(h % 50 + 3), h - h % 24 + 29) for i in range(3) for h in range(0, 240, 5)])
+    more = early.unionByName(raw(spark, *[(f"d{i}", 241, 4, 40.0, 269) for i in range(3)]))
+    warehouse, whole = Warehouse(spark, f"{folder}/grown"), Warehouse(spark, f"{folder}/whole")
+    build.run(warehouse, early, as_of=at(245), spine_start=START, gold=False)
+    for table in (STG_TRAFFIC, FCT_MEASUREMENTS):
+        for day in range(1, 6):
+            spoilt = f"{warehouse.path(table)}/day=2024-01-0{day}"
+            files = [r.path for r in spark.read.format("binaryFile").load(spoilt).select("path").collect()]
+            for path in files:
+                with open(path.removeprefix("file:"), "wb") as out:
+                    out.write(b"spoilt")
+    run = build.run(warehouse, more, as_of=at(270), spine_start=START, gold=False)
+    assert run.bound == at(245 - 48)
+    build.run(whole, more, as_of=at(270), spine_start=START, gold=False)
+    for of in (states.figures, states.daily_speed_count, states.busiest_times, states.device_health):
+        got, want = of(warehouse), of(whole)
+        assert rows(got, *want.columns) == rows(want, *want.columns), of.__name__
+    tests = lambda w: build.kept_tests(w, START, at(270))
+    columns = ("table_name", "column_name", "test_name", "failing_rows", "status")
+    assert rows(tests(warehouse), *columns) == rows(tests(whole), *columns)
+    assert states.estimated_devices(warehouse, date(2024, 1, 1), date(2024, 1, 31)).first().devices == 3
+    assert states.mark(warehouse) == at(269)
+
+
+def test_states_agree_with_tests_and_reports_over_all_rows(spark, folder):
+    warehouse = Warehouse(spark, folder)
+    odd = raw(spark, ("a", 0, None, 5.0, 3), ("a", 1, 3, None, 3), ("a", 2, 0, 0.0, 3), ("b", 2, 4, 200.0, 3), ("b", 3, 4, 20.0, 3), ("c", 30, 2, 60.0, 40))
+    build.run(warehouse, odd, as_of=at(50), spine_start=START, gold=False, gate=False)
+    staged, devices, measured = (warehouse.read(t) for t in (STG_TRAFFIC, DIM_ROADS, FCT_MEASUREMENTS))
+    columns = ("table_name", "column_name", "test_name", "failing_rows", "status")
+    slots = hour_spine(spark, START, at(50))
+    want = quality.report(build.silver_tests(staged, devices) + build.fact_tests(slots, measured, devices))
+    assert rows(build.kept_tests(warehouse, START, at(50)), *columns) == rows(want, *columns)
+    mart = marts.traffic_road(measured, devices)
+    assert rows(states.kpi(warehouse), "*") == rows(reporting.kpi(marts.last_days(mart)), "*")
+    assert rows(states.busiest_times(warehouse), "*") == rows(reporting.busiest_times(marts.last_days(mart)), "*")
+    assert rows(states.device_health(warehouse), "*") == rows(marts.device_health(measured), "*")
+
+
 def test_a_failed_data_test_stops_the_run(spark, folder):
     warehouse, bad = Warehouse(spark, folder), raw(spark, ("a", 0, None, 5.0, 3))
     with pytest.raises(DataTestError, match="stg_traffic.counted_cars not_null: 1"):
