@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hodos.operators.prefix import running_totals
 from hodos.session import cut
@@ -75,8 +75,8 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequenc
     both = F.col("ref") + F.col("cur")
     expected_ref, expected_cur = both * n_ref / (n_ref + n_cur), both * n_cur / (n_ref + n_cur)
     chi_square = F.sum(
-        F.pow(F.col("ref") - expected_ref, 2) / expected_ref + F.pow(F.col("cur") - expected_cur, 2) / expected_cur
-    )
+        F.pow(F.col("ref") - expected_ref, 2) / F.nullif(expected_ref, F.lit(0)) + F.pow(F.col("cur") - expected_cur, 2) / F.nullif(expected_cur, F.lit(0))
+    )  # null without rows on one side
     score = F.sqrt(F.greatest(F.col("divergence"), F.lit(0.0)))
     return (
         sized.groupBy("column_name")
@@ -114,3 +114,55 @@ def drift_summary(columns: DataFrame, alert_share: float = 0.5) -> DataFrame:
         (share > alert_share).alias("is_drifting"),
         F.format_string("%.2f", share).alias("drift_share_text"),
     )
+
+
+# --- tests of significance ----------------------------------------------------------------
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number: Stirling's series ten steps up."""
+    z = x + 10
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    raised = (z - 0.5) * F.log(z) - z + F.lit(0.9189385332046727) + series  # half the logarithm of 2 pi
+    return raised - reduce(lambda a, b: a + b, [F.log(x + k) for k in range(10)])
+
+
+def chi_square_p_value(statistic: Column, freedom: Column) -> Column:
+    """How likely a chi-square variable is at least ``statistic``: one minus the regularised
+    incomplete gamma function, summed as x^(a+n) e^-x / gamma(a+n+1) until terms vanish."""
+    a, x = freedom.cast("double") / 2, statistic.cast("double") / 2
+    terms = F.ceil(F.greatest(x - a, F.lit(0.0)) + 12 * F.sqrt(x + a) + 50).cast("int")
+    below = F.aggregate(
+        F.sequence(F.lit(0), terms),
+        F.lit(0.0),
+        lambda total, n: total + F.exp((a + n) * F.log(x) - x - log_gamma(a + n + 1)),
+    )
+    return F.when(freedom < 1, F.lit(1.0)).when(x <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - below))
+
+
+def kolmogorov_p_value(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
+    """How likely two samples of one distribution differ by ``statistic`` or more (asymptotic)."""
+    root = F.sqrt(n_ref.cast("double") * n_cur / (n_ref + n_cur))
+    scaled = (root + 0.12 + 0.11 / root) * statistic
+    term = lambda total, k: total + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * scaled * scaled)
+    series = 2 * F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), term)
+    # below this the series has not converged, and the probability is 1 to ten digits
+    return F.when(scaled < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+
+
+def drift_tests(reference: DataFrame, current: DataFrame, numbers: Sequence[str], categories: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """Kolmogorov-Smirnov tests of numbers and chi-square tests of categories, one row a column.
+    Null p-values stand for a side without values."""
+    rows = []
+    for name in numbers:
+        sizes = [df.agg(F.count(name)).first()[0] for df in (reference, current)]
+        n_ref, n_cur = (F.lit(n).cast("double") for n in sizes)
+        p = kolmogorov_p_value(F.col("statistic"), n_ref, n_cur) if all(sizes) else F.lit(None).cast("double")
+        found = numeric_drift(reference, current, name)
+        rows.append(found.select("column_name", F.lit("kolmogorov_smirnov").alias("test"), "statistic", F.lit(None).cast("bigint").alias("freedom"), p.alias("p_value")))
+    if categories:
+        found = categorical_drift(reference, current, categories)
+        kinds = _two_sided(reference, current, categories).groupBy("column_name").agg((F.count(F.lit(1)) - 1).alias("freedom"))
+        p = F.when(F.col("statistic").isNotNull(), chi_square_p_value(F.col("statistic"), F.col("freedom")))
+        rows.append(found.join(kinds, "column_name").select("column_name", F.lit("chi_square").alias("test"), "statistic", "freedom", p.alias("p_value")))
+    return reduce(DataFrame.unionByName, rows).withColumn("is_drifted", F.col("p_value") < alpha)

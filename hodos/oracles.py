@@ -450,6 +450,17 @@ SELECTS: dict[str, str] = {
     "stream_staging": f"SELECT {_STG} FROM stg",
     "stream_dedup": "SELECT device_id, processed_at FROM stg",
     "stream_daily": f"SELECT processed_date, total_counted_cars, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed FROM ({_DAILY.format('corrected')})",
+    "stream_window_daily": f"""SELECT processed_date, total_counted_cars, round(weighted_avg_speed + 1e-9, 6) AS weighted_avg_speed FROM ({_DAILY.format('stg')})
+  WHERE processed_date + INTERVAL 1 DAY <= (SELECT max(processed_at) - INTERVAL 2 DAY FROM stg)""",
+    "stream_gapfill": f"SELECT {_FCT} FROM fct WHERE processed_at + INTERVAL 1 HOUR <= (SELECT last_hour - INTERVAL 2 DAY FROM clock)",
+    "stg_quarantine": """SELECT CASE WHEN kind <> 7 THEN deviceid || '-' || moment END AS traffic_id, CASE WHEN kind <> 7 THEN deviceid END AS device_id,
+  CASE WHEN kind <> 7 THEN TRY_CAST(moment AS timestamp) END AS processed_at, CASE WHEN kind <> 7 THEN TRY_CAST(cars AS bigint) END AS counted_cars,
+  CASE WHEN kind <> 7 THEN round(value + 1e-9, 6) END AS average_speed, nullif(CASE WHEN kind = 7 THEN 'malformed record' ELSE concat_ws('; ',
+    CASE WHEN deviceid IS NULL THEN 'deviceid is missing' END, CASE WHEN TRY_CAST(moment AS timestamp) IS NULL THEN 'appprocesstime is no timestamp_ntz' END,
+    CASE WHEN TRY_CAST(cars AS bigint) IS NULL THEN 'countedcars is no bigint' END) END, '') AS reason, reason IS NULL AS is_good
+  FROM (SELECT event_id % 50 AS kind, value, CASE WHEN event_id % 50 <> 29 THEN cast(user_id AS varchar) END AS deviceid,
+    CASE WHEN event_id % 50 = 19 THEN 'not a time' ELSE cast(date_trunc('hour', ts) AS varchar) END AS moment,
+    CASE WHEN event_id % 50 IN (13, 19) THEN 'many' ELSE props->>'k' END AS cars FROM events)""",
     "inc_two_spellings": f"SELECT {_STG} FROM stg_respelled",
     "training_rows": "SELECT * FROM train",
     "base_features": "SELECT * FROM base",
@@ -502,6 +513,16 @@ SELECTS: dict[str, str] = {
     "shared_columns": "SELECT device_id, road_name, average_speed FROM recent14",
     "drift_numeric": _DRIFT_OUT.format(_WASSERSTEIN),
     "drift_categorical": _DRIFT_OUT.format(f"{_js('device_id')} UNION ALL {_js('road_name')}"),
+    "drift_pvalues": f"""SELECT column_name, test, round(statistic + 1e-9, 6) AS statistic, freedom, round(p_value + 1e-9, 6) AS p_value, p_value < 0.05 AS is_drifted FROM (
+  SELECT column_name, 'kolmogorov_smirnov' AS test, statistic, cast(NULL AS bigint) AS freedom, CASE WHEN l < 0.2 THEN 1.0 ELSE
+    least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * l * l))))) END AS p_value
+  FROM (SELECT column_name, statistic, (sqrt(ne) + 0.12 + 0.11 / sqrt(ne)) * statistic AS l FROM ({_WASSERSTEIN}),
+    (SELECT (SELECT count(average_speed) FROM train_part) * 1.0 * (SELECT count(average_speed) FROM recent14) / ((SELECT count(average_speed) FROM train_part) + (SELECT count(average_speed) FROM recent14)) AS ne))
+  UNION ALL SELECT column_name, 'chi_square', statistic, freedom, greatest(0.0, 1 - list_sum(list_transform(range(0, 20000), lambda n:
+    exp((freedom / 2.0 + n) * ln(statistic / 2) - statistic / 2 - lgamma(freedom / 2.0 + n + 1))))) AS p_value
+  FROM (SELECT j.*, CASE column_name WHEN 'device_id' THEN (SELECT count(DISTINCT device_id) FROM (SELECT device_id FROM train_part UNION ALL SELECT device_id FROM recent14))
+    ELSE (SELECT count(DISTINCT road_name) FROM (SELECT road_name FROM train_part UNION ALL SELECT road_name FROM recent14)) END - 1 AS freedom
+    FROM ({_js('device_id')} UNION ALL {_js('road_name')}) j))""",
     "drift_summary": f"""SELECT count(*) AS n_columns, cast(count(*) FILTER (is_drifted) AS bigint) AS n_drifted, round(count(*) FILTER (is_drifted) / count(*) + 1e-9, 6) AS drift_share,
   count(*) FILTER (is_drifted) / count(*) > 0.5 AS is_drifting, printf('%.2f', count(*) FILTER (is_drifted) / count(*)) AS drift_share_text FROM {_DRIFT}""",
 }

@@ -17,7 +17,8 @@ KEYS = ["device_id", "processed_at"]
 Moment = Column | datetime
 
 
-def _described(hourly: DataFrame) -> DataFrame:
+def described(hourly: DataFrame) -> DataFrame:
+    """Readings by device and hour with their calendar columns and flags."""
     flags = [rule.alias(name) for name, rule in quality_flags().items()]
     at = F.col("processed_at")
     return hourly.select("device_id", "processed_at", *calendar_columns(at), "ingested_at", "counted_cars", "average_speed", *flags).select(
@@ -27,7 +28,7 @@ def _described(hourly: DataFrame) -> DataFrame:
 
 def measurements(staged: DataFrame, devices: DataFrame, first: Moment, last: Moment) -> DataFrame:
     """The dense fact: devices x hours, readings where there are any."""
-    return _described(expand(hourly_spans(staged, devices, first, last)))
+    return described(expand(hourly_spans(staged, devices, first, last)))
 
 
 def measurements_by_day(staged: DataFrame, devices: DataFrame, first: datetime, last: datetime) -> DataFrame:
@@ -42,7 +43,7 @@ def measurements_by_day(staged: DataFrame, devices: DataFrame, first: datetime,
     tasks = shuffle_tasks(staged.sparkSession)
     spans = split_spans(hourly_spans(staged, devices, first, last), "DAY")
     part = F.pmod(F.xxhash64("device_id"), F.lit(-(-tasks // n_days)))
-    return _described(expand(spans.repartition(tasks, F.col("first_hour").cast("date"), part)))
+    return described(expand(spans.repartition(tasks, F.col("first_hour").cast("date"), part)))
 
 
 def observed_measurements(staged: DataFrame, first: Moment, last: Moment) -> DataFrame:
@@ -51,7 +52,7 @@ def observed_measurements(staged: DataFrame, first: Moment, last: Moment) -> Dat
     Gap rows are never of quality, so everything built on quality rows needs only these
     and skips the dense grid. Assumes the dimension was built from ``staged`` too.
     """
-    return _described(on_grid(staged, first, last))
+    return described(on_grid(staged, first, last))
 
 
 def measured_spans(staged: DataFrame, devices: DataFrame, first: Moment, last: Moment) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hodos.operators.dedup import keep_first
-from hodos.schemas import STAGING
+from hodos.schemas import LANDING, STAGING
 
 #: A reading; the text of its time may be spelled differently from delivery to delivery.
 KEY = ["device_id", "processed_at"]
@@ -52,3 +52,46 @@ def stage(raw: DataFrame) -> DataFrame:
 def after(raw: DataFrame, high_water) -> DataFrame:
     """Rows ingested since the last run; a literal bound, so it is pushed into the scan."""
     return raw.where(F.col("ingested_at") > F.lit(high_water).cast("timestamp_ntz"))
+
+
+# --- quarantine mode: bad records are set aside with a reason, the job goes on -------------
+
+
+def read_permissive(spark: SparkSession, path: str) -> DataFrame:
+    """Landed JSON lines with every value as text, and ``record``: a line that is no JSON record."""
+    columns = [f"{name} string" for name in (*LANDING.fieldNames(), "record")]
+    return spark.read.schema(", ".join(columns)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "record").json(path)
+
+
+def quarantined(records: DataFrame) -> DataFrame:
+    """Records typed column by column, with ``reason``: null if all of it fits, otherwise every
+    fault, and the values as delivered in ``record``. A value that does not fit is null."""
+    kinds = {"appprocesstime": "timestamp_ntz", "countedcars": "bigint", "average_speed": "double"}
+    broken = F.col("record").isNotNull()
+    fitted = {name: F.col(name).try_cast(kind) for name, kind in kinds.items()}
+    faults = [F.when(broken, "malformed record")]
+    faults += [F.when(~broken & F.col(name).isNull(), f"{name} is missing") for name in ("deviceid", "appprocesstime")]
+    faults += [F.when(F.col(name).isNotNull() & fitted[name].isNull(), f"{name} is no {kind}") for name, kind in kinds.items()]
+    reason = F.array_join(F.array_compact(F.array(*faults)), "; ")
+    given = F.coalesce("record", F.to_json(F.struct(*LANDING.fieldNames())))
+    return records.select(
+        F.when(~broken, F.concat("deviceid", F.lit("-"), "appprocesstime")).alias("traffic_id"),
+        F.col("deviceid").alias("device_id"),
+        fitted["appprocesstime"].alias("processed_at"),
+        fitted["countedcars"].alias("counted_cars"),
+        fitted["average_speed"].alias("average_speed"),
+        "road_name",
+        "road_info",
+        F.nullif(reason, F.lit("")).alias("reason"),
+        F.when(reason != "", given).alias("record"),
+    )
+
+
+def write_quarantined(checked: DataFrame, path: str) -> None:
+    """Good and bad rows in one pass over the feed, below ``is_good=true`` and ``is_good=false``."""
+    checked.withColumn("is_good", F.col("reason").isNull()).write.partitionBy("is_good").parquet(path)
+
+
+def read_quarantined(spark: SparkSession, path: str) -> DataFrame:
+    columns = "traffic_id string, device_id string, processed_at timestamp_ntz, counted_cars bigint, average_speed double, road_name string, road_info string"
+    return spark.read.schema(f"{columns}, reason string, record string, is_good boolean").parquet(path)

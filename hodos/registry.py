@@ -637,6 +637,61 @@ def stream_daily(spark, sf_dir):
     return warehouse.read(live.DAILY_TOTALS)
 
 
+def _drain_in_parts(spark: SparkSession, parts: list[Callable[[], None]], make: Callable[[], DataFrame]) -> DataFrame:
+    """Runs the stream ``make`` builds to its end after each part has landed, from one checkpoint."""
+    out, offsets = scratch(spark, "drained"), scratch(spark, "offsets")
+    for land_part in parts:
+        land_part()
+        frame = make()
+        (
+            frame.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets)
+            .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        )
+    return spark.read.schema(frame.schema).parquet(out)
+
+
+def _lake_parts(spark: SparkSession, sf_dir: str, root: str) -> list[Callable[[], None]]:
+    """The raw records in two parts: what was ingested up to the first run, and the rest."""
+    first, _ = testdata.hour_range(spark, sf_dir)
+    raw = testdata.raw_traffic(spark, sf_dir).drop("year", "month").withColumn("date", F.col("ingested_at").cast("date"))
+    early = F.col("ingested_at") <= F.lit(first_run_clock(first)).cast("timestamp_ntz")
+    return [lambda part=part: lake.write_batches(part, root) for part in (raw.where(early), raw.where(~early))]
+
+
+@query
+def stream_window_daily(spark, sf_dir):
+    """Days given out as the watermark closes them; the stream is stopped and taken up again."""
+    root = scratch(spark, "lake")
+    return _drain_in_parts(spark, _lake_parts(spark, sf_dir, root), lambda: live.closed_days(live.lake_stream(spark, root)))
+
+
+@query
+def stream_gapfill(spark, sf_dir):
+    """The dense fact of all hours the watermark closed, from two streams drained in two parts."""
+    root, slots = scratch(spark, "lake"), scratch(spark, "slots")
+    first, last = testdata.hour_range(spark, sf_dir)
+    noon = first_run_clock(first)
+    devices = testdata.raw_traffic(spark, sf_dir).select(F.col("deviceid").alias("device_id")).distinct()
+
+    def land_slots(a: datetime, b: datetime) -> None:
+        every = F.explode(F.sequence(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz"), hours(1)))
+        devices.select("device_id", every.alias("processed_at")).write.mode("append").parquet(slots)
+
+    early, late = _lake_parts(spark, sf_dir, root)
+    parts = [lambda: (early(), land_slots(first, noon)), lambda: (late(), land_slots(noon + timedelta(hours=1), last))]
+    spine = lambda: spark.readStream.schema("device_id string, processed_at timestamp_ntz").parquet(slots)
+    return _drain_in_parts(spark, parts, lambda: live.filled_hours(spine(), live.lake_stream(spark, root)))
+
+
+@query
+def stg_quarantine(spark, sf_dir):
+    """A feed with bad records: what could be typed, and why the rest was set aside."""
+    landing, checked = scratch(spark, "feed"), scratch(spark, "quarantine")
+    testdata.spoilt_feed(spark, sf_dir).write.text(landing)
+    staging.write_quarantined(staging.quarantined(staging.read_permissive(spark, landing)), checked)
+    return staging.read_quarantined(spark, checked).select("traffic_id", "device_id", "processed_at", "counted_cars", "average_speed", "reason", "is_good")
+
+
 # --- features and model --------------------------------------------------------------
 
 
@@ -910,3 +965,9 @@ def drift_categorical(spark, sf_dir):
 @query
 def drift_summary(spark, sf_dir):
     return monitoring.drift_report(*reference_and_current(spark, sf_dir))[1]
+
+
+@query
+def drift_pvalues(spark, sf_dir):
+    """Tests of significance beside the distances; alpha is 0.05."""
+    return drift.drift_tests(*reference_and_current(spark, sf_dir), ["average_speed"], ["device_id", "road_name"])

@@ -73,6 +73,21 @@ def respelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redelivered(spark, sf_dir).withColumn("appprocesstime", F.when(F.col("road_info") == "corrected", iso).otherwise(F.col("appprocesstime")))
 
 
+def spoilt_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as JSON lines of the feed, some of them cut short or with values that do not fit."""
+    events = table(spark, sf_dir, "events")
+    kind = F.col("event_id") % 50
+    fields = {
+        "deviceid": F.when(kind != 29, F.col("user_id").cast("string")),
+        "appprocesstime": F.when(kind == 19, F.lit("not a time")).otherwise(full_hour(F.col("ts")).cast("string")),
+        "countedcars": F.when(kind.isin(13, 19), F.lit("many")).otherwise(F.get_json_object("props", "$.k")),
+        "average_speed": F.col("value").cast("string"),
+        "road_name": road_of(F.col("user_id")),
+    }
+    line = F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
+    return events.select(F.when(kind == 7, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+
+
 def hour_range(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
     """First and last hour with events: the run's clock, one row of two values."""
     at = F.col("ts")

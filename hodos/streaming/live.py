@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hodos.functions.measures import speed_volume
-from hodos.plans import reporting, roads, staging
+from hodos.plans import facts, reporting, roads, staging
 from hodos.plans.build import refresh_facts, refresh_gold
-from hodos.schemas import LAKE
+from hodos.schemas import LAKE, STAGING
 from hodos.session import cut
 from hodos.sources.tables import DIM_ROADS, STG_TRAFFIC, Table, Warehouse
 
@@ -105,3 +105,44 @@ def daily_totals(readings: DataFrame, delay: str | None = None) -> DataFrame:
             "weighted_avg_speed",
         )
     )
+
+
+# --- stateful forms that agree with the batch, once the watermark is past an hour -----------
+
+
+def hourly_readings(source: DataFrame, delay: str = "2 days") -> DataFrame:
+    """Staging as a stream: of the deliveries of a reading the one the batch takes, given out when
+    the watermark has passed its hour (``window``). State holds the hours still open."""
+    typed = staging.typed(source).withColumn("event_time", F.col("processed_at").cast("timestamp"))
+    newest_first = [F.col("ingested_at").isNull(), -F.unix_micros(F.col("ingested_at").cast("timestamp"))]
+    rest = [part for name in ("counted_cars", "average_speed", "road_name", "road_info", "traffic_id") for part in (F.col(name).isNull(), F.col(name))]
+    order = F.struct(*[part.alias(f"o{i}") for i, part in enumerate(newest_first + rest)])
+    row = F.struct(*[F.col(name) for name in STAGING.fieldNames()])
+    kept = typed.withWatermark("event_time", delay).groupBy(F.window("event_time", "1 hour"), "device_id", "processed_at").agg(F.min_by(row, order).alias("row"))
+    return kept.select("window", "row.*")
+
+
+def closed_days(source: DataFrame, delay: str = "2 days") -> DataFrame:
+    """Cars and weighted speed of every day the watermark has passed, each given out once: a
+    tumbling window of a day over the tumbling windows of its hours."""
+    days = hourly_readings(source, delay).groupBy(F.window("window", "1 day")).agg(
+        F.sum("counted_cars").alias("total_counted_cars"),
+        (F.sum(speed_volume()) / F.nullif(F.sum("counted_cars"), F.lit(0))).alias("weighted_avg_speed"),
+    )
+    return days.select(F.col("window.start").cast("timestamp_ntz").cast("date").alias("processed_date"), "total_counted_cars", "weighted_avg_speed")
+
+
+def filled_hours(spine: DataFrame, source: DataFrame, delay: str = "2 days") -> DataFrame:
+    """The dense fact as a stream: hours of ``spine`` (device_id, processed_at) with the reading
+    of that hour or, when the watermark has passed it on both sides, without one.
+
+    A stream-stream left outer join on device and hour; both sides drop out of the state as
+    their hour closes. Readings that are not on the hour meet no slot.
+    """
+    hours = spine.withColumn("event_time", F.col("processed_at").cast("timestamp")).withWatermark("event_time", delay)
+    slots = hours.groupBy(F.window("event_time", "1 hour"), "device_id").agg(F.count(F.lit(1)).alias("n"))
+    readings = hourly_readings(source, delay).where(F.col("processed_at") == F.col("window.start").cast("timestamp_ntz"))
+    readings = readings.select("window", "device_id", "ingested_at", "counted_cars", "average_speed")
+    joined = slots.join(readings, ["window", "device_id"], "left_outer")
+    at = F.col("window.start").cast("timestamp_ntz").alias("processed_at")
+    return facts.described(joined.select("device_id", at, "ingested_at", "counted_cars", "average_speed"))
