@@ -446,6 +446,14 @@ SELECTS: dict[str, str] = {
             _unique("util_hours", "slots", "hourly_slot"), *_not_null("util_hours", "slots", "hourly_slot"),
         ]
     ),
+    "run_report": f"""SELECT 'run' AS run_id, step, measure, cast(value AS bigint) AS value FROM (
+  SELECT 'facts' AS step, 'n_late' AS measure, (SELECT count(*) FROM batch2 WHERE processed_at <= {_BOUND}) AS value
+  UNION ALL SELECT 'facts', 'n_late_cars', (SELECT sum(counted_cars) FROM batch2 WHERE processed_at <= {_BOUND})
+  UNION ALL SELECT 'training', 'n_rows', (SELECT count(*) FROM train)
+  UNION ALL SELECT 'training', 'n_kept', (SELECT count(*) FROM base WHERE road_name <> '7')
+  UNION ALL SELECT 'compaction', 'files_before', (SELECT count(DISTINCT cast(appprocesstime AS date)) FROM raw)
+  UNION ALL SELECT 'compaction', 'files_after', (SELECT count(DISTINCT (year, month)) FROM raw)
+  UNION ALL SELECT 'compaction', 'n_rows', (SELECT count(*) FROM raw))""",
     "late_rows": f"SELECT device_id, processed_at, counted_cars, average_speed FROM batch2 WHERE processed_at <= {_BOUND}",
     "stream_staging": f"SELECT {_STG} FROM stg",
     "stream_dedup": "SELECT device_id, processed_at FROM stg",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hodos.functions.calendar import full_day, greek_holidays, hour_spine, hours, next_local_hour, reporting_day
 from hodos.functions.measures import published, rounded
 from hodos.operators import bins, boosting, drift, encode, quality
-from hodos.plans import build, dashboard, facts, features, marts, monitoring, reporting, roads, scoring, staging, states, training
+from hodos.plans import build, dashboard, facts, features, marts, monitoring, reporting, roads, runs, scoring, staging, states, training
 from hodos.session import cut, prepare, scratch
 from hodos.sources import lake, testdata
 from hodos.sources.tables import DIM_ROADS, FCT_MEASUREMENTS, MRT_TRAFFIC_ROAD, STG_TRAFFIC, Warehouse
@@ -591,6 +591,20 @@ def late_rows(spark, sf_dir):
     return incremental_of(spark, sf_dir).second.late.select("device_id", "processed_at", "counted_cars", "average_speed")
 
 
+@query
+def run_report(spark, sf_dir):
+    """What the steps of a run dropped, held back and merged, as they saw it themselves."""
+    report, folder = runs.RunReport("run"), scratch(spark, "run")
+    late = incremental_of(spark, sf_dir).second.late
+    report.observe("facts", late, n_late=F.count(F.lit(1)), n_late_cars=F.sum("counted_cars")).write.parquet(f"{folder}/late")
+    gaps = features.training_rows(history(spark, sf_dir), today(spark, sf_dir)).withColumn("road_name", F.nullif("road_name", F.lit("7")))
+    features.base_features(gaps, report.observation("training")).write.parquet(f"{folder}/base")
+    root = fresh_lake(spark, sf_dir)
+    months = lake.read_lake(spark, root).select("year", "month").distinct().collect()  # partition values
+    report.compactions(lake.compact_months(spark, root, sorted((m.year, m.month) for m in months)))
+    return report.table(spark)
+
+
 # --- streams -------------------------------------------------------------------------
 
 
