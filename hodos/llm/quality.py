@@ -18,8 +18,8 @@ from hodos.llm.common import blocks_of, fold, table
 WIDTH, FILTERS = 4, 16
 CHUNK, OVERLAP = 512, 32
 STEP = CHUNK - OVERLAP
-#: The training sample: at most so many rows of either label, and chunks of each.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 1500, 8
+#: The training sample: at most so many rows of either label, each with its whole text.
+SAMPLE_ROWS = 1500
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 ACCEPT = 0.7
 
@@ -44,10 +44,15 @@ class ByteNet:
             "offset": np.zeros(1, np.float32),
         }
 
-    def responses(self, chunks: np.ndarray) -> np.ndarray:
+    def _tables(self) -> list[np.ndarray]:
+        """What each pair of bytes adds to every filter, by the place of the pair."""
+        f = self.weights["filters"]
+        return [(f[j][:, None, :] + f[j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
+
+    def responses(self, chunks: np.ndarray, pairs: list[np.ndarray] | None = None) -> np.ndarray:
         """[n, CHUNK - WIDTH + 1, FILTERS]; bytes are looked up in pairs."""
-        f, last = self.weights["filters"], CHUNK - WIDTH + 1
-        pairs = [(f[j][:, None, :] + f[j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)] if not hasattr(self, "_pairs") else self._pairs
+        last = CHUNK - WIDTH + 1
+        pairs = pairs or getattr(self, "_pairs", None) or self._tables()
         codes = (chunks[:, :-1].astype(np.int32) << 8) | chunks[:, 1:]
         out = pairs[0].take(codes[:, :last], axis=0)
         for j in range(1, len(pairs)):
@@ -56,8 +61,7 @@ class ByteNet:
 
     def fixed(self) -> ByteNet:
         """Keeps the pair tables from now on; for scoring."""
-        f = self.weights["filters"]
-        self._pairs = [(f[j][:, None, :] + f[j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
+        self._pairs = self._tables()
         return self
 
     def pooled(self, chunks: np.ndarray) -> np.ndarray:
@@ -96,9 +100,12 @@ class ByteNet:
         w, chunks = self.weights, np.concatenate(parts)
         counts = np.array([len(p) for p in parts])
         first, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(parts)), counts)
-        responses = self.responses(chunks)
-        where = responses.argmax(axis=1)
-        raw = np.take_along_axis(responses, where[:, None, :], 1)[:, 0] + w["bias"]
+        where, raw = np.empty((len(chunks), FILTERS), np.int64), np.empty((len(chunks), FILTERS), np.float32)
+        pairs = self._tables()
+        for a in range(0, len(chunks), 128):
+            responses = self.responses(chunks[a : a + 128], pairs)
+            at = where[a : a + 128] = responses.argmax(axis=1)
+            raw[a : a + 128] = np.take_along_axis(responses, at[:, None, :], 1)[:, 0] + w["bias"]
         pooled = np.maximum(raw, 0)
         means, peaks = np.add.reduceat(pooled, first, axis=0) / counts[:, None], np.maximum.reduceat(pooled, first, axis=0)
         features = np.hstack([means, peaks])
@@ -120,9 +127,8 @@ class ByteNet:
 def learned(documents: DataFrame, labels: DataFrame) -> ByteNet:
     """A network fitted on a bounded sample of the rows whose fold of four is not the second.
 
-    The sample has at most ``SAMPLE_ROWS`` rows of either label, by the hash of the id, and at
-    most ``SAMPLE_CHUNKS`` evenly spread chunks of each text. Of rows that share an id one is
-    learned from. Rows with a null id or label are not learned from. Without both labels the network stays unfitted and scores near a half.
+    The sample has at most ``SAMPLE_ROWS`` rows of either label, by the hash of the id; all chunks
+    of their texts are learned from. Of rows that share an id one is learned from. Rows with a null id or label are not learned from. Without both labels the network stays unfitted and scores near a half.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     key = F.xxhash64("doc_id", "quality")
@@ -132,23 +138,13 @@ def learned(documents: DataFrame, labels: DataFrame) -> ByteNet:
         picked = part if picked is None else picked.unionByName(part)
     joined = documents.select("doc_id", "text").join(F.broadcast(picked.dropDuplicates()), "doc_id")
 
-    def cut(batches):
-        for batch in batches:
-            rows = []
-            for i, q, text in zip(batch["doc_id"], batch["quality"], batch["text"]):
-                chunks = chunked((text or "").encode())
-                some = np.unique(np.linspace(0, len(chunks) - 1, SAMPLE_CHUNKS).astype(int))
-                rows.append((i, q, chunks[some].tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "quality", "chunks"])
-
     # an id may stand for any number of rows: one of its texts, the same on every run, is taken
-    once = joined.mapInPandas(cut, "doc_id long, quality int, chunks binary").groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks"))
-    rows = once.collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.chunks)))
+    once = joined.groupBy("doc_id", "quality").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    rows = sorted(once.collect(), key=lambda r: (r.doc_id, r.quality))
     net = ByteNet()
     truth = np.array([r.quality for r in rows], np.float32)
     if len(set(truth.tolist())) == 2:
-        net.fit([np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, CHUNK) for r in rows], truth)
+        net.fit([chunked(r.text.encode()) for r in rows], truth)
     return net
 
 
