@@ -25,6 +25,27 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def free(name: str, columns) -> str:
+    """``name``, longer by as many underscores as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key is frequent if it holds more than one row in so many; there are at most so many of them.
+FREQUENT = 1_000
+
+
+def attached(many: DataFrame, one: DataFrame, key: str, times: str, rows: int) -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key and how often ``many`` has it. Rows
+    of frequent keys stay where they are: ``one`` comes to them, at most ``FREQUENT`` rows."""
+    frequent = one.filter(F.col(times) * FREQUENT > rows).drop(times)
+    others = one.filter(F.col(times) * FREQUENT <= rows).drop(times)
+    met = many.join(F.broadcast(frequent), key)
+    return met.unionByName(many.join(F.broadcast(frequent.select(key)), key, "left_anti").join(others, key).select(*met.columns))
+
+
 # --- vectorised word hashes, for use inside tasks ------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15

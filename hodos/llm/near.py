@@ -1,10 +1,13 @@
-"""Operator 2: texts of Jaccard similarity 0.8 or more over word 5-grams, by a MinHash LSH forest.
+"""Operator 2: texts of Jaccard similarity 0.8 or more over word 5-grams, by MinHash prefixes.
 
-Every distinct text gets a signature of ``TREES * DEPTH`` minima; each tree is the trie of one
-slice of the signatures, kept as sorted prefixes. Two texts are compared where they share a
-prefix in some tree. Prefixes are shortened from ``DEPTH`` as far as needed until a pair at the
-threshold meets in some tree with the wanted probability (``prefix_length``). A pair belongs to
-the first tree it meets in, so it is verified once, exactly, on the sets of shingle hashes.
+Every distinct text gets a signature of ``TREES * DEPTH`` minima, one slice for each tree. Two
+texts are compared where they share the first ``prefix_length`` minima of a slice: the longest
+prefix from ``DEPTH`` down by which a pair at the threshold meets in some tree with the wanted
+probability. It follows from the settings and is the same for all texts, so this is a forest cut
+at one height (MinHash banding); it is not shortened further where the data would allow less or
+need more. Before a pair is verified its whole signature has to estimate ``DOUBT`` or more: a
+pair at the threshold fails that in about 6 of 100,000 cases. A pair belongs to the first tree it
+meets in, so it is verified once, exactly, on the sets of shingle hashes.
 
 A bucket of many texts is cut into blocks and each pair of blocks is a task group of its own,
 so neither a bucket nor its pairs come to one task; pairs are counted where they are found and
@@ -25,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hodos.llm.common import blocks_of, mixed, shingle_hashes, table
+from hodos.llm.common import attached, blocks_of, free, mixed, shingle_hashes, table
 from hodos.session import cut, scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -246,8 +249,11 @@ def linked(documents: DataFrame) -> DataFrame:
     known = nodes.join(counts, "copy", "left").join(roots, nodes.copy == roots.node, "left")
     known = known.select(nodes.copy, "least", "times", F.col("minima").isNotNull().alias("some"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", nodes.copy).alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    found = known.join(least, "root").select("copy", "some", "class_id", (F.col("links") + F.col("times") - 1).alias("n_links"))
-    return signed.select("doc_id", "copy").join(found, "copy").select(
+    found = known.join(least, "root").select("copy", "times", "some", "class_id", (F.col("links") + F.col("times") - 1).alias("n_links"))
+    found.write.parquet(f"{folder}/found")
+    found = spark.read.parquet(f"{folder}/found")
+    total = found.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    return attached(signed.select("doc_id", "copy"), found, "copy", "times", total).select(
         "doc_id", "copy", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("some"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")
     )
 
@@ -257,11 +263,12 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     whose text has no word."""
     verdict = linked(documents).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     keep = verdict.select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy")).distinct()
-    marked = documents.withColumn("kept_copy_", text_copy(F.col("text")))
-    kept = marked.join(keep, marked.doc_id.eqNullSafe(keep.kept_id) & (marked.kept_copy_ == keep.kept_copy), "left_semi")
+    name = free("copy", documents.columns)
+    marked = documents.withColumn(name, text_copy(F.col("text")))
+    kept = marked.join(keep, marked.doc_id.eqNullSafe(keep.kept_id) & (marked[name] == keep.kept_copy), "left_semi")
     worded = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit("\x20\t\n\x0b\x0c\r"))) > 0
-    once = kept.filter(worded).dropDuplicates(["doc_id", "kept_copy_"])
-    return once.unionByName(kept.filter(~worded)).drop("kept_copy_")
+    once = kept.filter(worded).dropDuplicates(["doc_id", name])
+    return once.unionByName(kept.filter(~worded)).drop(name)
 
 
 def near(spark, sf_dir: str) -> DataFrame:
