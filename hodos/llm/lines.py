@@ -8,17 +8,19 @@ sites. Lines on ``SPREAD`` sites or more are boilerplate and removed wherever th
 Defined results: a site is a row's source; a null source is no site, and its lines are removed
 like others. Lines are split at \\n and compared without outer white space; blank lines are
 never removed. Null texts stay null. Rows that agree in id and text are treated alike; null ids
-are kept. Further columns pass through; an input column called as one added here is replaced.
+are kept. Further columns pass through; one called n_lines or n_removed is replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hodos.llm.common import SPACES, table
+from hodos.llm.common import SPACES, free, table
 from hodos.session import scratch
 
 SPREAD, NEAR, PRECISION = 5, 0.25, 12
+#: Boilerplate lines that are broadcast, 16 bytes each; tasks a line is dealt to beyond that.
+BROADCAST_LINES, SALT = 200_000, 32
 
 
 def _bare(line: Column) -> Column:
@@ -40,7 +42,8 @@ def boilerplate(documents: DataFrame) -> DataFrame:
     lines, site = _lines(documents).filter("site is not null"), F.xxhash64("site")
     seen = lines.groupBy("a", "b").agg(F.min(site).alias("low"), F.max(site).alias("high"))
     several = seen.filter("low <> high").select("a", "b")
-    lines.join(several, ["a", "b"]).select("a", "b", "site").write.parquet(f"{folder}/several")
+    # each line once a site: a line in a third of all texts is no more rows than there are sites
+    lines.select("a", "b", "site").distinct().join(several, ["a", "b"]).write.parquet(f"{folder}/several")
     several = documents.sparkSession.read.parquet(f"{folder}/several")
     sketched = several.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", PRECISION)).alias("estimate"))
     sketched.write.parquet(f"{folder}/sketched")
@@ -53,17 +56,30 @@ def boilerplate(documents: DataFrame) -> DataFrame:
 
 def cleaned(documents: DataFrame) -> DataFrame:
     """``documents`` without boilerplate lines, with n_lines (with a word) and n_removed."""
-    hits = _lines(documents).join(boilerplate(documents).select("a", "b"), ["a", "b"])
+    hits = _hits(documents)
     places = hits.groupBy("doc_id", "copy").agg(F.collect_set("place").alias("places"))
-    places = places.select(F.col("doc_id").alias("hit_id"), F.col("copy").alias("hit_copy"), F.col("places").alias("hit_places_"))
-    rows = documents.withColumn("copy_", F.xxhash64("text"))
-    met = rows.join(places, rows.doc_id.eqNullSafe(places.hit_id) & (rows.copy_ == places.hit_copy), "left")
+    copy, out = free("copy", documents.columns), free("hit_places", documents.columns)
+    places = places.select(F.col("doc_id").alias("hit_id"), F.col("copy").alias("hit_copy"), F.col("places").alias(out))
+    rows = documents.withColumn(copy, F.xxhash64("text"))
+    met = rows.join(places, rows.doc_id.eqNullSafe(places.hit_id) & (rows[copy] == places.hit_copy), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     worded = F.size(F.filter(lines, lambda x: _bare(x) != ""))
-    kept = F.when(F.col("hit_places_").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("hit_places_", i)), "\n"))
+    kept = F.when(F.col(out).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(worded).cast("long")
-    n_removed = F.coalesce(F.size("hit_places_"), F.lit(0)).cast("long")
-    return met.select(*[rows[c] for c in documents.columns if c not in ("text", "n_lines", "n_removed")], n_lines.alias("n_lines"), F.when(F.col("hit_places_").isNull(), F.lit(0)).otherwise(n_removed).cast("long").alias("n_removed"), kept.alias("text"))
+    n_removed = F.when(F.col(out).isNull(), F.lit(0)).otherwise(F.size(out)).cast("long")
+    return met.select(*[rows[c] for c in documents.columns if c not in ("text", "n_lines", "n_removed")], n_lines.alias("n_lines"), n_removed.alias("n_removed"), kept.alias("text"))
+
+
+def _hits(documents: DataFrame) -> DataFrame:
+    """Where boilerplate lines stand. The lines come to the texts while they are at most
+    ``BROADCAST_LINES``; beyond that texts and lines are dealt to ``SALT`` tasks a line."""
+    folder, lines = scratch(documents.sparkSession, "boilerplate"), _lines(documents)
+    boilerplate(documents).select("a", "b").write.parquet(folder)
+    bad = documents.sparkSession.read.parquet(folder)
+    if bad.count() <= BROADCAST_LINES:
+        return lines.join(F.broadcast(bad), ["a", "b"])
+    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy", "place"), F.lit(SALT)).cast("int")).join(bad, ["a", "b", "salt"])
 
 
 def line_dedup(spark, sf_dir: str) -> DataFrame:
