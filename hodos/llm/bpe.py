@@ -1,15 +1,11 @@
-"""Byte-level BPE of whole texts, unit by unit, for use inside tasks.
+"""Byte-level BPE of whole texts, for use inside tasks.
 
-A unit is a run of ASCII white space and the word after it. A pre-token never reaches from a
-word into the white space behind it, so units are encoded one by one and repeated units only
-once. That holds for ASCII space; texts with other white space are encoded as a whole.
 The vocabulary file's path is a parameter; workers read it once.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from functools import lru_cache
 
@@ -20,34 +16,16 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the free id behind the vocabulary, the end of a text.
 END = 50256
-UNIT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Units a worker remembers.
-REMEMBERED = 400_000
 
 
-class Encoder(dict):
-    """unit (bytes) -> its ids as little-endian 16-bit integers (bytes)."""
-
+class Encoder:
     def __init__(self, ranks: str):
-        super().__init__()
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.whole = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-
-    def __missing__(self, unit: bytes) -> bytes:
-        ids = array("H", self.whole.encode_ordinary(unit.decode())).tobytes()
-        if len(self) < REMEMBERED:
-            self[unit] = ids
-        return ids
-
-    def units(self, text: str) -> list[bytes]:
-        """The parts of ``text`` that are encoded independently."""
-        if not text.isascii() and OTHER_SPACE.search(text):
-            return [text.encode()]
-        return UNIT.findall(text.encode())
+        self.whole = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian 16-bit integers."""
         return array("H", self.whole.encode_ordinary(text)).tobytes()
 
 
