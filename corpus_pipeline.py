@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hodos.llm import decontaminate, mixing, near, order, quality
-from hodos.llm.common import table
+from hodos.llm.common import free, table
 from hodos.llm.queries import ORACLES as _ORACLES, QUERIES as _QUERIES, ready
 from hodos.session import scratch
 
@@ -19,7 +19,8 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier scores at its acceptance limit or above."""
     ready(spark)
     net = quality.learned(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, net, score="quality_score_").filter(f"quality_score_ >= {quality.ACCEPT}").drop("quality_score_")
+    score = free("quality_score", docs.columns)
+    return quality.scored(docs, net, score=score).filter(f"{score} >= {quality.ACCEPT}").drop(score)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
