@@ -1,17 +1,25 @@
-"""Operator 2: texts of Jaccard similarity 0.8 or more over word 5-grams, by MinHash prefixes.
-
-Every distinct text gets a signature of ``TREES * DEPTH`` minima, one slice for each tree. Two
-texts are compared where they share the first ``prefix_length`` minima of a slice: the longest
-prefix from ``DEPTH`` down by which a pair at the threshold meets in some tree with the wanted
-probability. It follows from the settings and is the same for all texts, so this is a forest cut
-at one height (MinHash banding); it is not shortened further where the data would allow less or
-need more. Before a pair is verified its whole signature has to estimate ``DOUBT`` or more: a
-pair at the threshold fails that in about 6 of 100,000 cases. A pair belongs to the first tree it
-meets in, so it is verified once, exactly, on the sets of shingle hashes.
-
-A bucket of many texts is cut into blocks and each pair of blocks is a task group of its own,
-so neither a bucket nor its pairs come to one task; pairs are counted where they are found and
-only a spanning set of links leaves the task.
+"""Operator 2: texts of Jaccard similarity 0.8 or more over word 5-grams, by a MinHash forest.
+
+Every distinct text gets a signature of minima, ``DEPTH`` for each tree; a tree is the trie of
+those. At a level (a prefix length) two texts meet where they share that prefix in one of the
+first ``trees(level)`` trees, as many as it takes to miss no more of the pairs at the threshold
+than that level's part of ``1 - RECALL``.
+
+How long the prefixes of a text are follows from the data. All texts meet at the shortest level
+first. A text that meets more than ``CROWD`` others there is in a crowded part of the tries: it
+looks at every level and takes the one at which it meets fewest, the shorter of equal ones. A
+pair is examined at the shorter level of its two texts, so at a level only those texts meet that
+took it or a longer one, and two texts that both took a longer one are not compared there.
+Whichever levels the data choose, a pair can only be missed if one of the levels misses it, and
+all levels together miss at most ``1 - RECALL`` of the pairs at the threshold; that includes
+pairs whose whole signature agrees in less than ``DOUBT``, which are not verified. The walk goes
+from short prefixes to long ones and subtries are runs of rows of one prefix, by name: texts that
+meet nobody, most of them, are left after the shortest level.
+
+A pair belongs to the first tree it meets in, so it is verified once, exactly, on the sets of
+shingle hashes. A subtrie of many texts is cut into blocks and each pair of blocks is a task
+group of its own, so neither a subtrie nor its pairs come to one task; pairs are counted where
+they are found and only a spanning set of links leaves the task.
 
 Defined results: copies are texts that are equal byte for byte, and a text's copies are linked
 to each other and to whatever the text is linked to. Texts of fewer than five words have one
@@ -23,6 +31,7 @@ kept; a class whose ids are all null has a null class id. Other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +41,38 @@ from hodos.llm.common import attached, blocks_of, free, mixed, shingle_hashes, t
 from hodos.session import cut, scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 12, 6, 0.9995
+RECALL = 0.9995
+LEVELS = (2, 3, 4, 5)
+DEPTH = LEVELS[-1]
 #: Texts a block holds; a task group holds two blocks.
 BLOCK = 256
-#: Estimates below this from the whole signature are not verified: over four deviations.
-DOUBT = 0.6
+#: Texts met at the shortest level, over all trees, beyond which longer prefixes are looked at.
+CROWD = 64
+#: Pairs whose signatures agree in less are not verified: one in 10 ** 8 at the threshold.
+DOUBT = 0.55
+
+
+def trees(level: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """How many trees it takes for pairs of ``threshold`` to share a prefix of ``level`` minima in
+    one of them, but for a miss of one part in ``len(LEVELS)`` of ``1 - recall``."""
+    return ceil(log(0.99 * (1 - recall) / len(LEVELS)) / log(1 - threshold**level))
+
+
+TREES = trees(DEPTH)
+
+
+def missed(threshold: float = THRESHOLD) -> float:
+    """A bound on the share of pairs of ``threshold`` that are not verified, whatever the levels."""
+    n = TREES * DEPTH
+    doubted = sum(comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(ceil(DOUBT * n)))
+    return sum((1 - threshold**level) ** trees(level) for level in LEVELS) + doubted
+
 
 _rng = np.random.default_rng(97)
 _TIMES = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix, from ``depth`` down, at which pairs of ``threshold`` meet in one of
-    ``trees`` with probability ``recall``; 1 if none does."""
-    return next((d for d in range(depth, 1, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
-
-
 def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(minima [n, TREES * DEPTH] as uint32, whether the text has a word)."""
     out, some = np.full((len(texts), TREES * DEPTH), 0xFFFFFFFF, np.uint32), np.zeros(len(texts), bool)
@@ -62,32 +86,69 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
-def prefixes(minima: np.ndarray, length: int) -> np.ndarray:
-    """[n, TREES]: a 64-bit name of each text's prefix in each tree."""
-    name = np.zeros((len(minima), TREES), np.uint64)
-    for j in range(length):
-        name = mixed(name * np.uint64(31) + minima[:, j::DEPTH].astype(np.uint64) + np.uint64(1))
-    return mixed(name + np.arange(TREES, dtype=np.uint64)).astype(np.int64)
+def prefixes(minima: np.ndarray, level: int) -> np.ndarray:
+    """[n, trees(level)]: a 64-bit name of each text's prefix of ``level`` minima in each tree."""
+    name = np.full((len(minima), trees(level)), level, np.uint64)
+    for j in range(level):
+        name = mixed(name * np.uint64(31) + minima[:, j::DEPTH][:, : trees(level)].astype(np.uint64) + np.uint64(1))
+    return mixed(name + np.arange(trees(level), dtype=np.uint64)).astype(np.int64)
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """copy, doc_id, minima, prefixes (null where the text has no word)."""
-    length = prefix_length()
+    """copy, doc_id, minima (null where the text has no word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             minima, some = signatures([(t or "").encode() for t in batch["text"].to_pylist()])
-            names = prefixes(minima, length)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["copy"], batch["doc_id"],
-                    pa.array([m.tobytes() if s else None for m, s in zip(minima, some)], pa.binary()),
-                    pa.array([n.tolist() if s else None for n, s in zip(names, some)], pa.list_(pa.int64())),
-                ],
-                names=["copy", "doc_id", "minima", "prefixes"],
-            )
+            kept = pa.array([m.tobytes() if s else None for m, s in zip(minima, some)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["copy"], batch["doc_id"], kept], names=["copy", "doc_id", "minima"])
+
+    return rows.mapInArrow(run, "copy string, doc_id long, minima binary")
 
-    return rows.mapInArrow(run, "copy string, doc_id long, minima binary, prefixes array<long>")
+
+def _entries(nodes: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """copy, level, prefix: the names of every text's prefixes at ``levels``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minima = np.frombuffer(b"".join(batch["minima"].to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
+            for level in levels:
+                names = prefixes(minima, level)
+                copies = batch["copy"].take(pa.array(np.repeat(np.arange(len(names)), names.shape[1])))
+                yield pa.RecordBatch.from_arrays([copies, pa.array(np.full(names.size, level, np.int32)), pa.array(names.ravel())], names=["copy", "level", "prefix"])
+
+    return nodes.select("copy", "minima").mapInArrow(run, "copy string, level int, prefix long")
+
+
+def _meeting(nodes: DataFrame, levels: tuple[int, ...], folder: str) -> DataFrame:
+    """copy, level, prefix, size: the prefixes that ``size`` > 1 of the texts share."""
+    spark = nodes.sparkSession
+    _entries(nodes, levels).write.parquet(f"{folder}/entries{levels[0]}")
+    entries = spark.read.parquet(f"{folder}/entries{levels[0]}")
+    sizes = entries.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("times", F.col("size"))
+    sizes.write.parquet(f"{folder}/sizes{levels[0]}")
+    sizes = spark.read.parquet(f"{folder}/sizes{levels[0]}")
+    attached(entries, sizes, "prefix", "times", entries.count()).select("copy", "level", "prefix", "size").write.parquet(f"{folder}/meeting{levels[0]}")
+    return spark.read.parquet(f"{folder}/meeting{levels[0]}")
+
+
+def levelled(nodes: DataFrame, folder: str) -> DataFrame:
+    """copy, level, prefix, size, own: the subtries in which the texts of ``nodes`` (copy, minima)
+    meet and the level each text took, for those levels up to its own."""
+    spark = nodes.sparkSession
+    first = LEVELS[0]
+    short = _meeting(nodes, LEVELS[:1], folder)
+    crowded = short.groupBy("copy").agg(F.sum(F.col("size") - 1).alias("met")).filter(F.col("met") > CROWD)
+    crowded.write.parquet(f"{folder}/crowded")
+    crowded = spark.read.parquet(f"{folder}/crowded")
+    long = _meeting(nodes.join(crowded, "copy", "left_semi"), LEVELS[1:], folder)
+    totals = long.groupBy("copy").agg(*(F.sum(F.when(F.col("level") == d, F.col("size") - 1).otherwise(0)).alias(f"met{d}") for d in LEVELS[1:]))
+    choices = [F.struct(F.col("met").alias("met"), F.lit(first).alias("level"))]
+    choices += [F.struct(F.coalesce(f"met{d}", F.lit(0)).alias("met"), F.lit(d).alias("level")) for d in LEVELS[1:]]
+    crowded.join(totals, "copy", "left").select("copy", F.array_min(F.array(*choices))["level"].alias("took")).write.parquet(f"{folder}/took")
+    took = spark.read.parquet(f"{folder}/took")
+    every = short.join(took, "copy", "left").unionByName(long.join(took, "copy"))
+    return every.withColumn("own", F.coalesce("took", F.lit(first))).drop("took").filter("level <= own")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -114,8 +175,9 @@ def _candidates(group: pa.Table) -> np.ndarray:
     """[n, n] upper triangle: pairs that this group has to verify."""
     minima = np.frombuffer(b"".join(group["minima"].to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
     low, high, block = group["low"][0].as_py(), group["high"][0].as_py(), group["block"].to_numpy()
-    n, names = len(minima), prefixes(minima, prefix_length())
-    pairs = np.triu(np.ones((n, n), bool), 1)
+    level, own = group["level"][0].as_py(), group["own"].to_numpy()
+    n, names = len(minima), prefixes(minima, level)
+    pairs = np.triu((own[:, None] == level) | (own[None, :] == level), 1)
     if low != high:
         pairs &= block[:, None] != block[None, :]
     tree = int(np.flatnonzero(names[0] == group["prefix"][0].as_py())[0])
@@ -223,18 +285,20 @@ def linked(documents: DataFrame) -> DataFrame:
     folder = scratch(spark, "forest")
     _signed(rows).write.parquet(f"{folder}/signed")
     signed = spark.read.parquet(f"{folder}/signed")
-    nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"), F.min("minima").alias("minima"), F.first("prefixes").alias("prefixes"))
+    nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"), F.min("minima").alias("minima"))
     nodes.write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
 
-    entries = nodes.filter("minima is not null").select("copy", F.explode("prefixes").alias("prefix"))
-    buckets = entries.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = entries.join(buckets, "prefix").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    levelled(nodes.filter("minima is not null"), folder).write.parquet(f"{folder}/levelled")
+    members = spark.read.parquet(f"{folder}/levelled")
+    examined = members.filter("own = level").groupBy("prefix").agg(F.max("size").alias("times"))
+    examined.write.parquet(f"{folder}/examined")
+    members = attached(members, spark.read.parquet(f"{folder}/examined"), "prefix", "times", members.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     members = members.withColumn("block", F.pmod(F.xxhash64("copy", "prefix"), F.col("blocks")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("copy", "prefix", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    kinds = "prefix long, low long, high long, copy string, block long, times long, minima binary"
-    met = _dealt(members.join(nodes.select("copy", "times", "minima"), "copy").select("prefix", "low", "high", "copy", "block", "times", "minima"))
+    members = members.select("copy", "prefix", "level", "own", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    kinds = "prefix long, low long, high long, level int, own int, copy string, block long, times long, minima binary"
+    met = _dealt(members.join(nodes.select("copy", "times", "minima"), "copy").select("prefix", "low", "high", "level", "own", "copy", "block", "times", "minima"))
     met.mapInArrow(_worth, kinds).write.parquet(f"{folder}/met")
     met = spark.read.parquet(f"{folder}/met")
 

@@ -121,7 +121,9 @@ def shingled(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def test_near_copies_equal_brute_force(spark):
+@pytest.mark.parametrize("crowd", (near.CROWD, 0, 6))
+def test_near_copies_equal_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near, "CROWD", crowd)
     rows, at = [], 0
     for base in range(6):
         words = prose(base, 150).split()
@@ -150,6 +152,44 @@ def test_a_bucket_of_many_blocks(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in got} == {(0, 39)}
 
 
+def test_levels_miss_less_than_the_recall_allows():
+    assert near.missed() <= 1 - near.RECALL
+    assert [near.trees(d) for d in near.LEVELS] == sorted(near.trees(d) for d in near.LEVELS)
+
+
+def test_prefixes_are_longer_where_texts_crowd(spark, folder, monkeypatch):
+    """Texts that share two thirds of their words but are no near copies get longer prefixes than
+    texts that share nothing; copies of one text stay at the short ones."""
+    monkeypatch.setattr(near, "CROWD", 20)
+    common = prose(31, 200).split()
+    crowd = [" ".join(common + prose(1000 + i, 60).split()) for i in range(60)]
+    alone = [" ".join(f"v{i}_{k}" for k in range(100)) for i in range(30)]
+    pair = [alone[0] + " a", alone[0] + " b"]
+    rows = [(i, t) for i, t in enumerate(crowd + alone + pair)]
+    minima, _ = near.signatures([t.encode() for _, t in rows])
+    nodes = spark.createDataFrame([(str(i), m.tobytes()) for (i, _), m in zip(rows, minima)], "copy string, minima binary")
+    own = {}
+    for r in near.levelled(nodes, folder).collect():
+        assert r.level <= r.own
+        own.setdefault(int(r.copy), set()).add(r.own)
+    assert all(len(v) == 1 for v in own.values())
+    assert sum(max(own.get(i, {2})) > 2 for i in range(60)) > 40 and {max(own[i]) for i in (90, 91)} == {2}
+    got = {r.doc_id: r.n_links for r in near.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingled(t) for i, t in rows}
+    assert got == {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity just above 0.8: every one of 300 is found."""
+    rows = []
+    for k in range(300):
+        words = [f"p{k}_{i}" for i in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:84]))]
+    assert len(shingled(rows[1][1])) / len(shingled(rows[0][1])) == 0.8
+    got = near.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i - i % 2, 1) for i, _ in rows}
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in near.linked(odd).collect()), key=str)
     assert (3, 3, 0) in got and (4, 4, 0) in got and (8, 7, 1) in got and got.count((1, 1, 2)) == 2 and got.count((None, None, 1)) == 2
