@@ -251,6 +251,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([copies[i] for i in have]), pa.array([copies[top(i)] for i in have]), pa.array(count[have])], names=["copy", "root", "links"])
 
 
+def blocked(members: DataFrame, folder: str) -> DataFrame:
+    """copy, prefix, level, own, block, low, high: every text of ``members`` once for each pair
+    (low, high) of blocks it is compared in.
+
+    Only pairs with a text that took the subtrie's level are compared. A large subtrie therefore
+    has blocks of those texts first and blocks of the others behind them, and no pair of blocks
+    has two of the others'.
+    """
+    spark = members.sparkSession
+    took = F.sum((F.col("own") == F.col("level")).cast("long"))
+    sizes = members.groupBy("prefix").agg(F.count(F.lit(1)).alias("times"), took.alias("lookers")).filter("times > 1 and lookers > 0")
+    whole = F.col("times") <= BLOCK
+    lookers = F.when(whole, 1).otherwise(F.ceil(F.col("lookers") / BLOCK)).cast("long")
+    others = F.when(whole, 0).otherwise(F.ceil((F.col("times") - F.col("lookers")) / BLOCK)).cast("long")
+    sizes.select("prefix", "times", lookers.alias("lookers"), others.alias("others")).write.parquet(f"{folder}/blocks")
+    members = attached(members.drop("size"), spark.read.parquet(f"{folder}/blocks"), "prefix", "times", members.count())
+    looks = (F.col("own") == F.col("level")) | (F.col("others") == 0)
+    number = F.xxhash64("copy", "prefix")
+    members = members.withColumn("block", F.when(looks, F.pmod(number, F.col("lookers"))).otherwise(F.col("lookers") + F.pmod(number, F.greatest("others", F.lit(1)))))
+    partners = F.when(looks, F.col("lookers") + F.col("others")).otherwise(F.col("lookers"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), partners - 1)))
+    return members.select("copy", "prefix", "level", "own", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     keys = ["prefix", "low", "high"]
     return rows.repartition(*keys).sortWithinPartitions(*keys, "copy")
@@ -290,13 +314,7 @@ def linked(documents: DataFrame) -> DataFrame:
     nodes = spark.read.parquet(f"{folder}/nodes")
 
     levelled(nodes.filter("minima is not null"), folder).write.parquet(f"{folder}/levelled")
-    members = spark.read.parquet(f"{folder}/levelled")
-    examined = members.filter("own = level").groupBy("prefix").agg(F.max("size").alias("times"))
-    examined.write.parquet(f"{folder}/examined")
-    members = attached(members, spark.read.parquet(f"{folder}/examined"), "prefix", "times", members.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    members = members.withColumn("block", F.pmod(F.xxhash64("copy", "prefix"), F.col("blocks")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("copy", "prefix", "level", "own", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    members = blocked(spark.read.parquet(f"{folder}/levelled"), folder)
     kinds = "prefix long, low long, high long, level int, own int, copy string, block long, times long, minima binary"
     met = _dealt(members.join(nodes.select("copy", "times", "minima"), "copy").select("prefix", "low", "high", "level", "own", "copy", "block", "times", "minima"))
     met.mapInArrow(_worth, kinds).write.parquet(f"{folder}/met")

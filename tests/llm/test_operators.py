@@ -121,9 +121,10 @@ def shingled(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-@pytest.mark.parametrize("crowd", (near.CROWD, 0, 6))
-def test_near_copies_equal_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, block", ((near.CROWD, near.BLOCK), (6, 4)))
+def test_near_copies_equal_brute_force(spark, monkeypatch, crowd, block):
     monkeypatch.setattr(near, "CROWD", crowd)
+    monkeypatch.setattr(near, "BLOCK", block)
     rows, at = [], 0
     for base in range(6):
         words = prose(base, 150).split()
@@ -161,6 +162,7 @@ def test_prefixes_are_longer_where_texts_crowd(spark, folder, monkeypatch):
     """Texts that share two thirds of their words but are no near copies get longer prefixes than
     texts that share nothing; copies of one text stay at the short ones."""
     monkeypatch.setattr(near, "CROWD", 20)
+    monkeypatch.setattr(near, "BLOCK", 8)
     common = prose(31, 200).split()
     crowd = [" ".join(common + prose(1000 + i, 60).split()) for i in range(60)]
     alone = [" ".join(f"v{i}_{k}" for k in range(100)) for i in range(30)]
