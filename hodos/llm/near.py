@@ -58,6 +58,8 @@ def trees(level: int, threshold: float = THRESHOLD, recall: float = RECALL) -> i
     return ceil(log(0.99 * (1 - recall) / len(LEVELS)) / log(1 - threshold**level))
 
 
+#: A minimum is kept by 16 bits of its hash: minima of long texts all are small numbers, so their own leading
+#: bits would agree. Chance agreements only add candidates, and at longer prefixes hardly any.
 TREES = trees(DEPTH)
 
 
@@ -74,15 +76,15 @@ _PLUS = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 
 
 def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(minima [n, TREES * DEPTH] as uint32, whether the text has a word)."""
-    out, some = np.full((len(texts), TREES * DEPTH), 0xFFFFFFFF, np.uint32), np.zeros(len(texts), bool)
+    """(minima [n, TREES * DEPTH] as uint16, whether the text has a word)."""
+    out, some = np.full((len(texts), TREES * DEPTH), 0xFFFF, np.uint16), np.zeros(len(texts), bool)
     for a, b in blocks_of(texts, 1 << 20):
         hashes, owner = shingle_hashes(texts[a:b], SHINGLE)
         if len(hashes):
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             some[a + owner[first]] = True
             for k in range(TREES * DEPTH):
-                out[a + owner[first], k] = np.minimum.reduceat(hashes * _TIMES[k] + _PLUS[k], first) >> np.uint64(32)
+                out[a + owner[first], k] = mixed(np.minimum.reduceat(hashes * _TIMES[k] + _PLUS[k], first)) >> np.uint64(48)
     return out, some
 
 
@@ -111,7 +113,7 @@ def _entries(nodes: DataFrame, levels: tuple[int, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            minima = np.frombuffer(b"".join(batch["minima"].to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
+            minima = np.frombuffer(b"".join(batch["minima"].to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
             for level in levels:
                 names = prefixes(minima, level)
                 copies = batch["copy"].take(pa.array(np.repeat(np.arange(len(names)), names.shape[1])))
@@ -173,7 +175,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _candidates(group: pa.Table) -> np.ndarray:
     """[n, n] upper triangle: pairs that this group has to verify."""
-    minima = np.frombuffer(b"".join(group["minima"].to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
+    minima = np.frombuffer(b"".join(group["minima"].to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
     low, high, block = group["low"][0].as_py(), group["high"][0].as_py(), group["block"].to_numpy()
     level, own = group["level"][0].as_py(), group["own"].to_numpy()
     n, names = len(minima), prefixes(minima, level)

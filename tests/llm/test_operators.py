@@ -158,6 +158,12 @@ def test_levels_miss_less_than_the_recall_allows():
     assert [near.trees(d) for d in near.LEVELS] == sorted(near.trees(d) for d in near.LEVELS)
 
 
+def test_long_texts_do_not_agree_by_chance():
+    texts = [" ".join(f"{v}{i}" for i in range(60_000)).encode() for v in "ab"]
+    minima, _ = near.signatures(texts)
+    assert (minima[0] == minima[1]).mean() < 0.03
+
+
 def test_prefixes_are_longer_where_texts_crowd(spark, folder, monkeypatch):
     """Texts that share two thirds of their words but are no near copies get longer prefixes than
     texts that share nothing; copies of one text stay at the short ones."""
