@@ -48,7 +48,7 @@ DEPTH = LEVELS[-1]
 BLOCK = 256
 #: Texts met at the shortest level, over all trees, beyond which longer prefixes are looked at.
 CROWD = 64
-#: Pairs whose signatures agree in less are not verified: one in 10 ** 8 at the threshold.
+#: Pairs whose signatures agree in less are not verified: one in 10 ** 9 at the threshold.
 DOUBT = 0.55
 
 
