@@ -70,6 +70,34 @@ def hourly_spans(readings: DataFrame, devices: DataFrame, first: Column, last: C
     return chained.select("device_id", F.explode(pieces).alias("s")).where("s IS NOT NULL").select("device_id", "s.*")
 
 
+def joined_spans(readings: DataFrame, devices: DataFrame, first: Column, last: Column) -> DataFrame:
+    """The rows of ``hourly_spans`` from a join by device, for tables bucketed by device.
+
+    Devices and readings already lie together then, and neither the join nor the window behind
+    it has an exchange; marker rows and a fixed number of tasks, which both cost one, are left
+    out. Over other tables the result is the same and Spark shuffles the readings.
+    """
+    first, last = naive(first), naive(last)
+    rows = devices.select("device_id").join(on_grid(readings, first, last), "device_id", "left")
+    types, at = dict(rows.dtypes), F.col("processed_at")
+    by_device = Window.partitionBy("device_id").orderBy("processed_at")
+    ordered = rows.withColumn("before", F.lag("processed_at").over(by_device)).withColumn("after", F.lead("processed_at").over(by_device))
+
+    def span(start: Column, end: Column, measured: bool) -> Column:
+        measures = [(F.col(name) if measured else F.lit(None).cast(types[name])).alias(name) for name in MEASURES]
+        return F.struct(start.alias("first_hour"), end.alias("last_hour"), *measures)
+
+    # A device's first row also stands for the hours in front of it, which are all hours of a silent device.
+    head_end = F.coalesce(at, last + hours(1)) - hours(1)
+    gap_start, gap_end = at + hours(1), F.coalesce("after", last + hours(1)) - hours(1)
+    pieces = F.array(
+        F.when(F.col("before").isNull() & (first <= head_end), span(first, head_end, False)),
+        F.when(at.isNotNull(), span(at, at, True)),
+        F.when(gap_start <= gap_end, span(gap_start, gap_end, False)),
+    )
+    return ordered.select("device_id", F.explode(pieces).alias("s")).where("s IS NOT NULL").select("device_id", "s.*")
+
+
 def split_spans(spans: DataFrame, unit: str) -> DataFrame:
     """Cut spans at the ends of calendar units, ``MONTH`` or ``DAY``."""
     step = F.expr(f"INTERVAL 1 {unit}")

@@ -361,6 +361,8 @@ SELECTS: dict[str, str] = {
     "util_hours": "SELECT hourly_slot FROM slots",
     "fct_measurements": f"SELECT {_FCT} FROM fct",
     "mrt_traffic_road": f"SELECT {_MART} FROM mart",
+    "fct_by_device": f"SELECT {_FCT} FROM fct",
+    "mrt_by_device": f"SELECT {_MART} FROM mart",
     "warehouse_build": """SELECT 'stg_traffic' AS table_name, count(*) AS n_rows FROM stg UNION ALL SELECT 'dim_roads', count(*) FROM dim
   UNION ALL SELECT 'fct_measurements', count(*) FROM fct UNION ALL SELECT 'mrt_traffic_road', count(*) FROM mart""",
     "mart_layout": f"SELECT {_MART} FROM mart",

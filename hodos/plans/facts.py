@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hodos.functions.calendar import calendar_columns, naive
 from hodos.functions.measures import quality_flags
-from hodos.operators.gapfill import expand, hourly_spans, on_grid, split_spans, span_hours
+from hodos.operators.gapfill import expand, hourly_spans, joined_spans, on_grid, split_spans, span_hours
 from hodos.schemas import FACTS
 from hodos.session import shuffle_tasks
 
@@ -31,6 +31,12 @@ def measurements(staged: DataFrame, devices: DataFrame, first: Moment, last: Mom
     return described(expand(hourly_spans(staged, devices, first, last)))
 
 
+def measurements_in_place(staged: DataFrame, devices: DataFrame, first: Moment, last: Moment) -> DataFrame:
+    """The same rows from tables bucketed by device (``sources.bucketed``): nothing is shuffled,
+    and the rows stay distributed by device for the join with the roads."""
+    return described(expand(joined_spans(staged, devices, first, last)))
+
+
 def measurements_by_day(staged: DataFrame, devices: DataFrame, first: datetime, last: datetime) -> DataFrame:
     """The same rows, laid out for a write partitioned by day.
 

@@ -13,7 +13,8 @@ def traffic_road(facts: DataFrame, roads: DataFrame) -> DataFrame:
     """Quality readings with their road; a device without a road keeps its readings.
 
     No broadcast hint: the dimension grows with the network, so Spark decides by its
-    measured size, and both sides are already distributed by device.
+    measured size. Beyond that both sides are shuffled by device, unless they are bucketed by it
+    (``sources.bucketed``).
     """
     quality = facts.where("is_quality")
     return quality.join(roads.select("device_id", "road_name"), "device_id", "left").select(*MART_COLUMNS)

@@ -12,7 +12,7 @@ from hodos.functions.measures import published, rounded
 from hodos.operators import bins, boosting, drift, encode, quality
 from hodos.plans import build, dashboard, facts, features, marts, monitoring, reporting, roads, runs, scoring, staging, states, training
 from hodos.session import cut, prepare, scratch
-from hodos.sources import lake, testdata
+from hodos.sources import bucketed, lake, testdata
 from hodos.sources.tables import DIM_ROADS, FCT_MEASUREMENTS, MRT_TRAFFIC_ROAD, STG_TRAFFIC, Warehouse
 from hodos.streaming import live
 
@@ -200,6 +200,30 @@ def mrt_traffic_road(spark, sf_dir):
     return month_mart(spark, sf_dir)
 
 
+def by_device(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Staging and the roads as tables bucketed by device, written once per session."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        folder = scratch(spark, "bucketed")
+        staged = bucketed.write(silver(spark, sf_dir), f"{folder}/staged", "device_id")
+        return staged, bucketed.write(roads.latest_roads(staged), f"{folder}/roads", "device_id")
+
+    return _once("bucketed", spark, sf_dir, make)
+
+
+@query
+def fct_by_device(spark, sf_dir):
+    """The dense fact from bucketed tables."""
+    return facts.measurements_in_place(*by_device(spark, sf_dir), *testdata.hour_range(spark, sf_dir))
+
+
+@query
+def mrt_by_device(spark, sf_dir):
+    """Gold from bucketed tables, gap fill and join with the roads without an exchange."""
+    dense = facts.measurements_in_place(*by_device(spark, sf_dir), *testdata.hour_range(spark, sf_dir))
+    return marts.traffic_road(dense, by_device(spark, sf_dir)[1])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cars and weighted speed per day, from raw records to report in one go."""
     return rounded(reporting.daily_speed_count(marts.last_days(month_mart(prepare(spark), sf_dir))))
