@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from hodos.operators import quality
-from hodos.plans import facts, states
+from hodos.plans import facts, scoring, states
 from hodos.sources.tables import FCT_MEASUREMENTS, Table, Warehouse
 
 START = datetime(2024, 3, 1)
@@ -84,3 +84,15 @@ def test_a_merge_is_published_without_reading_it_and_again_after_a_crash(spark,
     again.recover(table)
     again.recover(table)
     assert sorted(tuple(r) for r in again.read(table).collect()) == [(2, "p", "r"), (4, "p", "q"), (5, "s", None)]
+
+
+def test_predictions_of_one_road_come_from_many_tasks(spark):
+    pairs = spark.createDataFrame([("R", f"d{i}") for i in range(400)] + [("S", None)], "road_name string, device_id string")
+    asked = spark.createDataFrame([("R", START.date(), h) for h in range(24)] * 2 + [("R", None, 3), ("S", START.date(), 12), ("T", START.date(), 1), ("R", START.date(), 24)], "road_name string, target_date date, target_hour int")
+    scored = scoring.device_predictions(asked, pairs, lambda rows: rows.withColumn("prediction", F.lit(1.005)))
+    sizes = [r["count"] for r in scored.where("road_name = 'R'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 25 * 400 and len(sizes) == 4 and max(sizes) <= 2 * sum(sizes) / 4
+    answers = scoring.device_answers(scored).distinct().collect()
+    assert len(answers) == 25 * 400 + 1
+    day = f"{START:%Y-%m-%d}"
+    assert {r.target_datetime for r in answers} == {f"{day} {h:02d}:00" for h in range(24)} | {"null 03:00"}
