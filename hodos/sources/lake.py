@@ -22,6 +22,8 @@ from hodos.session import cut
 from hodos.sources.files import Files
 
 TARGET_FILE_BYTES = 512 * 1024 * 1024
+#: Rows of a compacted file: one task sorts them all, and few bytes may hold many.
+TARGET_FILE_ROWS = 4_000_000
 #: Months that are merged at the same time.
 MONTHS_AT_ONCE = 4
 #: The day a row was landed for; only compacted files have it, readers of the lake don't.
@@ -211,8 +213,8 @@ def compact_month(
     """Merge all files of a month, sorted by ingestion time; the rows stay the same, but for
     compacted ones of days that were landed again.
 
-    A month within the target size becomes one file, a larger one as many as it needs,
-    cut by ranges of the sort columns. Nothing is removed before the merged copy is
+    A month within the target size and ``TARGET_FILE_ROWS`` becomes one file, a larger one as
+    many as it needs, cut by ranges of the sort columns. Nothing is removed before the merged copy is
     written and counted.
     """
     files = Files(spark)
@@ -224,7 +226,8 @@ def compact_month(
 
     batches = files.folders(month_dir)
     sizes = files.parquet_sizes(month_dir)
-    wanted = max(1, -(-sum(sizes) // target_file_bytes))
+    n_rows = _as_landed(spark, root, month_dir, schema).count() if sizes else 0  # footers
+    wanted = max(1, -(-sum(sizes) // target_file_bytes), -(-n_rows // TARGET_FILE_ROWS))
     compacted = [b for b in batches if b.startswith("batch=compact-")]
     if not batches or (len(batches) == len(compacted) == 1 and len(sizes) <= wanted):
         return Compaction(year, month, len(sizes), len(sizes), None)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hodos.operators import quality
 from hodos.plans import facts, scoring, states
+from hodos.sources import lake
 from hodos.sources.tables import FCT_MEASUREMENTS, Table, Warehouse
 
 START = datetime(2024, 3, 1)
@@ -96,3 +97,17 @@ def test_predictions_of_one_road_come_from_many_tasks(spark):
     assert len(answers) == 25 * 400 + 1
     day = f"{START:%Y-%m-%d}"
     assert {r.target_datetime for r in answers} == {f"{day} {h:02d}:00" for h in range(24)} | {"null 03:00"}
+
+
+def test_a_month_of_many_rows_becomes_several_sorted_files(spark, folder, monkeypatch):
+    monkeypatch.setattr(lake, "TARGET_FILE_ROWS", 300)
+    rows = spark.range(1000).select(
+        F.concat(F.lit("d"), F.col("id") % 50).alias("deviceid"), F.lit("2024-03-01 00:00:00").alias("appprocesstime"), (F.col("id") % 9).alias("countedcars"),
+        F.lit(50.0).alias("average_speed"), F.lit("R").alias("road_name"), F.lit("i").alias("road_info"), F.lit(START).cast("timestamp_ntz").alias("ingested_at"), F.lit(START.date()).alias("date"),
+    )
+    lake.write_batches(rows, folder)
+    made = lake.compact_month(spark, folder, 2024, 3)
+    assert made.rows == 1000 and 2 <= made.files_after <= 4
+    assert lake.compact_month(spark, folder, 2024, 3).rows is None
+    files = lake.read_lake(spark, folder).groupBy(F.input_file_name()).agg(F.min("deviceid").alias("a"), F.max("deviceid").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("a").collect()
+    assert sum(f.n for f in files) == 1000 and all(f.b <= g.a for f, g in zip(files, files[1:])) and max(f.n for f in files) < 500
