@@ -8,25 +8,40 @@ nodes: (node, feature, bin) is the key, every task sums up its own rows first.
 A tree always splits the leaf of the largest gain next, until it has ``leaves`` of them. Growing
 strictly one by one would be one job a split. But while ``k`` splits are left, none outside the
 ``k`` best leaves at hand can ever be next: so these are all taken up in one job, and the splits
-are then chosen among what is known. The tree is the one that splitting one by one gives, in at
-most ``depth`` jobs. Only the smaller child of a node is counted, the other is the difference to
+are then chosen among what is known. Towards the end ``k`` is small, and a job for every few nodes
+would make more jobs than the tree has levels: a job therefore takes up ``AHEAD`` nodes at least,
+the others by their gain, below nodes not chosen yet as well. The tree is the one that splitting
+one by one gives. Only the smaller child of a node is counted, the other is the difference to
 its parent.
 
+Rows of equal bins are never told apart by a tree, so they are one row with their number and the
+sum of their targets: the passes are over the different rows only, of which features and bins
+allow so many and no more.
+
 Histograms on the driver are bounded by the settings (``leaves`` * features * bins), whatever the
 number of rows. Rows keep their score in a table of the shared folder; it is written anew every
-``cut_every`` trees, in between tasks walk the few trees since.
+``cut_every`` trees. In between the few trees since are walked once a tree, and the gradients kept
+for the passes of that tree.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from math import prod
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hodos.session import scratch
+from hodos.session import scratch, shuffle_tasks
+
+#: Nodes taken up in a job at least, if there are as many.
+AHEAD = 64
+#: Rows a task walks through a tree at once.
+GATHERED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -56,18 +71,31 @@ class Tree:
     gain: np.ndarray
 
     def leaves_of(self, bins: np.ndarray) -> np.ndarray:
-        at, every = np.zeros(len(bins), np.int32), np.arange(len(bins))
-        while True:
-            feature = self.feature[at]
-            inner = feature >= 0
-            if not inner.any():
-                return at
-            own = bins[every, np.maximum(feature, 0)]
-            left = own <= self.threshold[at]
-            if len(self.sides):
-                category = self.category[at]
-                left = np.where(category >= 0, self.sides[np.maximum(category, 0), own], left)
-            at = np.where(inner, np.where(left, self.left[at], self.right[at]), at)
+        at = np.zeros(len(bins), np.int32)
+        for node, rows in self.parts(np.ascontiguousarray(bins.T)):
+            at[rows] = node
+        return at
+
+    def parts(self, columns: np.ndarray, wanted: Iterable[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, places of its rows) of rows given by their ``columns`` [features, rows]; only the
+        leaves ``wanted``, if given: rows that cannot come to one are not walked on."""
+        leads = np.full(len(self.feature), wanted is None)
+        if wanted is not None:
+            leads[list(wanted)] = True
+            for i in range(len(leads) - 1, -1, -1):  # children have larger numbers
+                if self.feature[i] >= 0:
+                    leads[i] |= leads[self.left[i]] | leads[self.right[i]]
+        todo = [(0, np.arange(columns.shape[1]))] if leads[0] else []
+        while todo:
+            node, rows = todo.pop()
+            if self.feature[node] < 0:
+                yield node, rows
+                continue
+            own = columns[self.feature[node]][rows]
+            left = self.sides[self.category[node]][own] if self.category[node] >= 0 else own <= self.threshold[node]
+            for child, side in ((self.left[node], left), (self.right[node], ~left)):
+                if leads[child] and len(there := rows[side]):
+                    todo.append((int(child), there))
 
 
 @dataclass
@@ -100,25 +128,54 @@ class Boosted:
     base: float
     trees: list[Tree] = field(default_factory=list)
 
-    def predict(self, rows: DataFrame, output: str = "prediction") -> DataFrame:
-        """``rows`` with one column more. Tasks hold the trees, whose size the settings bound."""
-        binning, base, trees, names = self.binning, self.base, self.trees, self.binning.names
-        kept = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+    def scores(self, bins: np.ndarray) -> np.ndarray:
+        """Of each row of ``bins``; equal rows are walked once."""
+        back = slice(None)
+        widths = [int(w) for w in np.diff(self.binning.starts)]
+        if prod(widths) < 1 << 62:
+            name = np.zeros(len(bins), np.int64)
+            for j, width in enumerate(widths):
+                name = name * width + bins[:, j]
+            _, first, back = np.unique(name, return_index=True, return_inverse=True)
+            bins = bins[first]
+        columns, score = np.ascontiguousarray(bins.T), np.full(len(bins), self.base)
+        for tree in self.trees:
+            for node, rows in tree.parts(columns):
+                score[rows] += tree.value[node]
+        return score[back]
+
+    def predict(self, rows: DataFrame, output: str = "prediction", keep: list[str] | None = None) -> DataFrame:
+        """``rows``, or their columns ``keep``, with one column more. Tasks hold the trees, whose
+        size the settings bound."""
+        names = self.binning.names
+        kept = F.struct(*[F.col(f"`{c}`") for c in (rows.columns if keep is None else keep)]).alias("_row")
         inputs = rows.select(kept, *[F.col(f"`{c}`").cast("double").alias(f"_{j}") for j, c in enumerate(names)])
         row_type = inputs.schema["_row"].dataType.simpleString()
 
         def run(batches):
-            for batch in batches:
-                bins = binning.matrix([batch[f"_{j}"].to_numpy(zero_copy_only=False) for j in range(len(names))])
-                score = np.full(len(bins), base)
-                for tree in trees:
-                    score += tree.value[tree.leaves_of(bins)]
-                yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(score)], names=["_row", "_score"])
+            for group in _gathered(batches):
+                columns = [np.concatenate([b[f"_{j}"].to_numpy(zero_copy_only=False) for b in group]) for j in range(len(names))]
+                score, at = self.scores(self.binning.matrix(columns)), 0
+                for batch in group:
+                    yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(score[at : at + batch.num_rows])], names=["_row", "_score"])
+                    at += batch.num_rows
 
         scored = inputs.mapInArrow(run, f"_row {row_type}, _score double")
         return scored.select("_row.*", F.col("_score").alias(output))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches of together about ``GATHERED`` rows."""
+    group: list[pa.RecordBatch] = []
+    for batch in batches:
+        group.append(batch)
+        if sum(b.num_rows for b in group) >= GATHERED:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
 def fit_bins(rows: DataFrame, numbers: list[str], categories: dict[str, int], most: int) -> Binning:
     """Bins of ``numbers`` (every value, or quantiles if there are more than ``most``) and of
     ``categories``, columns of codes below the given number."""
@@ -227,6 +284,9 @@ class _Growth:
         while heap and left:
             if self.nodes[heap[0][1]].children is None:
                 ahead = [i for _, i in heapq.nsmallest(left, heap) if self.nodes[i].children is None]
+                if len(ahead) < AHEAD:
+                    more = {i for i, n in enumerate(self.nodes) if n.split and n.children is None} - set(ahead)
+                    ahead += heapq.nsmallest(AHEAD - len(ahead), more, key=lambda i: (-self.nodes[i].split[0], i))
                 self._take_up(ahead, count)
             _, i = heapq.heappop(heap)
             chosen.add(i)
@@ -255,40 +315,47 @@ class _Growth:
                     self.nodes[child].split = best_split(histogram, self.is_category, self.settings.least_rows)
 
 
-def _bins_of(batch: pa.RecordBatch, features: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint16)
-    return flat.reshape(batch.num_rows, features).astype(np.int32)
+def _columns(batch: pa.RecordBatch, features: int) -> np.ndarray:
+    """[features, rows]: the packed bins of a batch, all of one length."""
+    packed = batch["bins"].cast(pa.binary(2 * features))
+    flat = np.frombuffer(packed.buffers()[1], np.uint16, batch.num_rows * features, packed.offset * 2 * features)
+    return np.ascontiguousarray(flat.reshape(batch.num_rows, features).T)
 
 
-def _histograms(table: DataFrame, since: list[Tree], tree: Tree | None, wanted: list[int], binning: Binning) -> dict[int, np.ndarray]:
+def _histograms(table: DataFrame, binning: Binning, tree: Tree | None, wanted: list[int]) -> dict[int, np.ndarray]:
     """Of each node ``wanted`` of ``tree`` the rows and gradients by (feature, bin), added up by Spark."""
-    features, width = len(binning.names), binning.width
-    starts = binning.starts
-    used = int(starts[-1])
-    place = np.full(1 if tree is None else len(tree.feature), -1, np.int64)
-    place[wanted] = np.arange(len(wanted))
-    cells = len(wanted) * used
+    features, starts = len(binning.names), binning.starts
+    widths, first = np.diff(starts), starts * len(wanted)  # the cells of a feature: (node, bin)
+    place = {node: i for i, node in enumerate(wanted)}
 
     def count(batches):
-        rows, slopes = np.zeros(cells, np.int64), np.zeros(cells)
-        for batch in batches:
-            bins = _bins_of(batch, features)
-            slope = batch["score"].to_numpy() - batch["y"].to_numpy()
-            for earlier in since:
-                slope = slope + earlier.value[earlier.leaves_of(bins)]
-            node = place[tree.leaves_of(bins)] if tree is not None else np.zeros(len(bins), np.int64)
-            inside = np.flatnonzero(node >= 0)
-            cell = ((node[inside] * used)[:, None] + starts[:-1] + bins[inside]).ravel()
-            rows += np.bincount(cell, minlength=cells)
-            slopes += np.bincount(cell, np.repeat(slope[inside], features), cells)
+        rows, slopes = np.zeros(first[-1]), np.zeros(first[-1])
+        for group in _gathered(batches):
+            columns = np.concatenate([_columns(b, features) for b in group], axis=1)
+            n = np.concatenate([b["n"].to_numpy() for b in group]).astype(np.float64)
+            slope = np.concatenate([b["slope"].to_numpy() for b in group])
+            if tree is None:
+                node = np.zeros(len(n), np.int64)
+            else:
+                found = [(place[i], there) for i, there in tree.parts(columns, wanted)]
+                if not found:
+                    continue
+                inside = np.concatenate([there for _, there in found])
+                node = np.repeat([i for i, _ in found], [len(there) for _, there in found])
+                columns, n, slope = columns[:, inside], n[inside], slope[inside]
+            for j in range(features):
+                cell, a, b = node * widths[j] + columns[j], first[j], first[j + 1]
+                rows[a:b] += np.bincount(cell, n, b - a)
+                slopes[a:b] += np.bincount(cell, slope, b - a)
         some = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rows[some]), pa.array(slopes[some])], names=["cell", "n", "slope"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.rint(rows[some]).astype(np.int64)), pa.array(slopes[some])], names=["cell", "n", "slope"])
 
     sums = table.mapInArrow(count, "cell long, n long, slope double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("slope").alias("slope")).toArrow()
-    out = np.zeros((len(wanted), features, width, 2))
-    node, rest = np.divmod(sums["cell"].to_numpy(), used)
-    feature = np.searchsorted(starts, rest, "right") - 1
-    at = node, feature, rest - starts[feature]
+    out = np.zeros((len(wanted), features, binning.width, 2))
+    cell = sums["cell"].to_numpy()
+    feature = np.searchsorted(first, cell, "right") - 1
+    node, own = np.divmod(cell - first[feature], widths[feature])
+    at = node, feature, own
     out[(*at, 0)], out[(*at, 1)] = sums["n"].to_numpy(), sums["slope"].to_numpy()
     return {node: out[i] for i, node in enumerate(wanted)}
 
@@ -304,42 +371,59 @@ def fit(rows: DataFrame, target: str, numbers: list[str], categories: dict[str,
     model = Boosted(binning, float(mean or 0.0))
     if mean is None:
         return model
-    names, base = binning.names, model.base
-
-    def bin_rows(batches):
-        for batch in batches:
-            bins = binning.matrix([batch[f"_{j}"].to_numpy(zero_copy_only=False) for j in range(len(names))]).astype(np.uint16)
-            packed = pa.array([row.tobytes() for row in bins], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed, batch["_y"], pa.array(np.full(len(bins), base))], names=["bins", "y", "score"])
-
-    inputs = rows.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_{j}") for j, c in enumerate(names)])
-    inputs.mapInArrow(bin_rows, "bins binary, y double, score double").write.parquet(f"{folder}/rows-0")
+    _binned(rows, target, binning).withColumn("score", F.lit(model.base)).write.parquet(f"{folder}/rows-0")
     table = spark.read.parquet(f"{folder}/rows-0")
     since: list[Tree] = []
     for number in range(settings.trees):
+        sloped = _scored(table, since, len(binning.names)).select("bins", "n", (F.col("n") * F.col("score") - F.col("total")).alias("slope"))
+        sloped = sloped.persist(StorageLevel.MEMORY_AND_DISK)
         growth = _Growth(binning, settings)
-        growth.add(_histograms(table, since, None, [0], binning)[0], 0)
-        chosen = growth.grow(lambda taken, wanted: _histograms(table, since, growth.tree(taken), wanted, binning))
+        growth.add(_histograms(sloped, binning, None, [0])[0], 0)
+        chosen = growth.grow(lambda taken, wanted: _histograms(sloped, binning, growth.tree(taken), wanted))
+        sloped.unpersist()
         tree = growth.tree(chosen, settings.rate)
         model.trees.append(tree)
         since = [*since, tree]
         if len(since) == settings.cut_every and number + 1 < settings.trees:
-            table = _moved_on(table, since, f"{folder}/rows-{number + 1}", len(names))
-            since = []
+            to = f"{folder}/rows-{number + 1}"
+            _scored(table, since, len(binning.names)).write.parquet(to)
+            table, since = spark.read.parquet(to), []
     return model
 
 
-def _moved_on(table: DataFrame, since: list[Tree], to: str, features: int) -> DataFrame:
-    """The rows with the trees ``since`` in their score, written and read again."""
+def _binned(rows: DataFrame, target: str, binning: Binning) -> DataFrame:
+    """bins (packed), n, total: the different rows, how often each comes and the sum of its targets."""
+    names = binning.names
 
-    def score(batches):
+    def bin_rows(batches):
         for batch in batches:
-            bins = _bins_of(batch, features)
-            total = batch["score"].to_numpy() + sum(t.value[t.leaves_of(bins)] for t in since)
-            yield pa.RecordBatch.from_arrays([batch["bins"], batch["y"], pa.array(total)], names=["bins", "y", "score"])
+            bins = binning.matrix([batch[f"_{j}"].to_numpy(zero_copy_only=False) for j in range(len(names))]).astype(np.uint16)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * len(names)), len(bins), [None, pa.py_buffer(np.ascontiguousarray(bins))])
+            yield pa.RecordBatch.from_arrays([packed.cast(pa.binary()), batch["_y"]], names=["bins", "y"])
 
-    table.mapInArrow(score, "bins binary, y double, score double").write.parquet(to)
-    return table.sparkSession.read.parquet(to)
+    inputs = rows.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_{j}") for j, c in enumerate(names)])
+    same = inputs.mapInArrow(bin_rows, "bins binary, y double").groupBy("bins").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
+    # Few bytes are passed over many times: a fixed number of files keeps all cores at work.
+    return same.repartition(shuffle_tasks(rows.sparkSession), "bins")
+
+
+def _scored(table: DataFrame, since: list[Tree], features: int) -> DataFrame:
+    """The rows with the trees ``since`` in their score."""
+    if not since:
+        return table
+
+    def score(batches):
+        for group in _gathered(batches):
+            columns = np.concatenate([_columns(b, features) for b in group], axis=1)
+            total, at = np.concatenate([b["score"].to_numpy() for b in group]), 0
+            for tree in since:
+                for node, rows in tree.parts(columns):
+                    total[rows] += tree.value[node]
+            for batch in group:
+                yield pa.RecordBatch.from_arrays([batch["bins"], batch["n"], batch["total"], pa.array(total[at : at + batch.num_rows])], names=["bins", "n", "total", "score"])
+                at += batch.num_rows
+
+    return table.mapInArrow(score, "bins binary, n long, total double, score double")
 
 
 # --- on disk -----------------------------------------------------------------------------

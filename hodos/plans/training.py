@@ -48,7 +48,7 @@ class SpeedModel:
         marked = base.select("*", F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_row"))
         coded = apply_target_encoding(time_features(marked), self.devices, "device_code")
         coded = apply_ordinal_encoding(coded, self.roads, "road_name", "road_code")
-        scored = self.trees.predict(_tree_input(coded))
+        scored = self.trees.predict(_tree_input(coded), keep=["_row"])
         return scored.select("_row.*", F.col("prediction").alias(output))
 
 
