@@ -39,11 +39,15 @@ FREQUENT = 1_000
 
 def attached(many: DataFrame, one: DataFrame, key: str, times: str, rows: int) -> DataFrame:
     """``many`` joined with ``one``, which has one row a key and how often ``many`` has it. Rows
-    of frequent keys stay where they are: ``one`` comes to them, at most ``FREQUENT`` rows."""
+    of frequent keys stay where they are: ``one`` comes to them, at most ``FREQUENT`` rows, whose
+    keys the filter of the other rows names."""
     frequent = one.filter(F.col(times) * FREQUENT > rows).drop(times)
     others = one.filter(F.col(times) * FREQUENT <= rows).drop(times)
+    keys = [r[0] for r in frequent.select(key).collect()]
+    if not keys:
+        return many.join(others, key)
     met = many.join(F.broadcast(frequent), key)
-    return met.unionByName(many.join(F.broadcast(frequent.select(key)), key, "left_anti").join(others, key).select(*met.columns))
+    return met.unionByName(many.filter(~F.col(key).isin(keys)).join(others, key).select(*met.columns))
 
 
 # --- vectorised word hashes, for use inside tasks ------------------------------------
