@@ -28,6 +28,10 @@ class Encoder:
         """The ids of a text as little-endian 16-bit integers."""
         return array("H", self.whole.encode_ordinary(text)).tobytes()
 
+    def count(self, text: str) -> int:
+        """The number of ids of a text."""
+        return len(self.whole.encode_ordinary(text))
+
 
 @lru_cache(maxsize=1)
 def encoder(ranks: str = RANKS) -> Encoder:

@@ -80,7 +80,9 @@ def write_shards(documents: DataFrame, folder: str, ranks: str = RANKS, length:
         rows = spark.read.parquet(again)
 
     def count(batches):
-        total = sum(_pieces(len(ids), length) for _, ids in _encoded(batches, ranks))
+        known, total = encoder(ranks), 0
+        for batch in batches:
+            total += sum(_pieces(2 * (known.count(text or "") + 1), length) for text in batch["text"].to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], names=["partition", "total"])
 
     counts = {r.partition: r.total for r in rows.mapInArrow(count, "partition int, total long").collect()}
