@@ -131,3 +131,36 @@ def test_filled_hours_equal_the_batch_and_forget_closed_ones(spark, folder):
     assert as_rows(got) == as_rows(want) and want.where("is_missing").count() > 100
     left = sum(op["numRowsTotal"] for op in progress[-1]["stateOperators"])
     assert 0 < left < 3 * (49 + 3) * 4  # the open hours of two days, not all that went through
+
+
+def test_filled_hours_keep_no_row_for_every_open_hour(spark, folder, monkeypatch):
+    monkeypatch.setattr(live, "PARTS", 4, raising=False)
+    schema = "deviceid string, appprocesstime string, countedcars long, average_speed double, road_name string, road_info string, ingested_at timestamp_ntz"
+    row = lambda device, hour, cars, speed, ingested: (device, str(at(hour)), cars, speed, "R", "i", ingested)
+    odd = [("a", 3, 2**60 + 1, 5.5, at(30)), ("a", 4, None, None, None), ("b", 3, 0, float("nan"), at(30)), ("b", 3, 0, None, at(30)), ("b", 4, 7, -1.0, None), ("b", 4, 8, 1.0, at(9)),
+           ("b", 4, None, 1.0, at(9)), ("c", 5, 5, 2.0, at(9)), ("c", 5, 5, 1.0, at(9)), ("c", 5, 1, 9.0, at(8)), ("c", 119, 3, 3.0, at(130)), (None, 6, 4, 4.0, at(9)), ("no slot", 6, 4, 4.0, at(9))]
+    devices = ["a", "b", "c", *(f"silent{i}" for i in range(60))]
+
+    def land(rows):
+        frame = spark.createDataFrame([row(*r) for r in rows], schema)
+        lake.write_batches(frame.withColumn("date", F.coalesce("ingested_at", "appprocesstime").cast("date")), f"{folder}/lake")
+
+    def slots(a, b):
+        every = [(d, at(h)) for d in [*devices, None] for h in range(a, b)]
+        spark.createDataFrame([*every, *every[:50], ("a", None), ("a", datetime(1969, 12, 31, 5))], "device_id string, processed_at timestamp_ntz").write.mode("append").parquet(f"{folder}/slots")
+
+    def make():
+        spine = spark.readStream.schema("device_id string, processed_at timestamp_ntz").parquet(f"{folder}/slots")
+        return live.filled_hours(spine, live.lake_stream(spark, f"{folder}/lake"))
+
+    late = [("a", 200, 1, 1.0, at(210)), ("c", 140, 2, 2.0, at(150)), ("a", 239, 1, 1.0, at(250)), ("b", 3, 99, 9.0, at(300))]  # the last one after its hour was closed
+    got, progress = drained(make, folder, lambda: (land(odd), slots(0, 120)), lambda: (land(late), slots(120, 240)))
+    staged = staging.stage(lake.read_lake(spark, f"{folder}/lake").where("coalesce(countedcars, 0) != 99"))
+    known = spark.createDataFrame([(d,) for d in devices], "device_id string")
+    closed = F.col("processed_at") + F.expr("INTERVAL 1 HOUR") <= F.lit(at(239 - 48))
+    want = facts.measurements(staged, known, START, at(239)).where(closed)
+    as_rows = lambda df: sorted(map(str, df.select(*want.columns).collect()))
+    assert as_rows(got.where("device_id IS NOT NULL")) == as_rows(want)
+    nameless = got.where("device_id IS NULL")
+    assert nameless.count() == nameless.where("is_missing").select("processed_at").distinct().count() == 191
+    assert max(sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in progress) <= 4  # 64 devices, 49 open hours and more each
